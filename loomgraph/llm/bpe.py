@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +47,7 @@ class WordTable:
     """Encoder and decoder of one tokenizer file, with the table of the words met so far."""
 
     def __init__(self, tokenizer_json: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the cores
         import regex
         from tokenizers import Tokenizer
 
@@ -93,7 +95,7 @@ class WordTable:
             pass
         if len(table) > MOST_WORDS:
             table.clear()
-        new = list(set(words) - table.keys())
+        new = [w for w in set(words) if w not in table]
         for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             table[word] = np.asarray(e.ids, "<u4").tobytes()
         return b"".join(map(table.__getitem__, words))
