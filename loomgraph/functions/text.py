@@ -51,7 +51,7 @@ def truncate_words(text: Column, most: int) -> Column:
     """At most `most` characters; a cut inside a word goes back to the last white space, if there is one."""
     head = F.substring(text, 1, most)
     inside = F.substring(text, most + 1, 1).rlike(r"^\S") & head.rlike(r"\s")
-    return F.when(F.length(text) <= most, text).when(inside, F.regexp_replace(head, r"\s+\S*$", "")).otherwise(head)
+    return F.when(F.length(text) <= most, text).when(inside, F.regexp_replace(head, r"\s+\S*\z", "")).otherwise(head)
 
 
 def embedding_input(title: Column, summary: Column, text: Column, most: int = 2000) -> Column:

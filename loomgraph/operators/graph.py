@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,38 +40,81 @@ def blended_seeds(nodes: DataFrame, seeds: DataFrame) -> DataFrame:
     return mean.union(nodes.join(F.broadcast(count)).select("id", (1.0 / F.col("nodes")).alias("p")))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, cfg: Config = DEFAULT, iterations: int | None = None, every: int = 5) -> tuple[DataFrame, int, bool]:
+#: Up to so many edges (16 bytes each) a graph travels to every task, and each surfer is solved in one.
+SMALL_EDGES = 2_000_000
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, cfg: Config = DEFAULT, iterations: int | None = None, small: int = SMALL_EDGES) -> tuple[DataFrame, int, bool]:
     """((surfer, id, x), iterations, converged) of the surfers in seeds(surfer, id, p).
 
-    x <- d W x + (d * dangling mass + 1 - d) p.  One shuffle on src joins the iterate with the weights, one sums by
-    (surfer, dst) with partial sums; dangling mass is one number per surfer.  The iterate is a written table every
-    `every` steps.  With `iterations` that many steps run; else until the largest L1 change of a surfer is within
-    the tolerance (measured each step).
+    x <- d W x + (d * dangling mass + 1 - d) p, from x = p.  With `iterations` that many steps run; else until the
+    largest L1 change of any surfer is within the tolerance.  Graphs of at most `small` edges are solved surfer by
+    surfer in parallel tasks, larger ones by a join per step; the results are the same.
     """
-    checks = seeds.groupBy("surfer").agg(F.sum("p").alias("s")).filter("abs(s - 1) > 1e-9").limit(1).count()
-    if checks or seeds.join(nodes, "id", "left_anti").limit(1).count():
+    off = seeds.groupBy("surfer").agg(F.sum("p").alias("s")).filter("abs(s - 1) > 1e-9").limit(1).count()
+    if off or seeds.join(nodes, "id", "left_anti").limit(1).count():
         raise ValueError("seed vectors must sum to 1 over the graph's nodes")
+    edges = written(edges.select("src", "dst"), "edges")
+    solve = by_surfer if edges.count() <= small else by_joins
+    return solve(edges, seeds.select("surfer", "id", "p"), cfg, iterations)
+
+
+def by_surfer(edges: DataFrame, seeds: DataFrame, cfg: Config, iterations: int | None) -> tuple[DataFrame, int, bool]:
+    """One task per surfer over arrays of a graph whose size was checked.
+
+    The change of a step shrinks with every step, so all surfers are done after the most steps that one needs.
+    """
+    table = edges.toArrow()
+    shared = edges.sparkSession.sparkContext.broadcast((table.column("src").to_numpy(), table.column("dst").to_numpy()))
+    d, tolerance = cfg.damping, cfg.tolerance
+
+    def solve(pdf: pd.DataFrame, steps: int | None) -> tuple[np.ndarray, np.ndarray, int]:
+        src, dst = shared.value
+        ids, at = np.unique(np.concatenate([src, dst, pdf["id"].to_numpy()]), return_inverse=True)
+        s, t, seed = at[: len(src)], at[len(src) : 2 * len(src)], at[2 * len(src) :]
+        degree = np.bincount(s, minlength=len(ids))
+        p = np.bincount(seed, weights=pdf["p"].to_numpy(), minlength=len(ids))
+        x, weight, k = p.copy(), 1.0 / degree[s], 0
+        while k < (steps or cfg.max_iterations):
+            after = d * np.bincount(t, weights=x[s] * weight, minlength=len(ids)) + (d * x[degree == 0].sum() + 1 - d) * p
+            change, x, k = np.abs(after - x).sum(), after, k + 1
+            if steps is None and change <= tolerance:
+                break
+        return ids, x, k if steps or change <= tolerance else -1
+
+    converged = True
+    if iterations is None:
+        needed = seeds.groupBy("surfer").applyInPandas(lambda pdf: pd.DataFrame({"k": [solve(pdf, None)[2]]}), "k int").agg(F.max("k"), F.min("k")).first()
+        converged = needed[1] is None or needed[1] >= 0
+        iterations = (needed[0] or 0) if converged else cfg.max_iterations
+
+    def rows(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, x, _ = solve(pdf, iterations)
+        return pd.DataFrame({"surfer": pdf["surfer"].iloc[0], "id": ids, "x": x})[x > 0]
+
+    return seeds.groupBy("surfer").applyInPandas(rows, "surfer long, id long, x double"), iterations, converged
+
+
+def by_joins(edges: DataFrame, seeds: DataFrame, cfg: Config, iterations: int | None) -> tuple[DataFrame, int, bool]:
+    """A join per step: one shuffle on src meets the weights, partial sums by (surfer, dst) meet in a second; the
+    dangling mass is one number per surfer.  Every iterate is a written table."""
     d = cfg.damping
     degree = edges.groupBy("src").agg(F.count("*").alias("n"))
     weights = written(edges.join(degree, "src").select("src", "dst", (1.0 / F.col("n")).alias("w")), "weights")
     sources = weights.select("src").distinct()
     x = written(seeds.select("surfer", "id", F.col("p").alias("x")), "iterate")
-    p = seeds.select("surfer", "id", "p")
     for step in range(1, (iterations or cfg.max_iterations) + 1):
         stuck = x.join(sources, F.col("id") == F.col("src"), "left_anti").groupBy("surfer").agg(F.sum("x").alias("stuck"))
         flow = x.join(weights, F.col("id") == F.col("src")).select("surfer", F.col("dst").alias("id"), (d * F.col("x") * F.col("w")).alias("x"))
-        back = p.join(stuck, "surfer", "left").select("surfer", "id", ((d * F.coalesce("stuck", F.lit(0.0)) + (1 - d)) * F.col("p")).alias("x"))
-        after = flow.union(back).groupBy("surfer", "id").agg(F.sum("x").alias("x"))
-        if iterations:
-            x = written(after, "iterate") if step % every == 0 else after
-            continue
-        after = written(after, "iterate")
-        change = after.withColumn("s", F.lit(1.0)).union(x.withColumn("s", F.lit(-1.0))).groupBy("surfer", "id").agg(F.sum(F.col("x") * F.col("s")).alias("delta"))
-        worst = change.groupBy("surfer").agg(F.sum(F.abs("delta")).alias("l1")).agg(F.max("l1")).first()[0]
+        back = seeds.join(stuck, "surfer", "left").select("surfer", "id", ((d * F.coalesce("stuck", F.lit(0.0)) + (1 - d)) * F.col("p")).alias("x"))
+        after = written(flow.union(back).groupBy("surfer", "id").agg(F.sum("x").alias("x")), "iterate")
+        if iterations is None:
+            change = after.withColumn("s", F.lit(1.0)).union(x.withColumn("s", F.lit(-1.0))).groupBy("surfer", "id").agg(F.sum(F.col("x") * F.col("s")).alias("delta"))
+            worst = change.groupBy("surfer").agg(F.sum(F.abs("delta")).alias("l1")).agg(F.max("l1")).first()[0]
+            if worst is None or worst <= cfg.tolerance:
+                return after, step, True
         x = after
-        if worst is None or worst <= cfg.tolerance:
-            return x, step, True
-    return x, iterations or cfg.max_iterations, False
+    return x, iterations or cfg.max_iterations, iterations is not None
 
 
 def top_scores(scores: DataFrame, k: int = DEFAULT.top_k) -> DataFrame:

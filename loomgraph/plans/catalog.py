@@ -1,4 +1,699 @@
-"""Registry of the engine's queries over the driver tables, each with its DuckDB oracle."""
+"""Registry of the engine's queries over the driver tables, each with its DuckDB oracle where SQL can express it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+
+from loomgraph.functions import measures, text, url, vector
+from loomgraph.operators import candidates, crawl, dedup, extract, frontier, graph, metrics, profiles, ranking
+from loomgraph.operators import topics as topic_ops
+
+from . import adapters as A
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+def r9(c, n: int = 9):
+    return F.round(c, n)
+
+
+# ---- vectors and search ----------------------------------------------------------------------------------------
+
+_Q = "q AS (SELECT e AS qe FROM emb WHERE doc = 0)"
+
+
+def query_vector(spark: SparkSession, d: str) -> list[float]:
+    return A.embeddings(spark, d).filter("doc = 0").first()["embedding"]
+
+
+@query("knn_topk", A.sql("emb", f"{_Q} SELECT doc, round(list_cosine_similarity(e, qe), 9) AS cosine FROM emb, q ORDER BY list_cosine_similarity(e, qe) DESC, doc LIMIT 20"))
+def knn_topk(spark, d):
+    return candidates.nearest(A.embeddings(spark, d), query_vector(spark, d), 0, 20).select("doc", r9("cosine").alias("cosine"))
+
+
+@query("knn_offset_band", A.sql("emb", f"{_Q} SELECT doc, round(list_cosine_similarity(e, qe), 9) AS cosine FROM emb, q ORDER BY list_cosine_similarity(e, qe) DESC, doc LIMIT 100 OFFSET 50"))
+def knn_offset_band(spark, d):
+    return candidates.nearest(A.embeddings(spark, d), query_vector(spark, d), 50, 100).select("doc", r9("cosine").alias("cosine"))
+
+
+@query("search_scored", A.sql("corpus ev evd emb", f"""{_Q},
+k AS (SELECT doc, list_cosine_similarity(e, qe) AS c FROM emb, q),
+f AS (SELECT k.doc, c, tm FROM k JOIN corpus USING (doc) WHERE type <> 'page' AND doc NOT IN (SELECT doc FROM ev WHERE kind = 'hide' AND u = 1)),
+t AS (SELECT * FROM f ORDER BY c DESC, doc LIMIT 500),
+m AS (SELECT doc, greatest(c, 0) AS qc, power(0.5, greatest(epoch_us(TIMESTAMP '{A.NOW}') - epoch_us(tm), 0) / 86400e6 / 7.0) AS rec FROM t),
+s AS (SELECT doc, CASE WHEN max(qc) OVER () > min(qc) OVER () THEN (qc - min(qc) OVER ()) / (max(qc) OVER () - min(qc) OVER ()) ELSE CASE WHEN qc > 0 THEN 1.0 ELSE 0.0 END END AS c_query, rec FROM m)
+SELECT doc, round(5.0 * c_query + 0.5 * rec, 9) AS score FROM s ORDER BY 5.0 * c_query + 0.5 * rec DESC, doc LIMIT 20"""))
+def search_scored(spark, d):
+    """Search of one user: nearest documents past the hard filters, scored with the query's weight."""
+    near = candidates.nearest(A.embeddings(spark, d), query_vector(spark, d), 0, 1 << 30)
+    pairs = near.join(A.corpus(spark, d), "doc").select(F.lit(1).cast("long").alias("user"), "doc", "domain", "type", "cosine", "at")
+    ev = A.with_domain(A.events(spark, d), A.corpus(spark, d))
+    kept = candidates.hard_filtered(pairs, ev, seen=False, types=A.TYPES[:-1]).orderBy(F.desc("cosine"), "doc").limit(500)
+    zero = F.lit(0.0)
+    signals = kept.select(
+        "user", "doc", zero.alias("interest_cosine"), zero.alias("topic_overlap"), zero.alias("ppr"), F.lit(1).alias("n_documents"), zero.alias("liked_cosine"), zero.alias("hidden_cosine"),
+        measures.age_days(A.now(), F.col("at")).alias("age_days"), F.lit(7.0).alias("half_life_days"), zero.alias("hidden_max"), F.col("cosine").alias("query_cosine"),
+    )
+    scored = ranking.total(ranking.components(signals), "balanced", search=True)
+    return scored.orderBy(F.desc("score"), "doc").limit(20).select("doc", r9("score").alias("score"))
+
+
+@query("topic_tags", A.sql("emb", """t AS (SELECT doc AS topic, e AS te FROM emb WHERE doc < 8),
+s AS (SELECT doc, topic, list_cosine_similarity(e, te) AS score, row_number() OVER (PARTITION BY doc ORDER BY list_cosine_similarity(e, te) DESC, topic) AS r FROM emb, t),
+b AS (SELECT *, max(score) OVER (PARTITION BY doc) AS best FROM s WHERE r <= 3)
+SELECT doc, topic, round(score, 9) AS score FROM b WHERE score >= 0.2 AND score >= best - 0.05"""))
+def topic_tags(spark, d):
+    e = A.embeddings(spark, d)
+    return topic_ops.tag_documents(e, e.filter("doc < 8").withColumnRenamed("doc", "topic")).select("doc", "topic", r9("score").alias("score"))
+
+
+_LIKED = f"""liked AS (SELECT u, doc, kind, tm FROM (SELECT *, row_number() OVER (PARTITION BY u, doc ORDER BY tm DESC, event_id DESC) AS r FROM ev WHERE kind IN ('like', 'hide')) WHERE r = 1),
+w AS (SELECT u, kind, e, power(0.5, greatest(epoch_us(TIMESTAMP '{A.NOW}') - epoch_us(tm), 0) / 86400e6 / 90.0) AS w FROM liked JOIN emb USING (doc)),"""
+
+
+@query("profile_vectors", A.sql("ev emb", f"""{_LIKED}
+p AS (SELECT u, kind, pos, sum(w * x) / sum(w) AS x FROM (SELECT u, kind, w, unnest(e) AS x, unnest(generate_series(0, len(e) - 1)) AS pos FROM w) GROUP BY 1, 2, 3)
+SELECT u AS "user", kind, pos::BIGINT AS pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY u, kind)), 6) AS x FROM p"""))
+def profile_vectors(spark, d):
+    fb = profiles.latest_feedback(A.events(spark, d).select(F.col("event_id").alias("id"), "user", "doc", "kind", "at"))
+    rows = fb.join(A.embeddings(spark, d), "doc").select("user", "kind", "embedding", profiles.like_weight(A.now(), F.col("at")).alias("weight"))
+    return profiles.weighted_means(rows).select("user", "kind", F.posexplode("embedding").alias("pos", "x")).select("user", "kind", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
+
+
+@query("latest_feedback", A.sql("ev", """SELECT u AS "user", doc, kind, event_id AS id FROM (SELECT *, row_number() OVER (PARTITION BY u, doc ORDER BY tm DESC, event_id DESC) AS r FROM ev WHERE kind IN ('like', 'hide')) WHERE r = 1"""))
+def latest_feedback(spark, d):
+    return profiles.latest_feedback(A.events(spark, d).select(F.col("event_id").alias("id"), "user", "doc", "kind", "at")).select("user", "doc", "kind", "id")
+
+
+def _by_user(spark, d):
+    e = A.embeddings(spark, d)
+    fb = profiles.latest_feedback(A.events(spark, d).select(F.col("event_id").alias("id"), "user", "doc", "kind", "at")).filter("user < 5").join(e, "doc")
+    users = spark.range(5).select(F.col("id").alias("user"))
+    return e.filter("doc >= 100").crossJoin(F.broadcast(users)), fb  # five users by definition
+
+
+_NEAR = "cand AS (SELECT doc, e AS ce FROM emb WHERE doc >= 100), fb AS (SELECT u, doc, kind, e FROM (SELECT *, row_number() OVER (PARTITION BY u, doc ORDER BY tm DESC, event_id DESC) AS r FROM ev WHERE kind IN ('like', 'hide')) JOIN emb USING (doc) WHERE r = 1 AND u < 5)"
+
+
+@query("nearest_liked", A.sql("ev emb", f"""{_NEAR} SELECT "user", doc, liked, round(c, 9) AS cosine FROM (SELECT u AS "user", cand.doc, fb.doc AS liked, list_cosine_similarity(ce, e) AS c, row_number() OVER (PARTITION BY u, cand.doc ORDER BY list_cosine_similarity(ce, e) DESC, fb.doc) AS r FROM cand, fb WHERE kind = 'like') WHERE r = 1"""))
+def nearest_liked(spark, d):
+    cand, fb = _by_user(spark, d)
+    return profiles.most_similar(cand, fb.filter("kind = 'like'")).select("user", "doc", "liked", r9("cosine").alias("cosine"))
+
+
+@query("hidden_max_similarity", A.sql("ev emb", f"""{_NEAR} SELECT u AS "user", cand.doc, round(max(list_cosine_similarity(ce, e)), 9) AS similarity FROM cand, fb WHERE kind = 'hide' GROUP BY 1, 2"""))
+def hidden_max_similarity(spark, d):
+    cand, fb = _by_user(spark, d)
+    return profiles.max_similarity(cand, fb.filter("kind = 'hide'")).select("user", "doc", r9("similarity").alias("similarity"))
+
+
+# ---- hard filters and candidate sources ------------------------------------------------------------------------
+
+_SHOWN = "shown AS (SELECT u, doc FROM ev WHERE kind = 'impression' GROUP BY 1, 2 HAVING count(DISTINCT coalesce(rec, -event_id)) > {n})"
+
+
+def _pairs(spark, d):
+    users = spark.range(10).select(F.col("id").alias("user"))
+    return A.corpus(spark, d).filter("doc < 100").select("doc", "domain", "type").crossJoin(F.broadcast(users))  # ten users by definition
+
+
+_PAIRS = "pairs AS (SELECT doc, domain, type, u FROM corpus, (SELECT unnest(generate_series(0, 9)) AS u) WHERE doc < 100)"
+
+
+@query("hard_filters_feed", A.sql("corpus ev evd", f"""{_PAIRS}, {_SHOWN.format(n=3)}
+SELECT u::BIGINT AS "user", doc FROM pairs p WHERE type <> 'page' AND NOT EXISTS (SELECT 1 FROM evd x WHERE x.u = p.u AND x.doc = p.doc AND kind IN ('like', 'hide', 'click')) AND NOT EXISTS (SELECT 1 FROM shown s WHERE s.u = p.u AND s.doc = p.doc)"""))
+def hard_filters_feed(spark, d):
+    ev = A.with_domain(A.events(spark, d), A.corpus(spark, d))
+    return candidates.hard_filtered(_pairs(spark, d), ev, seen=True, types=A.TYPES[:-1]).select("user", "doc")
+
+
+@query("hard_filters_search", A.sql("corpus ev evd", f"""{_PAIRS} SELECT u::BIGINT AS "user", doc FROM pairs p WHERE type <> 'page' AND NOT EXISTS (SELECT 1 FROM evd x WHERE x.u = p.u AND x.doc = p.doc AND kind = 'hide')"""))
+def hard_filters_search(spark, d):
+    ev = A.with_domain(A.events(spark, d), A.corpus(spark, d))
+    return candidates.hard_filtered(_pairs(spark, d), ev, seen=False, types=A.TYPES[:-1]).select("user", "doc")
+
+
+@query("impressions_overshown", A.sql("ev", """SELECT u AS "user", doc, count(DISTINCT coalesce(rec, -event_id)) AS n FROM ev WHERE kind = 'impression' GROUP BY 1, 2 HAVING count(DISTINCT coalesce(rec, -event_id)) > 1"""))
+def impressions_overshown(spark, d):
+    return candidates.overshown(A.events(spark, d), 1)
+
+
+@query("recent_pinned", A.sql("corpus", """SELECT "user", doc FROM (SELECT u AS "user", doc, row_number() OVER (PARTITION BY u ORDER BY tm DESC, doc) AS r FROM corpus JOIN (VALUES (0, 'src0'), (0, 'src1'), (1, 'src1'), (1, 'src2')) p(u, domain) USING (domain)) WHERE r <= 50"""))
+def recent_pinned(spark, d):
+    pins = spark.sql("SELECT * FROM VALUES (0L, 'src0'), (0L, 'src1'), (1L, 'src1'), (1L, 'src2') AS t(user, domain)")
+    rows = candidates.recent_pinned(A.corpus(spark, d).withColumnRenamed("at", "recent"), pins, 50)
+    return rows.select(F.col("user").cast("int").alias("user"), "doc")
+
+
+@query("pinned_twins", r"""WITH h AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/?#:]*)', 1) AS domain FROM pages), b AS (SELECT domain, regexp_replace(domain, '^www\.', '') AS bare FROM h)
+SELECT DISTINCT a.domain AS pinned, c.domain AS domain FROM b a JOIN b c USING (bare)""")
+def pinned_twins(spark, d):
+    hosts = A.table(spark, d, "pages").select(url.host(F.col("url")).alias("domain")).distinct()
+    return candidates.pinned_twins(hosts.select(F.col("domain").alias("user"), "domain"), hosts).select(F.col("user").alias("pinned"), "domain")
+
+
+@query("topic_adjacent", A.sql("corpus topics interests lineage covering tags", """adj AS (SELECT u, topic FROM (
+  SELECT i.u, t.parent AS topic FROM interests i JOIN topics t USING (topic) WHERE t.parent IS NOT NULL UNION
+  SELECT i.u, s.topic FROM interests i JOIN topics t USING (topic) JOIN topics s ON s.parent = t.parent AND s.topic <> i.topic) a ANTI JOIN covering c USING (u, topic)),
+x AS (SELECT u, tags.doc, topic, row_number() OVER (PARTITION BY u ORDER BY score DESC, tm DESC, tags.doc, topic) AS r FROM tags JOIN adj USING (topic) JOIN corpus USING (doc)
+  WHERE NOT EXISTS (SELECT 1 FROM tags t2 JOIN covering c ON c.topic = t2.topic WHERE c.u = adj.u AND t2.doc = tags.doc)),
+f AS (SELECT u, doc, min(r) AS r FROM x WHERE r <= 60 GROUP BY 1, 2)
+SELECT u::BIGINT AS "user", doc FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY r) AS k FROM f) WHERE k <= 20"""))
+def topic_adjacent(spark, d):
+    t, i = A.topics(spark, d), A.interests(spark, d)
+    docs = A.corpus(spark, d).withColumnRenamed("at", "recent")
+    return candidates.topic_adjacent(A.tags(spark, d), docs, topic_ops.adjacent(t, i), topic_ops.covering(t, i).select("user", "topic"), 20).select("user", "doc")
+
+
+# ---- topics ----------------------------------------------------------------------------------------------------
+
+
+@query("topic_lineage", A.sql("topics lineage", "SELECT topic, ancestor, distance::BIGINT AS distance FROM lineage"))
+def topic_lineage(spark, d):
+    return topic_ops.lineage(A.topics(spark, d))
+
+
+@query("topics_covering", A.sql("topics interests lineage covering", 'SELECT u::BIGINT AS "user", topic, interest::BIGINT AS interest, weight FROM covering'))
+def topics_covering(spark, d):
+    return topic_ops.covering(A.topics(spark, d), A.interests(spark, d))
+
+
+@query("topics_adjacent", A.sql("topics interests lineage covering", """a AS (
+  SELECT i.u, i.topic AS interest, i.weight, t.parent AS shown, 0 AS g, t.parent AS topic FROM interests i JOIN topics t USING (topic) WHERE t.parent IS NOT NULL UNION ALL
+  SELECT i.u, i.topic, i.weight, s.topic, 1, s.topic FROM interests i JOIN topics t USING (topic) JOIN topics s ON s.parent = t.parent AND s.topic <> i.topic)
+SELECT u::BIGINT AS "user", topic, shown, interest::BIGINT AS interest FROM (SELECT *, row_number() OVER (PARTITION BY u, topic ORDER BY weight DESC, interest, g, shown) AS r FROM a ANTI JOIN covering c USING (u, topic)) WHERE r = 1"""))
+def topics_adjacent(spark, d):
+    return topic_ops.adjacent(A.topics(spark, d), A.interests(spark, d))
+
+
+@query("topic_overlap", A.sql("topics interests lineage covering tags", """SELECT u::BIGINT AS "user", doc, round(sum(score * weight) / (any_value(mass) * 2.0), 9) AS overlap
+FROM tags JOIN covering USING (topic) JOIN (SELECT doc, sum(score) AS mass FROM tags GROUP BY 1) USING (doc) GROUP BY 1, 2"""))
+def topic_overlap(spark, d):
+    return topic_ops.overlap(A.tags(spark, d), A.topics(spark, d), A.interests(spark, d)).select("user", "doc", r9("overlap").alias("overlap"))
+
+
+@query("matched_interests", A.sql("topics interests lineage covering tags", """SELECT u::BIGINT AS "user", doc, interest::BIGINT AS interest, round(sum(score * weight), 9) AS strength FROM tags JOIN covering USING (topic) GROUP BY 1, 2, 3"""))
+def matched_interests(spark, d):
+    rows = A.tags(spark, d).join(topic_ops.covering(A.topics(spark, d), A.interests(spark, d)), "topic")
+    return rows.groupBy("user", "doc", "interest").agg(r9(F.sum(F.col("score") * F.col("weight"))).alias("strength"))
+
+
+@query("taxonomy_diff", """WITH o AS (SELECT n_nationkey AS topic, n_name AS name, n_regionkey AS parent FROM nation WHERE n_nationkey < 20), n AS (SELECT n_nationkey AS topic, CASE WHEN n_nationkey % 5 = 0 THEN n_name || '!' ELSE n_name END AS name, n_regionkey AS parent FROM nation WHERE n_nationkey >= 5)
+SELECT coalesce(o.topic, n.topic) AS topic, CASE WHEN o.topic IS NULL THEN 'inserted' WHEN n.topic IS NULL THEN 'deleted' WHEN o.name IS NOT DISTINCT FROM n.name AND o.parent IS NOT DISTINCT FROM n.parent THEN 'same' ELSE 'updated' END AS action FROM o FULL JOIN n USING (topic)""")
+def taxonomy_diff(spark, d):
+    t = A.table(spark, d, "nation").select(F.col("n_nationkey").alias("topic"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("parent"))
+    new = t.filter("topic >= 5").withColumn("name", F.when(F.col("topic") % 5 == 0, F.concat("name", F.lit("!"))).otherwise(F.col("name")))
+    return topic_ops.seed_diff(t.filter("topic < 20"), new).select("topic", "action")
+
+
+# ---- graph and frontier ----------------------------------------------------------------------------------------
+
+
+def _edges(spark, d):
+    return graph.document_edges(A.raw_links(spark, d), A.urls(spark, d))
+
+
+@query("graph_edges", A.sql("links edges", "SELECT src, dst FROM edges"))
+def graph_edges(spark, d):
+    return _edges(spark, d)
+
+
+@query("out_degree", A.sql("links", "SELECT src, count(*) AS n FROM links GROUP BY 1"))
+def out_degree(spark, d):
+    return graph.out_degrees(A.raw_links(spark, d))
+
+
+@query("seed_vector", A.sql("nodes pins seeds", "SELECT surfer, id, round(p, 12) AS p FROM seeds"))
+def seed_vector(spark, d):
+    return graph.seed_vectors(A.nodes(spark, d), A.pins(spark, d)).select("surfer", "id", F.round("p", 12).alias("p"))
+
+
+@query("seed_blend", A.sql("nodes pins seeds", "SELECT id, round(sum(p) / (SELECT count(DISTINCT surfer) FROM seeds), 12) AS p FROM seeds GROUP BY 1"))
+def seed_blend(spark, d):
+    n = A.nodes(spark, d)
+    return graph.blended_seeds(n, graph.seed_vectors(n, A.pins(spark, d))).select("id", F.round("p", 12).alias("p"))
+
+
+_W = """deg AS (SELECT src, count(*) AS n FROM edges GROUP BY 1),
+sd AS (SELECT s.surfer, n.id, coalesce(p, 0.0) AS p FROM (SELECT DISTINCT surfer FROM {seeds}) s CROSS JOIN nodes n LEFT JOIN {seeds} z ON z.surfer = s.surfer AND z.id = n.id),
+w AS (SELECT src, dst, 1.0::DOUBLE / n AS w FROM edges JOIN deg USING (src) UNION ALL SELECT id, id, 0.0 FROM nodes),
+it AS (SELECT 0 AS i, surfer, id, p AS x FROM sd UNION ALL
+  SELECT i + 1, surfer, dst, sum(0.85 * x * w) + max((0.85 * stuck + 0.15) * p)
+  FROM (SELECT a.i, a.surfer, w.dst, a.x, w.w, a.stuck, sd.p FROM (SELECT it.i, it.surfer, it.id, it.x, sum(CASE WHEN deg.src IS NULL THEN x ELSE 0 END) OVER (PARTITION BY it.surfer) AS stuck FROM it LEFT JOIN deg ON deg.src = it.id WHERE i < 10) a
+        JOIN w ON w.src = a.id JOIN sd ON sd.surfer = a.surfer AND sd.id = w.dst) GROUP BY i, surfer, dst)"""
+_GLOBAL = "gs AS (SELECT 0::BIGINT AS surfer, id, sum(p) / (SELECT count(DISTINCT surfer) FROM seeds) AS p FROM seeds GROUP BY id)"
+
+
+def user_scores(spark, d):
+    n = A.nodes(spark, d)
+    return graph.pagerank(n, _edges(spark, d), graph.seed_vectors(n, A.pins(spark, d)), iterations=10)[0]
+
+
+def global_scores(spark, d):
+    n = A.nodes(spark, d)
+    seeds = graph.blended_seeds(n, graph.seed_vectors(n, A.pins(spark, d))).select(F.lit(0).cast("long").alias("surfer"), "id", "p")
+    return graph.pagerank(n, _edges(spark, d), seeds, iterations=10)[0]
+
+
+_PR_USER = A.sql("nodes links edges pins seeds", _W.format(seeds="seeds"), recursive=True)
+_PR_GLOBAL = A.sql("nodes links edges pins seeds", _GLOBAL + ",\n" + _W.format(seeds="gs"), recursive=True)
+
+
+@query("pagerank_user_10", f"{_PR_USER} SELECT surfer, id, round(x, 9) AS x FROM it WHERE i = 10 AND x > 0")
+def pagerank_user_10(spark, d):
+    return user_scores(spark, d).filter("x > 0").select("surfer", "id", r9("x").alias("x"))
+
+
+@query("pagerank_global_10", f"{_PR_GLOBAL} SELECT id, round(x, 9) AS x FROM it WHERE i = 10 AND x > 0")
+def pagerank_global_10(spark, d):
+    return global_scores(spark, d).filter("x > 0").select("id", r9("x").alias("x"))
+
+
+@query("pagerank_topk", f"{_PR_USER} SELECT surfer, id FROM (SELECT surfer, id, row_number() OVER (PARTITION BY surfer ORDER BY round(x, 12) DESC, id) AS r FROM it WHERE i = 10 AND x > 0) WHERE r <= 100")
+def pagerank_topk(spark, d):
+    return graph.top_scores(user_scores(spark, d).withColumn("x", F.round("x", 12)), 100).select("surfer", "id")
+
+
+@query("domain_scores", f"{_PR_GLOBAL} SELECT domain, round(avg(coalesce(x, 0)), 9) AS score FROM nodes LEFT JOIN (SELECT id, x FROM it WHERE i = 10) USING (id) GROUP BY 1 HAVING avg(coalesce(x, 0)) > 0")
+def domain_scores(spark, d):
+    return graph.domain_scores(A.nodes(spark, d), global_scores(spark, d).select("id", "x")).select("domain", r9("score").alias("score"))
+
+
+@query("frontier_priority", A.sql("links", """sc AS (SELECT p_partkey AS id, 1.0::DOUBLE / (1 + p_partkey % 97) AS x FROM part WHERE p_partkey % 4 <> 0), ds AS (SELECT p_brand AS domain, avg(p_size)::DOUBLE / 100 AS score FROM part WHERE p_partkey % 2 = 0 GROUP BY 1 HAVING avg(p_size) > 25),
+deg AS (SELECT src, count(*) AS n FROM links GROUP BY 1), mass AS (SELECT dst_url, sum(x / n) AS m FROM links JOIN sc ON sc.id = src JOIN deg USING (src) GROUP BY 1)
+SELECT p_partkey AS url_id, round(coalesce(m, 0) + coalesce(score, 0), 9) AS priority FROM part LEFT JOIN mass ON dst_url = p_partkey LEFT JOIN ds ON domain = p_brand"""))
+def frontier_priority(spark, d):
+    part = A.table(spark, d, "part")
+    scores = part.filter("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("id"), (1.0 / (1 + F.col("p_partkey") % 97)).alias("x"))
+    ds = part.filter("p_partkey % 2 = 0").groupBy(F.col("p_brand").alias("domain")).agg((F.avg("p_size") / 100).alias("score")).filter("score > 0.25")
+    return frontier.priorities(A.raw_links(spark, d), scores, frontier.domain_prior(ds, A.urls(spark, d))).select("url_id", r9("priority").alias("priority"))
+
+
+@query("domain_reach_2hop", A.sql("nodes links edges pins", """adj AS (SELECT DISTINCT a.domain AS a, b.domain AS b FROM edges JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst WHERE a.domain <> b.domain),
+l1 AS (SELECT surfer, b AS domain, min(a) AS via FROM pins JOIN adj ON a = pins.domain WHERE (surfer, b) NOT IN (SELECT surfer, domain FROM pins) GROUP BY 1, 2),
+l2 AS (SELECT l1.surfer, b AS domain, min(a) AS via FROM l1 JOIN adj ON a = l1.domain WHERE (l1.surfer, b) NOT IN (SELECT surfer, domain FROM pins UNION ALL SELECT surfer, domain FROM l1) GROUP BY 1, 2)
+SELECT surfer, domain, 1::BIGINT AS hops, via AS path FROM l1 UNION ALL SELECT l2.surfer, l2.domain, 2, l1.via || '>' || l2.via FROM l2 JOIN l1 ON l1.surfer = l2.surfer AND l1.domain = l2.via"""))
+def domain_reach_2hop(spark, d):
+    adj = graph.domain_adjacency(_edges(spark, d), A.nodes(spark, d))
+    return graph.reach(adj, A.pins(spark, d)).withColumn("path", F.array_join("path", ">"))
+
+
+@query("linkers_ranked", A.sql("nodes links edges", """SELECT doc, host, round(mass, 9) AS mass, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY round(mass, 12) DESC, host) AS rank FROM (SELECT dst AS doc, a.domain AS host, sum(CASE WHEN src % 3 = 0 THEN 0.0 ELSE 1.0::DOUBLE / (1 + src) END) AS mass FROM edges JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst WHERE a.domain <> b.domain GROUP BY 1, 2)) WHERE rank <= 2"""))
+def linkers_ranked(spark, d):
+    ppr = A.nodes(spark, d).filter("id % 3 <> 0").select("id", (1.0 / (1 + F.col("id"))).alias("x"))
+    return candidates.linkers(_edges(spark, d), A.nodes(spark, d), ppr).filter("rank <= 2").select("doc", "host", r9("mass").alias("mass"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("graph_adjacent", A.sql("corpus tags", """SELECT "user", doc FROM (SELECT u AS "user", doc, row_number() OVER (PARTITION BY u ORDER BY CASE WHEN doc % 4 = 0 THEN 0.0 ELSE 1.0::DOUBLE / (doc % 50 + 1) END DESC, tm DESC, doc) AS r FROM corpus JOIN (VALUES (0::BIGINT, 'src3'), (0, 'src4'), (1, 'src5')) p(u, domain) USING (domain) WHERE doc IN (SELECT doc FROM tags)) WHERE r <= 30"""))
+def graph_adjacent(spark, d):
+    reached = spark.sql("SELECT * FROM VALUES (0L, 'src3'), (0L, 'src4'), (1L, 'src5') AS t(user, domain)")
+    docs = A.corpus(spark, d).withColumnRenamed("at", "recent")
+    ppr = docs.filter("doc % 4 <> 0").select("doc", (1.0 / (F.col("doc") % 50 + 1)).alias("ppr")).crossJoin(F.broadcast(spark.range(2).select(F.col("id").alias("user"))))  # two users
+    return candidates.graph_adjacent(docs, reached, ppr, A.tags(spark, d), 30).select("user", "doc")
+
+
+@query("redirect_resolution", """WITH n AS (SELECT n_nationkey AS src, min(b) AS dst FROM (SELECT a.n_nationkey, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND b.n_nationkey > a.n_nationkey) GROUP BY 1)
+SELECT src, (SELECT max(n_nationkey) FROM nation c WHERE c.n_regionkey = (SELECT n_regionkey FROM nation e WHERE e.n_nationkey = src)) AS dst FROM n""")
+def redirect_resolution(spark, d):
+    n = A.table(spark, d, "nation").select(F.col("n_nationkey").alias("src"), F.col("n_regionkey").alias("r"))
+    nxt = n.join(n.select(F.col("src").alias("dst"), F.col("r").alias("r2")), (F.col("r") == F.col("r2")) & (F.col("dst") > F.col("src"))).groupBy("src").agg(F.min("dst").alias("dst"))
+    return graph.resolve_redirects(nxt)
+
+
+def _entries(spark, d):
+    o = A.table(spark, d, "orders")
+    return o.select(F.col("o_orderkey").alias("url_id"), F.col("o_custkey").alias("domain"), F.col("o_totalprice").alias("priority"), F.col("o_orderdate").cast("timestamp").alias("enqueued_at"), "o_orderstatus", (F.col("o_orderkey") % 5).alias("change_count"), (F.col("o_orderkey") % 7).alias("fetch_count"), F.col("o_orderdate").cast("timestamp").alias("last_fetched_at"))
+
+
+_ROOM = "room AS (SELECT c_custkey AS domain, floor(10.0 / nullif(greatest(0.5, coalesce(CASE WHEN c_custkey % 4 = 0 THEN 5.0 END, 0), coalesce(CASE WHEN c_custkey % 3 = 0 THEN 2.5 END, 1.0)), 0)) - c_custkey % 3 AS room FROM customer)"
+
+
+def _rooms(spark, d):
+    c = A.table(spark, d, "customer")
+    k = F.col("c_custkey")
+    return c.select(k.alias("domain"), measures.room(10.0, F.when(k % 4 == 0, 5.0), F.when(k % 3 == 0, 2.5), k % 3, 20_000).alias("room"))
+
+
+@query("frontier_plan", f"""WITH {_ROOM},
+e AS (SELECT o_orderkey AS url_id, o_custkey AS domain, o_totalprice AS p, o_orderdate AS tm, o_orderstatus AS s, (o_orderkey % 5)::DOUBLE / greatest(o_orderkey % 7, 1) AS rate FROM orders),
+a AS (SELECT url_id, domain, 'recrawl' AS reason FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY rate DESC, p DESC, tm NULLS FIRST, url_id) AS r FROM e WHERE s = 'F') JOIN room USING (domain) WHERE r <= room ORDER BY rate DESC, p DESC, tm NULLS FIRST, url_id LIMIT 20),
+lft AS (SELECT domain, room - coalesce(n, 0) AS room FROM room LEFT JOIN (SELECT domain, count(*) AS n FROM a GROUP BY 1) USING (domain)),
+b AS (SELECT url_id, domain, 'new' AS reason FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY p DESC, tm, url_id) AS r FROM e WHERE s <> 'F') JOIN lft USING (domain) WHERE r <= room ORDER BY p DESC, tm, url_id LIMIT 80)
+SELECT * FROM a UNION ALL SELECT * FROM b""")
+def frontier_plan(spark, d):
+    e = _entries(spark, d)
+    return frontier.plan_cycle(e.filter("o_orderstatus <> 'F'"), e.filter("o_orderstatus = 'F'"), _rooms(spark, d), 100)
+
+
+@query("domain_room", f"WITH {_ROOM} SELECT domain, room::BIGINT AS room FROM room")
+def domain_room(spark, d):
+    return _rooms(spark, d).select("domain", F.col("room").cast("long").alias("room"))
+
+
+@query("position_min", "SELECT l_partkey AS url_id, min(l_linenumber)::BIGINT AS depth, min(l_suppkey % 4)::BIGINT AS hops FROM lineitem GROUP BY 1 HAVING min(l_linenumber) <= 5 AND min(l_suppkey % 4) <= 1")
+def position_min(spark, d):
+    rows = A.table(spark, d, "lineitem").select(F.col("l_partkey").alias("url_id"), F.col("l_linenumber").cast("long").alias("depth"), (F.col("l_suppkey") % 4).alias("hops"))
+    return frontier.merged_positions(rows)
+
+
+@query("enqueue_merge", """WITH f AS (SELECT p_partkey AS url_id, (p_size % 6)::BIGINT AS depth, (p_partkey % 2)::BIGINT AS hops, p_retailprice / 10000 AS priority FROM part WHERE p_partkey % 3 = 0),
+c AS (SELECT l_partkey AS url_id, min(l_linenumber)::BIGINT AS nd, min(l_suppkey % 4)::BIGINT AS nh, max(l_discount) AS np FROM lineitem GROUP BY 1 HAVING min(l_linenumber) <= 5 AND min(l_suppkey % 4) <= 1),
+g AS (SELECT p_partkey AS url_id FROM part WHERE p_partkey % 5 = 0 AND p_partkey % 3 <> 0)
+SELECT coalesce(f.url_id, c.url_id) AS url_id, least(depth, nd) AS depth, least(hops, nh) AS hops, CASE WHEN depth IS NULL OR nd < depth OR nh < hops THEN greatest(priority, np) ELSE priority END AS priority,
+ CASE WHEN depth IS NULL THEN 'inserted' WHEN nd < depth OR nh < hops THEN 'improved' ELSE 'kept' END AS action
+FROM f FULL JOIN (SELECT * FROM c WHERE url_id NOT IN (SELECT url_id FROM g)) c ON f.url_id = c.url_id""")
+def enqueue_merge(spark, d):
+    part, line = A.table(spark, d, "part"), A.table(spark, d, "lineitem")
+    f = part.filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("url_id"), (F.col("p_size") % 6).cast("long").alias("depth"), (F.col("p_partkey") % 2).alias("hops"), (F.col("p_retailprice") / 10000).alias("priority"))
+    c = line.select(F.col("l_partkey").alias("url_id"), F.col("l_linenumber").cast("long").alias("depth"), (F.col("l_suppkey") % 4).alias("hops"), F.col("l_discount").alias("prior"))
+    return frontier.enqueue(f, c, part.filter("p_partkey % 5 = 0").select(F.col("p_partkey").alias("url_id")))
+
+
+@query("record_fetch", f"""WITH r AS (SELECT o_orderkey AS url_id, CASE o_orderkey % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'not_modified' WHEN 2 THEN 'retry' WHEN 3 THEN 'gone' ELSE 'ok' END AS outcome, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'h' || (o_custkey % 2)::VARCHAR END AS old, 'h1' AS body, o_orderkey % 4 AS failures FROM orders)
+SELECT url_id, outcome, 1::BIGINT AS fetch_count, CASE WHEN outcome = 'ok' AND old IS NOT NULL AND old <> body THEN 1 ELSE 0 END::BIGINT AS change_count, CASE WHEN outcome = 'retry' THEN failures + 1 ELSE 0 END AS failures,
+ CASE WHEN outcome IN ('ok', 'not_modified') THEN 'reschedule' WHEN outcome = 'retry' AND failures + 1 < 4 THEN 'retry' ELSE 'drop' END AS action,
+ CASE WHEN outcome IN ('ok', 'not_modified') THEN 20.0 WHEN outcome = 'retry' AND failures + 1 < 4 THEN 20.0 * power(2, failures) END AS due_in_h FROM r""")
+def record_fetch(spark, d):
+    k = F.col("o_orderkey")
+    kind = F.when(k % 5 == 1, "not_modified").when(k % 5 == 2, "retry").when(k % 5 == 3, "gone").otherwise("ok")
+    rows = A.table(spark, d, "orders").select(
+        k.alias("url_id"), kind.alias("outcome"), F.lit("h1").alias("body_hash"), F.when(k % 3 != 0, F.concat(F.lit("h"), (F.col("o_custkey") % 2).cast("string"))).alias("old_hash"),
+        F.lit(0).cast("long").alias("fetch_count"), F.lit(0).cast("long").alias("change_count"), (k % 4).alias("failures"),
+    )
+    out = frontier.record(rows, A.now())
+    due = (F.unix_micros("next_fetch_at") - F.unix_micros(A.now())) / 3.6e9
+    return out.select("url_id", "outcome", "fetch_count", "change_count", "failures", "action", due.alias("due_in_h"))
+
+
+# ---- URLs, pages, text -----------------------------------------------------------------------------------------
+
+_HOST = r"lower(regexp_extract(url, '^https?://([^/?#:]*)', 1))"
+
+
+@query("url_host", f"SELECT page_id, {_HOST} AS host FROM pages")
+def url_host(spark, d):
+    return A.table(spark, d, "pages").select("page_id", url.host(F.col("url")).alias("host"))
+
+
+@query("url_canonical_ascii", rf"""WITH p AS (SELECT page_id, {_HOST} AS host, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS q, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) AS scheme FROM pages),
+s AS (SELECT *, list_filter(list_sort(string_split(q, '&')), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(utm_.*|mc_.*|fbclid|gclid|gclsrc|dclid|msclkid|igshid|ref|ref_src|_hsenc|_hsmi)(=.*)?$')) AS k FROM p)
+SELECT page_id, scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(k) = 0 THEN '' ELSE '?' || array_to_string(k, '&') END AS canonical FROM s""")
+def url_canonical_ascii(spark, d):
+    return A.table(spark, d, "pages").select("page_id", url.canonical_ascii(F.col("url")).alias("canonical"))
+
+
+@query("url_canonical_full")
+def url_canonical_full(spark, d):
+    return A.table(spark, d, "pages").select("page_id", url.canonicalize(F.col("url")).alias("canonical"))
+
+
+@query("url_path_filter", r"""SELECT page_id, regexp_matches(lower(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)) || '/', '/(account|accounts|cart|checkout|forgot-password|login|logout|password-reset|register|sign-in|sign-up|signin|signup|subscribe|subscription|subscriptions)[0-9]*/') AS skipped FROM pages""")
+def url_path_filter(spark, d):
+    return A.table(spark, d, "pages").select("page_id", url.has_segment(F.col("url")).alias("skipped"))
+
+
+@query("url_same_site", rf"""SELECT a.page_id, b.page_id AS other FROM pages a JOIN pages b ON b.page_id = a.page_id + 1 WHERE regexp_replace({_HOST.replace("url", "a.url")}, '^www\.', '') = regexp_replace({_HOST.replace("url", "b.url")}, '^www\.', '')""")
+def url_same_site(spark, d):
+    p = A.table(spark, d, "pages").select("page_id", "url")
+    b = p.select((F.col("page_id") - 1).alias("page_id"), F.col("page_id").alias("other"), F.col("url").alias("url2"))
+    return p.join(b, "page_id").filter(url.same_site(F.col("url"), F.col("url2"))).select("page_id", "other")
+
+
+@query("classify_url_type", rf"""SELECT page_id, CASE WHEN regexp_matches(url, '(?i)^https?://[^/]+/(.+/)?threads?/.') THEN 'thread' WHEN regexp_matches(url, '{url.DATED_PATH}') THEN 'post' ELSE 'page' END AS type FROM pages""")
+def classify_url_type(spark, d):
+    none = F.lit(None)
+    kind = extract.classify(F.col("url"), F.lit("text/html"), F.lit(False), F.array().cast("array<string>"), none.cast("string"))
+    return A.table(spark, d, "pages").select("page_id", kind["type"].alias("type"))
+
+
+@query("page_title", r"""SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)', 1), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')), '') AS title, regexp_extract(html, '<html lang="([a-z]+)', 1) AS lang FROM pages""")
+def page_title(spark, d):
+    return extract.parse_pages(A.table(spark, d, "pages")).select("page_id", "title", "lang")
+
+
+@query("page_anchors", r"""SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="[^"#]', 0)) AS a FROM pages) GROUP BY 1""")
+def page_anchors(spark, d):
+    return extract.parse_pages(A.table(spark, d, "pages")).select("page_id", F.explode("links").alias("l")).groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@query("page_out_links")
+def page_out_links(spark, d):
+    return extract.out_links(extract.parse_pages(A.table(spark, d, "pages")))
+
+
+@query("page_main_text")
+def page_main_text(spark, d):
+    return extract.parse_pages(A.table(spark, d, "pages")).select("page_id", "text")
+
+
+@query("page_classification")
+def page_classification(spark, d):
+    p = extract.parse_pages(A.table(spark, d, "pages"))
+    kind = extract.classify(F.col("url"), F.lit("text/html"), F.col("scholarly"), F.col("schema_types"), F.col("og_type"))
+    return p.select("page_id", kind["type"].alias("type"), kind["classifier"].alias("classifier"))
+
+
+_FLAT = r"trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))"
+
+
+@query("text_normalize", r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t\x0B\f\r]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')[:200000] AS text FROM documents""")
+def text_normalize(spark, d):
+    return A.table(spark, d, "documents").select("doc_id", text.normalize(F.col("text")).alias("text"))
+
+
+@query("text_excerpt", rf"""WITH f AS (SELECT doc_id, {_FLAT} AS t FROM documents) SELECT doc_id, CASE WHEN length(t) <= 300 THEN t ELSE regexp_replace(regexp_replace(t[:300], '[^ ]*$', ''), '[ ,;:.]+$', '') || '…' END AS excerpt FROM f""")
+def text_excerpt(spark, d):
+    return A.table(spark, d, "documents").select("doc_id", text.excerpt(F.col("text")).alias("excerpt"))
+
+
+@query("word_count", rf"""SELECT doc_id, CASE WHEN {_FLAT} = '' THEN 0 ELSE len(string_split({_FLAT}, ' ')) END::BIGINT AS words FROM documents""")
+def word_count(spark, d):
+    return A.table(spark, d, "documents").select("doc_id", text.word_count(F.col("text")).alias("words"))
+
+
+@query("truncate_words", r"""SELECT doc_id, CASE WHEN length(text) <= 200 THEN text WHEN regexp_matches(text[201:201], '^\S') AND regexp_matches(text[:200], '\s') THEN regexp_replace(text[:200], '\s+\S*$', '') ELSE text[:200] END AS head FROM documents""")
+def truncate_words(spark, d):
+    return A.table(spark, d, "documents").select("doc_id", text.truncate_words(F.col("text"), 200).alias("head"))
+
+
+@query("embedding_input")
+def embedding_input(spark, d):
+    t = F.col("text")
+    value = text.embedding_input(F.concat(F.lit("Document "), F.col("doc_id").cast("string")), text.excerpt(t), t)
+    return A.table(spark, d, "documents").select("doc_id", value.alias("input"), F.sha2(value, 256).alias("input_hash"))
+
+
+@query("content_hash_ascii", rf"SELECT doc_id, sha256(lower({_FLAT})) AS hash FROM documents")
+def content_hash_ascii(spark, d):
+    return A.table(spark, d, "documents").select("doc_id", text.content_hash_ascii(F.col("text")).alias("hash"))
+
+
+@query("content_hash_full")
+def content_hash_full(spark, d):
+    return A.table(spark, d, "documents").select("doc_id", text.content_hash(F.col("text")).alias("hash"))
+
+
+_HASHED = rf"h AS (SELECT doc_id AS doc, sha256(lower({_FLAT})) AS hash, CASE WHEN {_FLAT} = '' THEN 0 ELSE len(string_split({_FLAT}, ' ')) END AS words FROM documents)"
+
+
+def _hashed(spark, d):
+    t = F.col("text")
+    return A.table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.when(F.col("doc_id") % 50 == 1, F.concat(F.lit("c"), (F.col("doc_id") % 9).cast("string"))).otherwise(F.concat(F.lit("u"), F.col("doc_id").cast("string"))).alias("canonical_url"), text.content_hash_ascii(t).alias("content_hash"), text.word_count(t).alias("words"))
+
+
+@query("dedup_exact", f"WITH {_HASHED} SELECT hash AS content_hash, min(doc) AS oldest FROM h WHERE words >= 50 GROUP BY 1")
+def dedup_exact(spark, d):
+    return dedup.oldest_by_hash(_hashed(spark, d))
+
+
+@query("dedup_decisions", f"""WITH {_HASHED}, o AS (SELECT hash, min(doc) AS oldest FROM h WHERE words >= 50 GROUP BY 1), x AS (SELECT h.*, oldest, CASE WHEN doc % 50 = 1 AND doc % 9 < 4 THEN 1000000 + doc % 9 END AS mapped FROM h LEFT JOIN o USING (hash))
+SELECT doc, CASE WHEN mapped IS NOT NULL THEN mapped WHEN words >= 50 AND oldest < doc THEN oldest ELSE doc END AS target, CASE WHEN mapped IS NOT NULL THEN 'canonical' WHEN words >= 50 AND oldest < doc THEN 'content_hash' ELSE 'new' END AS method FROM x""")
+def dedup_decisions(spark, d):
+    canonical = spark.range(4).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("canonical_url"), (F.col("id") + 1000000).alias("target"))
+    return dedup.decide(_hashed(spark, d), canonical).select("doc", "target", "method")
+
+
+# ---- scores, pages, reasons ------------------------------------------------------------------------------------
+
+
+@query("recency_score", A.sql("corpus", f"""SELECT doc, round(power(0.5, greatest((epoch_us(TIMESTAMP '{A.NOW}') - epoch_us(tm)) / 86400e6, 0) / CASE WHEN type IN ('paper', 'pdf') THEN 90.0 ELSE 7.0 END), 9) AS recency FROM corpus"""))
+def recency_score(spark, d):
+    return A.corpus(spark, d).select("doc", r9(measures.recency(measures.age_days(A.now(), F.col("at")), measures.half_life(F.col("type")))).alias("recency"))
+
+
+@query("components_total", """WITH s AS (SELECT event_id AS doc, user_id AS u, value, (event_id % 13)::DOUBLE / 13 - 0.3 AS cos, (event_id % 7)::DOUBLE / 7 AS ov, (event_id % 101)::DOUBLE / 1e4 AS ppr, (event_id % 17)::DOUBLE / 17 AS lk, (event_id % 19)::DOUBLE / 19 AS hd, (event_id % 30)::DOUBLE AS age, (event_id % 23)::DOUBLE / 22 AS hm FROM events),
+r AS (SELECT *, greatest(cos, 0) AS c1, ln(1 + ppr * 1000) AS c2, greatest(lk - hd, 0) AS c3 FROM s),
+m AS (SELECT *, min(c1) OVER w AS a1, max(c1) OVER w AS b1, min(ov) OVER w AS a0, max(ov) OVER w AS b0, min(c2) OVER w AS a2, max(c2) OVER w AS b2, min(c3) OVER w AS a3, max(c3) OVER w AS b3 FROM r WINDOW w AS (PARTITION BY u))
+SELECT doc, round(0.5 * CASE WHEN b1 > a1 THEN (c1 - a1) / (b1 - a1) WHEN c1 > 0 THEN 1 ELSE 0 END + 0.5 * CASE WHEN b0 > a0 THEN (ov - a0) / (b0 - a0) WHEN ov > 0 THEN 1 ELSE 0 END
+ + CASE WHEN b2 > a2 THEN (c2 - a2) / (b2 - a2) WHEN c2 > 0 THEN 1 ELSE 0 END + 0.5 * CASE WHEN b3 > a3 THEN (c3 - a3) / (b3 - a3) WHEN c3 > 0 THEN 1 ELSE 0 END + 0.5 * power(0.5, age / 7) - greatest(0, least(1, (hm - 0.75) / 0.25)), 8) AS score FROM m""")
+def components_total(spark, d):
+    rows = ranking.total(ranking.components(_signals(spark, d)))
+    return rows.select("doc", F.round("score", 8).alias("score"))
+
+
+def _signals(spark, d):
+    def part(n: int, by: float, plus: float = 0.0):
+        return (F.col("event_id") % n).cast("double") / by + plus
+
+    return A.table(spark, d, "events").select(
+        F.col("user_id").alias("user"), F.col("event_id").alias("doc"), part(13, 13, -0.3).alias("interest_cosine"), part(7, 7).alias("topic_overlap"), part(101, 1e4).alias("ppr"), F.lit(1000).alias("n_documents"),
+        part(17, 17).alias("liked_cosine"), part(19, 19).alias("hidden_cosine"), part(30, 1).alias("age_days"), F.lit(7.0).alias("half_life_days"), part(23, 22).alias("hidden_max"), F.lit(None).cast("double").alias("query_cosine"),
+    )
+
+
+_PLAN = "(VALUES " + ", ".join(f"({k}, '{s}')" for k, s in enumerate(["main"] * 20)) + ") t(slot, slice)"
+
+
+@query("slot_plan", f"SELECT slot, CASE slot WHEN 2 THEN 'adjacent_semantic' WHEN 7 THEN 'adjacent_graph' WHEN 12 THEN 'adjacent_semantic' WHEN 17 THEN 'adjacent_graph' ELSE slice END AS slice FROM {_PLAN}")
+def slot_plan(spark, d):
+    return ranking.slot_plan_frame(spark, 20, 0.2, 0.5)
+
+
+@query("feed_page")
+def feed_page(spark, d):
+    scored = ranking.total(ranking.components(_signals(spark, d)))
+    sliced = scored.withColumn("slice", F.when(F.col("doc") % 5 == 0, ranking.SEMANTIC).when(F.col("doc") % 7 == 0, ranking.GRAPH).otherwise(ranking.MAIN))
+    return ranking.compose(sliced.withColumn("domain", F.col("doc") % 23), ranking.slot_plan())
+
+
+@query("why_reasons")
+def why_reasons(spark, d):
+    scored = ranking.total(ranking.components(_signals(spark, d)))
+    k = F.col("doc")
+    host = F.concat(F.lit("site"), (k % 9).cast("string"))
+    evidence = scored.withColumns({
+        "pinned_domain": F.when(k % 4 == 0, host), "trusted_linkers": F.array(host), "trusted_count": (k % 3).cast("int"), "other_linkers": F.array(host), "interest_topics": F.array(F.lit("a"), F.lit("b"), F.lit("c")),
+        "liked_title": F.when(k % 2 == 0, F.lit("T")), "published": k % 2 == 0, "exploration": F.when(k % 10 == 0, F.lit("Exploring: near your interests, past the closest matches")),
+    })
+    return ranking.reasons(ranking.reason_texts(evidence)).select("user", "doc", F.to_json("reasons").alias("reasons"), ranking.breakdown(evidence).alias("breakdown"))
+
+
+# ---- metrics and spend -----------------------------------------------------------------------------------------
+
+
+@query("metrics_daily", A.sql("ev", """days AS (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY))::DATE AS day), kinds AS (SELECT unnest(['impression', 'click', 'like', 'hide', 'why_open', 'summary_view']) AS kind)
+SELECT day, kind, count(event_id) AS n FROM days CROSS JOIN kinds LEFT JOIN ev USING (kind) WHERE FALSE GROUP BY 1, 2 UNION ALL SELECT day, kind, coalesce(n, 0) FROM days CROSS JOIN kinds LEFT JOIN (SELECT tm::DATE AS day, kind, count(*) AS n FROM ev GROUP BY 1, 2) USING (day, kind)"""))
+def metrics_daily(spark, d):
+    days = metrics.calendar(F.lit("2024-01-01").cast("date"), F.lit("2024-01-30").cast("date"), spark.range(1))
+    return metrics.daily(A.events(spark, d), days, ["impression", "click", "like", "hide", "why_open", "summary_view"])
+
+
+@query("metrics_discoveries", A.sql("corpus ev evd", """SELECT tm::DATE AS day, count(*) AS n FROM evd WHERE kind IN ('click', 'like') AND NOT (domain = 'src' || (u % 20)::VARCHAR) GROUP BY 1"""))
+def metrics_discoveries(spark, d):
+    ev = A.with_domain(A.events(spark, d), A.corpus(spark, d))
+    pins = ev.select("user", F.concat(F.lit("src"), (F.col("user") % 20).cast("string")).alias("domain")).distinct()
+    return metrics.discoveries(ev, pins)
+
+
+@query("metrics_slices", A.sql("ev", """x AS (SELECT *, CASE rec % 3 WHEN 0 THEN 'main' WHEN 1 THEN 'adjacent_semantic' ELSE 'adjacent_graph' END AS slice FROM ev)
+SELECT slice, count(DISTINCT rec) FILTER (WHERE kind = 'impression') AS shown, count(DISTINCT rec) FILTER (WHERE kind = 'click') AS clicked, round(count(DISTINCT rec) FILTER (WHERE kind = 'click')::DOUBLE / count(DISTINCT rec) FILTER (WHERE kind = 'impression'), 9) AS click_through FROM x GROUP BY 1"""))
+def metrics_slices(spark, d):
+    r = F.col("recommendation_id") % 3
+    ev = A.events(spark, d).withColumn("slice", F.when(r == 0, "main").when(r == 1, "adjacent_semantic").otherwise("adjacent_graph"))
+    return metrics.by_slice(ev).withColumn("click_through", r9("click_through"))
+
+
+@query("metrics_hide_rate", A.sql("ev", "SELECT count(*) FILTER (WHERE kind = 'impression') AS impressions, count(*) FILTER (WHERE kind = 'hide') AS hides, round(count(*) FILTER (WHERE kind = 'hide')::DOUBLE / nullif(count(*) FILTER (WHERE kind = 'impression'), 0), 9) AS hide_rate FROM ev"))
+def metrics_hide_rate(spark, d):
+    return metrics.hide_rate(A.events(spark, d)).withColumn("hide_rate", r9("hide_rate"))
+
+
+@query("corpus_by_type", A.sql("corpus", "SELECT type, count(*) AS n FROM corpus GROUP BY 1"))
+def corpus_by_type(spark, d):
+    return A.corpus(spark, d).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("cycles_report", """WITH c AS (SELECT o_custkey AS cycle, min(o_orderdate) AS s, max(o_orderdate) AS f FROM orders GROUP BY 1), p AS (SELECT o_custkey AS cycle, sum(o_totalprice) AS cost FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+SELECT cycle, 'succeeded' AS status, (epoch_us(f) - epoch_us(s)) / 1e6 AS seconds, round(coalesce(cost, 0), 4) AS cost FROM c LEFT JOIN p USING (cycle)""")
+def cycles_report(spark, d):
+    o = A.table(spark, d, "orders").withColumn("cycle", F.col("o_custkey"))
+    c = o.groupBy("cycle").agg(F.min("o_orderdate").alias("started"), F.max("o_orderdate").alias("finished")).withColumn("status", F.lit("succeeded"))
+    return metrics.cycles(c, o.filter("o_orderstatus = 'F'").select("cycle", F.col("o_totalprice").alias("cost"))).withColumn("cost", F.round("cost", 4))
+
+
+def _ledger(spark, d):
+    return A.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("model"), F.col("o_orderdate").alias("at"), F.col("o_totalprice").alias("cost"))
+
+
+@query("spend_by_model_month", "SELECT o_orderpriority AS model, date_trunc('month', o_orderdate)::DATE AS month, count(*) AS requests, round(sum(o_totalprice), 4) AS cost FROM orders GROUP BY 1, 2")
+def spend_by_model_month(spark, d):
+    return metrics.spend_by_model(_ledger(spark, d)).withColumn("cost", F.round("cost", 4))
+
+
+@query("spend_running_cap", "SELECT id, model FROM (SELECT o_orderkey AS id, o_orderpriority AS model, sum(o_totalprice) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS running FROM orders) WHERE running <= 20000000.005")
+def spend_running_cap(spark, d):
+    return metrics.within_cap(_ledger(spark, d), 20_000_000.005, "model").select("id", "model")
+
+
+@query("user_delete", "SELECT event_id FROM events WHERE user_id NOT IN (1, 2, 3)")
+def user_delete(spark, d):
+    ev = A.table(spark, d, "events").withColumnRenamed("user_id", "user")
+    return metrics.without_user({"events": ev}, spark.range(1, 4).select(F.col("id").alias("user")))["events"].select("event_id")
+
+
+@query("transfer_export")
+def transfer_export(spark, d):
+    i = A.interests(spark, d)
+    pins = i.select("user", F.concat(F.lit("src"), F.col("topic").cast("string")).alias("domain"))
+    return metrics.export_users(i.select("user").distinct(), i, pins)
+
+
+@query("feed_items_newest", """SELECT id FROM (SELECT o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY (CASE WHEN o_orderkey % 3 <> 0 THEN 1 ELSE 0 END) DESC, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate END DESC NULLS LAST, o_orderkey) AS r FROM orders) WHERE r <= 3""")
+def feed_items_newest(spark, d):
+    k, at = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
+    rows = A.table(spark, d, "orders").select(k.alias("id"), F.col("o_custkey").alias("source"), k.alias("pos"), F.when((k % 3 != 0) & (k % 7 != 0), at).alias("published"), F.when(k % 7 != 0, at).alias("updated"), (k % 3 != 0).alias("flag"))
+    w = Window.partitionBy("source").orderBy(F.desc("flag"), F.coalesce("published", "updated").desc_nulls_last(), "pos")
+    return rows.withColumn("r", F.row_number().over(w)).filter("r <= 3").select("id")
+
+
+@query("fetch_outcome", """WITH r AS (SELECT o_orderkey AS id, [200, 203, 301, 302, 304, 404, 408, 429, 500, 503][(o_orderkey % 10 + 1)::INTEGER] AS st, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'http://x/' END AS loc, CASE o_orderkey % 3 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'Application/PDF' ELSE 'image/png' END AS ct, o_custkey * 1000 AS n FROM orders)
+SELECT id, CASE WHEN st = 304 THEN 'not_modified' WHEN st IN (301, 302) THEN CASE WHEN loc IS NULL THEN 'gone' ELSE 'redirect' END WHEN st IN (408, 429) OR st >= 500 THEN 'retry' WHEN st NOT IN (200, 203) THEN 'gone' WHEN ct = 'image/png' OR n > 1000000 THEN 'rejected' ELSE 'ok' END AS outcome FROM r""")
+def fetch_outcome(spark, d):
+    k = F.col("o_orderkey")
+    status = F.element_at(F.array(*(F.lit(s) for s in (200, 203, 301, 302, 304, 404, 408, 429, 500, 503))), (k % 10 + 1).cast("int"))
+    kind = F.when(k % 3 == 0, "text/html; charset=utf-8").when(k % 3 == 1, "Application/PDF").otherwise("image/png")
+    out = crawl.outcome(status, F.when(k % 4 != 0, "http://x/"), kind, F.col("o_custkey") * 1000, ["text/html", "application/pdf"], 1_000_000)
+    return A.table(spark, d, "orders").select(k.alias("id"), out.alias("outcome"))
+
+
+@query("learned_delays")
+def learned_delays(spark, d):
+    ev = A.events(spark, d)
+    signal = F.when(F.col("kind") == "hide", "failed").when(F.col("kind") == "like", "refused").otherwise("succeeded")
+    return crawl.learned_delays(ev.select(F.col("user").alias("domain"), "at", signal.alias("signal"), (F.col("value") / 20).alias("latency_s"), F.lit(0.0).alias("floor_s")))
+
+
+@query("robots_filtering")
+def robots_filtering(spark, d):
+    p = A.table(spark, d, "pages").select("page_id", url.host(F.col("url")).alias("host"), url.path(F.col("url")).alias("path"))
+    rules = p.select("host").distinct().withColumns({"text": F.lit("User-agent: *\nDisallow: /fr\nAllow: /fr/8\n"), "status": F.when(F.length("host") % 5 == 0, "unreachable").otherwise("found")})
+    return crawl.robots_filter(p, rules, "loomgraph/1")
+
+
+@query("interest_levels", """SELECT o_orderkey AS id, CASE WHEN o_totalprice / 100000 >= 2 THEN 'very_interested' ELSE 'interested' END AS level, ceil((o_orderkey % 1000) / 3.0)::BIGINT AS tokens, floor(o_totalprice / 1000 + 0.5)::BIGINT AS rounded FROM orders""")
+def interest_levels(spark, d):
+    o = A.table(spark, d, "orders")
+    return o.select(F.col("o_orderkey").alias("id"), measures.interest_level(F.col("o_totalprice") / 100000).alias("level"), measures.token_estimate(F.col("o_orderkey") % 1000).alias("tokens"), measures.half_up(F.col("o_totalprice") / 1000).alias("rounded"))
+
+
+@query("vector_fit", "SELECT vec_id AS doc, pos::BIGINT AS pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 6) AS x FROM (SELECT vec_id, unnest(embedding[1:8]::DOUBLE[]) AS x, unnest(generate_series(0, 7)) AS pos FROM embeddings)")
+def vector_fit(spark, d):
+    e = A.embeddings(spark, d).select("doc", F.posexplode(vector.fit(F.col("embedding"), 8)).alias("pos", "x"))
+    return e.select("doc", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
+
 
-QUERIES = {}
-ORACLES = {}
