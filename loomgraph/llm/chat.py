@@ -18,11 +18,14 @@ all states are alike and ties go to the first role; an empty table gives an empt
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from itertools import groupby, islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 
@@ -140,56 +143,73 @@ def train(blocks: DataFrame) -> Hmm:
     return Hmm(starts, moves, emissions)
 
 
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def batched(rows: Iterator[tuple], schema: pa.Schema, size: int = 1000) -> Iterator[pa.RecordBatch]:
+    while part := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
+
+
 def parse(blocks: DataFrame, hmm: Hmm) -> DataFrame:
-    """(conv_id, turn, role, text, rendered) for every block of (conv_id, turn, text)."""
+    """(conv_id, turn, role, text, rendered) for every block of (conv_id, turn, text).
+
+    Segments and conversations come as runs of sorted rows, so a task streams over them.
+    """
     shared = blocks.sparkSession.sparkContext.broadcast(hmm)  # a few hundred numbers
     rows = numbered(blocks.select("conv_id", "turn", "text"))
-    size = len(ROLES)
-
-    def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(_t=pdf["turn"].fillna(-1), _x=pdf["text"].fillna("")).sort_values(["_t", "_x"], kind="stable")
-
-    def matrix(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = ordered(pdf)
-        best = shared.value.segment(pdf["seen"].tolist(), False)
-        start = shared.value.segment(pdf["seen"].tolist(), True)[0]
-        return pd.DataFrame({"conv_id": [key[0]], "seg": [key[1]], "best": [[*start.tolist(), *best.ravel().tolist()]]}, dtype=object)
-
-    conv = blocks.schema["conv_id"].dataType.simpleString()
-    segments = rows.groupBy("conv_id", "seg").applyInPandas(matrix, f"conv_id {conv}, seg long, best array<double>")
-
-    # Fold a conversation's matrices: one short row per segment.
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seg")
-        best, back = None, []
-        for flat in pdf["best"]:
-            flat = np.array(list(flat), float)
-            m = flat[size:].reshape(size, size)
-            if best is None:
-                best = flat[:size]
-                back.append(np.zeros(size, int))
-            else:
-                total = best[:, None] + m
-                back.append(total.argmax(0))
-                best = total.max(0)
-        last = [int(best.argmax())]
-        for from_ in reversed(back[1:]):
-            last.append(int(from_[last[-1]]))
-        last = last[::-1]
-        return pd.DataFrame({"conv_id": pdf["conv_id"].tolist(), "seg": pdf["seg"].tolist(), "before": [None, *last[:-1]], "last": last}, dtype=object)
-
-    ends = segments.groupBy("conv_id").applyInPandas(fold, f"conv_id {conv}, seg long, before int, last int")
-
-    def roles(key: tuple, pdf: pd.DataFrame, end: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf):
-            return pd.DataFrame({"conv_id": [], "turn": [], "role": [], "text": []}, dtype=object)
-        pdf = ordered(pdf)
-        before, last = end["before"].iloc[0], end["last"].iloc[0]
-        states = shared.value.decode(pdf["seen"].tolist(), None if pd.isna(before) else int(before), int(last))
-        turns = [None if pd.isna(t) else int(t) for t in pdf["turn"]]
-        return pd.DataFrame({"conv_id": [key[0]] * len(pdf), "turn": turns, "role": [ROLES[s] for s in states], "text": pdf["text"].tolist()}, dtype=object)
-
-    found = rows.groupBy("conv_id", "seg").cogroup(ends.groupBy("conv_id", "seg")).applyInPandas(roles, f"conv_id {conv}, turn long, role string, text string")
+    conv = blocks.schema["conv_id"].dataType
+    ids, size, n = to_arrow_type(conv), len(ROLES), common.tasks_for(blocks, 8 << 20)
+    order = [F.coalesce(F.col("turn"), F.lit(-1)), F.coalesce(F.col("text"), F.lit(""))]
+
+    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found():
+            for (conv_id, seg), run in groupby(rows_of(batches), key=lambda r: r[:2]):
+                seen = [r[2] for r in run]
+                yield conv_id, seg, [*shared.value.segment(seen, True)[0].tolist(), *shared.value.segment(seen, False).ravel().tolist()]
+
+        yield from batched(found(), pa.schema([("conv_id", ids), ("seg", pa.int64()), ("best", pa.list_(pa.float64()))]))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found():
+            for conv_id, run in groupby(rows_of(batches), key=lambda r: r[0]):
+                segs, best, back = [], None, []
+                for _, seg, flat in run:
+                    segs.append(seg)
+                    flat = np.array(flat)
+                    if best is None:
+                        best = flat[:size]
+                    else:
+                        total = best[:, None] + flat[size:].reshape(size, size)
+                        back.append(total.argmax(0))
+                        best = total.max(0)
+                last = [int(best.argmax())]
+                for from_ in reversed(back):
+                    last.append(int(from_[last[-1]]))
+                last.reverse()
+                yield from ((conv_id, seg, before, state) for seg, before, state in zip(segs, [None, *last], last, strict=False))
+
+        yield from batched(found(), pa.schema([("conv_id", ids), ("seg", pa.int64()), ("before", pa.int32()), ("last", pa.int32())]))
+
+    def roles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found():
+            for _, run in groupby(rows_of(batches), key=lambda r: r[:2]):
+                run = list(run)
+                states = shared.value.decode([r[2] for r in run], run[0][3], run[0][4])
+                yield from ((r[0], r[5], ROLES[s], r[6]) for r, s in zip(run, states, strict=True))
+
+        yield from batched(found(), pa.schema([("conv_id", ids), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())]))
+
+    kind = conv.simpleString()
+    dealt = rows.repartition(n, "conv_id", "seg").sortWithinPartitions("conv_id", "seg", *order)
+    segments = dealt.select("conv_id", "seg", "seen").mapInArrow(matrices, f"conv_id {kind}, seg long, best array<double>")
+    ends = segments.repartition(n, "conv_id").sortWithinPartitions("conv_id", "seg").mapInArrow(fold, f"conv_id {kind}, seg long, before int, last int")
+    ends = ends.select(F.col("conv_id").alias("_conv"), F.col("seg").alias("_seg"), "before", "last")
+    known = rows.join(ends, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("seg") == F.col("_seg")))
+    known = known.repartition(n, "conv_id", "seg").sortWithinPartitions("conv_id", "seg", *order).select("conv_id", "seg", "seen", "before", "last", F.col("turn").cast("long").alias("turn"), "text")
+    found = known.mapInArrow(roles, f"conv_id {kind}, turn long, role string, text string")
     return found.withColumn("rendered", F.concat(F.lit("<|"), "role", F.lit("|>\n"), without_marker(F.coalesce("text", F.lit(""))), F.lit("\n<|end|>\n")))
 
 
