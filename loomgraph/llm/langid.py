@@ -31,7 +31,7 @@ from . import common
 PER_LANGUAGE = 300
 BINS = 1 << 16
 FOLDS, HELD_OUT = 3, 1
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Below this difference of the two best codewords' mean loss a text is ambiguous.
 AMBIGUOUS = 0.02
 

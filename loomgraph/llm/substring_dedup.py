@@ -30,7 +30,7 @@ WINDOW = 35
 #: Bytes of input files a block stands for.
 BLOCK_BYTES = 4 << 20
 #: Text hashed at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
