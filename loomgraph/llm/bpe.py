@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 
 #: Entries of a worker's table; about 150 bytes each.
-MOST_WORDS = 200_000
+MOST_WORDS = 300_000
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts made of these alone are split by WORDS.
 PLAIN = r"[\x00-\x1b\x20-\x7e¡-ɏ–—‘’“”…]*"
