@@ -15,11 +15,14 @@ ignored, whatever their names.
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 N_SLOTS = 4096
 #: The driver holds a handful of numbers per slot; this bounds it.
 MOST_SLOTS = 1 << 16
@@ -83,6 +86,20 @@ class SlotMap:
         )
 
 
+def store(spark: SparkSession, versions: list[SlotMap], path: str) -> None:
+    """Add versions of the map to the table at `path`, one folder a version; a version is never overwritten."""
+    for m in versions:
+        m.frame(spark).withColumn("n_shards", F.lit(m.n_shards)).drop("version").coalesce(1).write.parquet(f"{path}/version={m.version}")
+
+
+def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
+    """A stored version of the map, the newest by default; at most MOST_SLOTS rows are read."""
+    table = spark.read.parquet(path)
+    version = table.agg(F.max("version")).first()[0] if version is None else version
+    rows = table.filter(F.col("version") == version).orderBy("slot").collect()
+    return SlotMap(version, rows[0]["n_shards"], tuple(r["shard"] for r in rows))
+
+
 def by_slot(values, slot: Column, kind: str) -> Column:
     """values[slot] as an expression; the array is one folded literal, at most MOST_SLOTS long."""
     return F.element_at(F.from_json(F.lit(json.dumps(list(values))), f"array<{kind}>"), (slot + 1).cast("int"))
@@ -107,9 +124,10 @@ def slot_totals(rows: DataFrame) -> dict[int, tuple[int, int]]:
     return {r["vslot"]: (r["n"], r["bytes"]) for r in totals.collect()}
 
 
-def shard(docs: DataFrame, n_shards: int = 8, law: str = "bytes", n_slots: int = N_SLOTS) -> tuple[DataFrame, list[SlotMap]]:
+def shard(docs: DataFrame, n_shards: int = 8, law: str = "bytes", n_slots: int = N_SLOTS, store_at: str | None = None) -> tuple[DataFrame, list[SlotMap]]:
     """Place every document.  Returns the placement (doc_id, size, text_crc32, law, shard, slot, grown_shard,
-    vslot, map_version) and the versions of the map, the last being the one in force.
+    vslot, map_version) and the versions of the map, the last being the one in force; with `store_at` they are stored
+    there.
 
     slot is the document's position in its shard, from 0 and without gaps: the rows of earlier virtual slots of
     the shard come first, so only rows of one virtual slot meet in a task.
@@ -125,6 +143,8 @@ def shard(docs: DataFrame, n_shards: int = 8, law: str = "bytes", n_slots: int =
     else:
         grown = versions[-1].grown().column(F.col("vslot"))
     now = versions[-1]
+    if store_at:
+        store(docs.sparkSession, versions, store_at)
     offsets, reached = [0] * n_slots, [0] * n_shards
     for slot, k in enumerate(now.shards):
         offsets[slot] = reached[k]
@@ -139,4 +159,4 @@ def shard(docs: DataFrame, n_shards: int = 8, law: str = "bytes", n_slots: int =
 
 
 def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))[0]
+    return shard(common.table(spark, sf_dir, "documents"), store_at=f"{common.shared_dir(spark)}/slot-map-{uuid.uuid4().hex}")[0]
