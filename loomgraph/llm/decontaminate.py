@@ -76,6 +76,17 @@ def n_covered(spans: Column) -> Column:
     return F.aggregate(spans, start, step)["n"].cast("long")
 
 
+def gaps(spans: Column, n: Column) -> Column:
+    """The runs [start, end) of 0..n that sorted spans leave, found in one pass over them."""
+    start = F.struct(F.lit(0).alias("end"), F.expr("CAST(array() AS array<struct<start:int,end:int>>)").alias("gaps"))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.struct(acc["end"].alias("start"), s["start"].alias("end"))
+        return F.struct(F.greatest(acc["end"], s["start"] + s["len"]).alias("end"), F.when(s["start"] > acc["end"], F.array_append(acc["gaps"], gap)).otherwise(acc["gaps"]).alias("gaps"))
+
+    return F.aggregate(spans, start, step, lambda acc: F.array_append(acc["gaps"], F.struct(acc["end"].alias("start"), n.alias("end"))))
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """hits() with n_hit, n_items and the verdict `contaminated`: at least a twentieth of the words are hit."""
     return (
@@ -98,15 +109,17 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
 def cut(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """`docs` without contaminated documents; from the others the hit words are cut out of the text, each with
     the separators before it.  Untouched documents keep their text byte for byte."""
-    found = scan(docs, benchmark, window).filter("n_hit > 0").select("doc_id", "text_hash", "spans", "contaminated").toDF("_id", "_hash", "_spans", "_bad")
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["_hash"]), "left").filter("_bad IS NULL OR NOT _bad")
+    id_, hash_, spans, bad, pieces, left = (common.unused(docs, c) for c in ("_id", "_hash", "_spans", "_bad", "_pieces", "_gaps"))
+    found = scan(docs, benchmark, window).filter("n_hit > 0").select("doc_id", "text_hash", "spans", "contaminated").toDF(id_, hash_, spans, bad)
+    joined = docs.join(found, docs["doc_id"].eqNullSafe(found[id_]) & (F.xxhash64(docs["text"]) == found[hash_]), "left").filter(~F.coalesce(F.col(bad), F.lit(False)))
     separators = RAW_WORD.replace("[^", "[").replace("]+", "]*")
-    pieces = F.regexp_extract_all("text", F.lit(f"{separators}{RAW_WORD}"), F.lit(0))
+    touched = F.size(spans) > 0
+    split = joined.withColumn(pieces, F.when(touched, F.regexp_extract_all("text", F.lit(f"{separators}{RAW_WORD}"), F.lit(0))))
+    split = split.withColumn(left, F.when(touched, gaps(F.col(spans), F.size(pieces))))
+    kept = F.flatten(F.transform(left, lambda g: F.slice(F.col(pieces), g["start"] + 1, g["end"] - g["start"])))
     rest = F.regexp_extract("text", f"{separators}$", 0)
-    hit = F.flatten(F.transform("_spans", lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1)))
-    kept = F.filter(F.transform(pieces, lambda p, i: F.when(~F.array_contains(hit, i), p)), lambda p: p.isNotNull())
-    text = F.when(F.size("_spans") > 0, F.concat(F.array_join(kept, ""), rest)).otherwise(F.col("text"))
-    return joined.withColumn("text", F.coalesce(text, F.col("text"))).select(*docs.columns)
+    text = F.when(touched, F.concat(F.array_join(kept, ""), rest)).otherwise(F.col("text"))
+    return split.withColumn("text", F.coalesce(text, F.col("text"))).select(*docs.columns)
 
 
 def op2_ngram_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
