@@ -148,7 +148,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """`docs` with lang_pred, score and ambiguous."""
+    """`docs` with lang_pred, score and ambiguous; columns of `docs` that have these names are replaced."""
+    docs = docs.drop("lang_pred", "score", "ambiguous")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BINS x bits weights, of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -215,8 +215,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 def keep_one(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """`docs` with one document of each group, that of the least key; rows that repeat a key become one.
     A document with a null key stays only where its whole group has none."""
-    kept = near_duplicates(docs, key).filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept")).distinct()
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("_kept"))).select(*docs.columns).dropDuplicates([key])
+    name = common.unused(docs, "_kept")
+    kept = near_duplicates(docs, key).filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias(name)).distinct()
+    return docs.join(kept, F.col(key).eqNullSafe(F.col(name))).select(*docs.columns).dropDuplicates([key])
 
 
 def op7_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:

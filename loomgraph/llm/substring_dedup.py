@@ -164,17 +164,20 @@ def unpack(packed: bytes) -> np.ndarray:
 
 def cut(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, text_out: bool = True) -> DataFrame:
     """`docs` with n_words, n_removed and kept_sha256; with text_out the text has lost the removed words, each
-    with the white space behind it, and is otherwise unchanged; without it the text column is dropped."""
+    with the white space behind it, and is otherwise unchanged; without it the text column is dropped.  Columns of
+    `docs` that have the new names are replaced."""
+    docs = docs.drop("n_words", "n_removed", "kept_sha256")
+    own = common.unused(docs, "_block")
     n_blocks = common.tasks_for(docs, block_bytes)
     names = docs.columns
-    dealt = docs.withColumn("_block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(n_blocks)))
+    dealt = docs.withColumn(own, F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(n_blocks)))
 
     def send(table: pa.Table) -> pa.Table:
         block = BlockHashes(texts_of(table), window, n_blocks)
         used = [k for k in range(n_blocks) if block.cuts[k] < block.cuts[k + 1]]
         parts = [slice(block.cuts[k], block.cuts[k + 1]) for k in used]
         return pa.table({
-            "_bucket": pa.array(used, pa.int32()), "_block": pa.array([table.column("_block")[0].as_py()] * len(used), pa.int64()),
+            "_bucket": pa.array(used, pa.int32()), "_block": pa.array([table.column(own)[0].as_py()] * len(used), pa.int64()),
             "hashes": pa.array([pack(block.hashes[p]) for p in parts], pa.binary()), "many": pa.array([np.packbits(block.many[p]).tobytes() for p in parts], pa.binary()),
         })
 
@@ -228,9 +231,9 @@ def cut(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, t
 
     order_out = [c for c in names if text_out or c != "text"] + ["n_words", "n_removed", "kept_sha256"]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in order_out[:-3]) + ", n_words long, n_removed long, kept_sha256 string"
-    sent = dealt.groupBy("_block").applyInArrow(send, "_bucket int, _block long, hashes binary, many binary")
+    sent = dealt.groupBy(own).applyInArrow(send, "_bucket int, _block long, hashes binary, many binary")
     replies = sent.groupBy("_bucket").applyInArrow(answer, "_block long, _bucket int, bits binary")
-    return dealt.groupBy("_block").cogroup(replies.groupBy("_block")).applyInArrow(finish, schema)
+    return dealt.groupBy(own).cogroup(replies.groupBy("_block")).applyInArrow(finish, schema)
 
 
 def without(text: bytes, starts: np.ndarray, gone: np.ndarray) -> bytes:

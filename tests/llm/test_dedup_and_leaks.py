@@ -205,6 +205,34 @@ def test_cut_drops_and_trims(spark):
     assert decontaminate.cut(docs, bench.limit(0)).count() == 4 and decontaminate.report(docs.limit(0), bench).count() == 0
 
 
+def test_cut_merges_overlapping_and_long_hits(spark):
+    r = random.Random(9)
+    one, two = prose(r, 40), prose(r, 30)
+    short = ["solitary", "phrase"]
+    words = prose(r, 30_000)
+    words[100:100], words[20_000:20_000], words[25_000:25_000] = one, one[:20] + two, short
+    items = [(1, " ".join(one)), (2, " ".join(two)), (3, " ".join(short))]
+    docs = spark.createDataFrame([(1, " ".join(words), "s", True, 7)], "doc_id long, text string, _spans string, _bad boolean, _PIECES int")
+    got = decontaminate.cut(docs, spark.createDataFrame(items, "item_id long, text string"))
+    want = words[:100] + words[140:20_000] + words[20_050:25_000] + words[25_002:]
+    assert [tuple(x) for x in got.collect()] == [(1, " ".join(want), "s", True, 7)] and got.columns == docs.columns
+
+
+def test_clashing_names_in_the_dedup_stages(spark):
+    docs = spark.createDataFrame([(k, "same text here", 9, "x", "y") for k in range(3)], "doc_id long, text string, n_words int, _block string, _kept string")
+    cut = substring_dedup.cut(docs)
+    assert cut.columns == ["doc_id", "text", "_block", "_kept", "n_words", "n_removed", "kept_sha256"] and [r._block for r in cut.collect()] == ["x"] * 3
+    assert [tuple(r) for r in simhash.keep_one(docs).collect()] == [(0, "same text here", 9, "x", "y")]
+
+
+def test_stored_map_versions(spark, tmp_path):
+    docs = spark.createDataFrame([(k, "t" * (k % 50)) for k in range(2000)], "doc_id long, text string")
+    _, versions = shards.shard(docs, store_at=str(tmp_path / "map"))
+    assert shards.load(spark, str(tmp_path / "map")) == versions[-1] and shards.load(spark, str(tmp_path / "map"), 1) == versions[0]
+    shards.store(spark, [versions[-1].grown()], str(tmp_path / "map"))
+    assert shards.load(spark, str(tmp_path / "map")).n_shards == 9
+
+
 def test_report_repeats_rows(spark):
     docs = spark.createDataFrame([(1, "a b", 3), (1, "a b", 3), (None, "c", 3)], "doc_id long, text string, n_words int")
     bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")

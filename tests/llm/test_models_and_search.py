@@ -36,6 +36,8 @@ def test_language_edges(spark, medium):
     assert [r.lang_pred for r in got[:3]] == ["und"] * 3 and [r.score for r in got[:3]] == [0.0] * 3
     assert {got[4].lang_pred, got[5].lang_pred} == {"en"} and got[4].score == got[5].score and got[0].lang == "z"
     assert langid.identify(medium.limit(0).select("doc_id", "text"), model).count() == 0
+    clash = spark.createDataFrame([(1, "the and of that", "mine", "x")], "doc_id long, text string, score string, ambiguous string")
+    assert langid.identify(clash, model).columns == ["doc_id", "text", "lang_pred", "score", "ambiguous"] and langid.identify(clash, model).first().lang_pred == "en"
     none = spark.createDataFrame([(0, "text", None)], "doc_id long, text string, lang string")
     assert langid.fit(none) is None and langid.identify(none, None).first().lang_pred == "und"
     one = langid.fit(spark.createDataFrame([(k, "some text", "xx") for k in range(9)], "doc_id long, text string, lang string"))
