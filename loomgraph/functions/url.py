@@ -160,9 +160,13 @@ def canonicalize(url: pd.Series) -> pd.Series:
 
 
 def glob_to_regex(pattern: Column) -> Column:
-    """A shell pattern as an anchored regular expression."""
-    quoted = F.regexp_replace(pattern, r"([\\.^$|()\[\]{}+])", r"\\$1")
-    return F.concat(F.lit("^"), F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
+    """A case-sensitive shell pattern (`*`, `?`, `[set]`, `[!set]`) as an anchored regular expression; a `[` that
+    nothing closes stands for itself."""
+    quoted = F.regexp_replace(pattern, r"([\\.^$|(){}+&])", r"\\$1")
+    quoted = F.regexp_replace(quoted, r"\[(?![^\[\]]+\])", r"\\[")
+    quoted = F.regexp_replace(quoted, r"(?<!\\)\[!", "[^")
+    outside = r"(?![^\[\]]*\])"
+    return F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(quoted, r"\*" + outside, ".*"), r"\?" + outside, "."), F.lit("$"))
 
 
 def registrable(host_: Column, suffixes: list[str]) -> Column:

@@ -65,15 +65,43 @@ def tag_documents(documents: DataFrame, topics: DataFrame, cfg: Config = DEFAULT
     return best.filter((score >= cfg.tag_floor) & (score >= F.col("best") - cfg.tag_gap)).select("doc", "n.topic", score.alias("score"))
 
 
-def adapt(topics: DataFrame, pruned: DataFrame, added: DataFrame) -> DataFrame:
-    """(topic, parent, tier): pruned subtrees leave, deep topics hang under their first-tier ancestor, own ones join."""
-    closure = lineage(topics, 8)
-    gone = closure.join(pruned.select(F.col("topic").alias("ancestor")), "ancestor", "left_semi").select("topic")
-    kept = topics.join(gone, "topic", "left_anti")
+class TaxonomyError(ValueError):
+    """An adaptation names topics that the taxonomy does not have."""
+
+
+def adapt(topics: DataFrame, pruned: DataFrame, promoted: DataFrame, added: DataFrame, most_tier: int = 2) -> DataFrame:
+    """(topic, name, parent, tier): pruned subtrees leave, deeper topics leave but for the promoted ones, which hang
+    under their first-tier ancestor, and own ones join.
+
+    topics(topic, parent, name, tier), pruned(topic), promoted(topic, name: null keeps it), added(topic, name, parent).
+    An entry that does not match the taxonomy raises TaxonomyError; only the offending ids reach the driver.
+    """
+    _refuse(topics.groupBy("topic").agg(F.count("*").alias("n")).filter("n > 1"), "twice in the taxonomy")
+    _refuse(pruned.select("topic").union(promoted.select("topic")).join(topics, "topic", "left_anti"), "not in the taxonomy")
+    closure = lineage(topics.select("topic", "parent"), 8)
+    gone = closure.join(pruned.select(F.col("topic").alias("ancestor")), "ancestor", "left_semi").select("topic").distinct()
+    _refuse(promoted.join(gone, "topic", "left_semi"), "promoted but pruned")
+    _refuse(promoted.join(topics.filter(F.col("tier") <= most_tier), "topic", "left_semi"), "promoted without being deep")
     root = closure.groupBy("topic").agg(F.max_by("ancestor", "distance").alias("root"))
-    flat = kept.join(root, "topic").select("topic", F.when(F.col("root") != F.col("topic"), F.col("root")).alias("parent"))
-    every = flat.union(added.select("topic", "parent"))
-    return every.withColumn("tier", F.when(F.col("parent").isNull(), 1).otherwise(2))
+    lifted = promoted.select("topic", F.col("name").alias("new_name"), F.lit(True).alias("lifted"))
+    kept = topics.join(gone, "topic", "left_anti").join(lifted, "topic", "left").join(root, "topic").filter(F.col("lifted") | (F.col("tier") <= most_tier))
+    lift = F.coalesce("lifted", F.lit(False))
+    shaped = kept.select(
+        "topic", F.coalesce("new_name", "name").alias("name"), F.when(lift, F.col("root")).otherwise(F.col("parent")).alias("parent"),
+        F.when(lift, 2).otherwise(F.col("tier")).cast("int").alias("tier"),
+    )
+    _refuse(added.join(shaped, "topic", "left_semi"), "added twice")
+    _refuse(added.groupBy("topic").agg(F.count("*").alias("n")).filter("n > 1"), "added twice")
+    known = shaped.select("topic").union(added.select("topic")).withColumnRenamed("topic", "parent")
+    _refuse(added.filter("parent IS NOT NULL").join(known, "parent", "left_anti"), "added under a parent that is not kept")
+    own = added.select("topic", "name", "parent", F.when(F.col("parent").isNull(), 1).otherwise(2).alias("tier"))
+    return shaped.unionByName(own)
+
+
+def _refuse(offending: DataFrame, why: str) -> None:
+    first = offending.select("topic").limit(5).collect()
+    if first:
+        raise TaxonomyError(f"{', '.join(str(r['topic']) for r in first)}: {why}")
 
 
 def seed_diff(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -221,6 +221,21 @@ def taxonomy_diff(spark, d):
     return topic_ops.seed_diff(t.filter("topic < 20"), new).select("topic", "action")
 
 
+@query("taxonomy_adapted", """SELECT r_regionkey::BIGINT AS topic, r_name AS name, NULL::BIGINT AS parent, 1 AS tier FROM region
+UNION ALL SELECT 100 + n_nationkey, n_name, n_regionkey, 2 FROM nation WHERE n_nationkey % 7 <> 0
+UNION ALL SELECT 1000000 + c_custkey, coalesce(CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) END, c_name), n_regionkey, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 11 = 0 AND c_nationkey % 7 <> 0
+UNION ALL SELECT 1000000000 + s_suppkey, s_name, 100 + s_nationkey, 2 FROM supplier WHERE s_nationkey % 7 <> 0""")
+def taxonomy_adapted(spark, d):
+    """A three-tier tree of regions, nations and customers: some nations pruned, some customers promoted, suppliers added."""
+    region, nation, customer, supplier = (A.table(spark, d, t) for t in ("region", "nation", "customer", "supplier"))
+    tree = region.selectExpr("CAST(r_regionkey AS long) AS topic", "CAST(NULL AS long) AS parent", "r_name AS name", "1 AS tier")
+    tree = tree.unionByName(nation.selectExpr("100L + n_nationkey AS topic", "CAST(n_regionkey AS long) AS parent", "n_name AS name", "2 AS tier"))
+    tree = tree.unionByName(customer.selectExpr("1000000L + c_custkey AS topic", "100L + c_nationkey AS parent", "c_name AS name", "3 AS tier"))
+    promoted = customer.filter("c_custkey % 11 = 0 AND c_nationkey % 7 <> 0").selectExpr("1000000L + c_custkey AS topic", "IF(c_custkey % 2 = 0, upper(c_name), NULL) AS name")
+    added = supplier.filter("s_nationkey % 7 <> 0").selectExpr("1000000000L + s_suppkey AS topic", "s_name AS name", "100L + s_nationkey AS parent")
+    return topic_ops.adapt(tree, nation.filter("n_nationkey % 7 = 0").selectExpr("100L + n_nationkey AS topic"), promoted, added)
+
+
 # ---- graph and frontier ----------------------------------------------------------------------------------------
 
 
@@ -697,3 +712,33 @@ def vector_fit(spark, d):
     return e.select("doc", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
 
 
+@query("page_overrides", f"""WITH p AS (SELECT page_id, url FROM pages WHERE {_HOST} <> '')
+SELECT page_id, 'title' AS field, CASE WHEN url LIKE '%/fr/%' THEN 'Page' ELSE 'Any' END AS value, true AS valid FROM p
+UNION ALL SELECT page_id, 'type', NULL, false FROM p UNION ALL SELECT page_id, 'noindex', 'true', true FROM p WHERE url LIKE '%/de/%'""")
+def page_overrides(spark, d):
+    """Four overrides of every host: of the titles the later one wins where both match, and `essay` is no type."""
+    p = A.table(spark, d, "pages").select("page_id", "url")
+    rows = spark.createDataFrame([(1, "*", "title", '"Any"'), (2, "*/fr/*", "title", '"Page"'), (3, "*", "type", '"essay"'), (4, "*/[d]e/*", "noindex", "true")], "id long, pattern string, field string, value string")
+    return extract.overridden(p, p.select(url.host(F.col("url")).alias("host")).distinct().crossJoin(F.broadcast(rows)))  # four rows
+
+
+@query("poll_targets", "SELECT o_custkey AS domain, min(o_orderkey) AS url, min(o_orderkey % 3) AS hops FROM orders GROUP BY 1 HAVING min(o_orderkey % 3) <= 0 OR o_custkey % 10 = 0")
+def poll_targets(spark, d):
+    o = A.table(spark, d, "orders").select(F.col("o_custkey").alias("domain"), F.col("o_orderkey").alias("url"), (F.col("o_orderkey") % 3).alias("hops"))
+    return crawl.poll_targets(o, o.filter("domain % 10 = 0"))
+
+
+@query("domains_exhausted", """WITH e AS (SELECT user_id AS domain, ts, event_type AS t, max(CASE WHEN event_type NOT IN ('error', 'purchase') THEN ts END) OVER (PARTITION BY user_id) AS good FROM events)
+SELECT domain FROM e WHERE good IS NULL OR ts > good GROUP BY 1 HAVING count(*) FILTER (WHERE t = 'error') >= 5 OR count(*) FILTER (WHERE t = 'purchase') >= 3""")
+def domains_exhausted(spark, d):
+    ev = A.events(spark, d)
+    signal = F.when(F.col("kind") == "hide", "failed").when(F.col("kind") == "like", "refused").otherwise("succeeded")
+    return crawl.exhausted(ev.select(F.col("user").alias("domain"), "at", signal.alias("signal")))
+
+
+@query("sitemap_order", """SELECT doc_id, rank::BIGINT AS rank FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY (doc_id % 3 = 0) DESC, doc_id) AS rank FROM documents WHERE doc_id % 5 <> 0) WHERE rank <= 10""")
+def sitemap_order(spark, d):
+    """Sitemap files of each source without those of a skipped word, news ones first, ten at most."""
+    name = F.concat(F.lit("https://s/"), F.when(F.col("doc_id") % 5 == 0, "archive-").otherwise(""), F.when(F.col("doc_id") % 3 == 0, "news-").otherwise("map-"), F.col("doc_id").cast("string"), F.lit(".xml"))
+    files = A.table(spark, d, "documents").select("doc_id", "source", F.col("doc_id").alias("pos"), name.alias("url"))
+    return crawl.sitemap_files(files, ["archive"], url.path_words(F.col("url")), 10).select("doc_id", F.col("rank").cast("long").alias("rank"))

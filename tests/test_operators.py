@@ -190,8 +190,48 @@ def test_topics(spark):
     assert values(topics.adjacent(tree, mine), "topic", "shown", "interest") == [(1, 1, 2), (3, 3, 2), (4, 3, 2)]
     tags = spark.createDataFrame([(1, 2, 0.6), (1, 9, 0.2)], "doc long, topic long, score double")
     assert abs(topics.overlap(tags, tree, mine).first().overlap - 0.75) < 1e-12
-    flat = topics.adapt(tree, spark.createDataFrame([(2,)], "topic long"), spark.createDataFrame([(100, 9)], "topic long, parent long"))
-    assert values(flat, "topic", "parent", "tier") == sorted([(1, None, 1), (3, 1, 2), (4, 1, 2), (9, None, 1), (100, 9, 2)], key=str)
+
+
+def test_adapted_taxonomy(spark):
+    tree = spark.createDataFrame(
+        [(1, None, "a", 1), (2, 1, "b", 2), (3, 1, "c", 2), (4, 3, "d", 3), (5, 3, "e", 3), (6, 2, "f", 3), (9, None, "z", 1)], "topic long, parent long, name string, tier int"
+    )
+
+    def adapted(pruned, promoted, added):
+        return topics.adapt(
+            tree, spark.createDataFrame(pruned, "topic long"), spark.createDataFrame(promoted, "topic long, name string"), spark.createDataFrame(added, "topic long, name string, parent long")
+        )
+
+    got = values(adapted([(2,)], [(4, "D"), (5, None)], [(100, "own", 9), (101, "top", None)]), "topic", "name", "parent", "tier")
+    want = [(1, "a", None, 1), (3, "c", 1, 2), (4, "D", 1, 2), (5, "e", 1, 2), (9, "z", None, 1), (100, "own", 9, 2), (101, "top", None, 1)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert {r.topic for r in adapted([], [], []).collect()} == {1, 2, 3, 9}
+    for wrong in [([(77,)], [], []), ([(2,)], [(6, None)], []), ([], [(3, None)], []), ([], [], [(1, "x", None)]), ([], [], [(50, "x", 4)])]:
+        with pytest.raises(topics.TaxonomyError):
+            adapted(*wrong)
+
+
+def test_globs_match_as_the_shell_does(spark):
+    from fnmatch import fnmatchcase
+
+    globs = ["*", "a?c", "a[bx]c", "a[!b]c", "https://e.com/*.html", "a.c", "a[bc", "(a+)*", "a\\c", "*/20[0-9][0-9]/*", "$^", "{a}|b"]
+    texts = ["abc", "axc", "a.c", "a[bc", "(a+)b", "a\\c", "https://e.com/x.html", "https://e.com/xhtml", "/2024/x", "$^", "{a}|b", "", "ABC"]
+    rows = spark.createDataFrame([(g, t, fnmatchcase(t, g)) for g in globs for t in texts], "g string, t string, want boolean")
+    assert rows.filter(F.regexp_like("t", url.glob_to_regex(F.col("g"))) != F.col("want")).collect() == []
+
+
+def test_overrides(spark):
+    pages = spark.createDataFrame([(1, "https://e.com/blog/a"), (2, "https://e.com/x"), (3, "https://o.org/blog/a")], "page_id long, url string")
+    rows = [
+        (1, "/blog/*", "title", '"Old"'), (2, "*", "title", '"New"'), (3, "*", "title", '" "'), (4, "*", "type", '"essay"'), (5, "/x", "type", '"paper"'), (6, "/x", "noindex", "true"),
+        (7, "/x", "canonical_url", '"https://www.e.com/y"'), (8, "/blog/*", "canonical_url", '"https://e.com/blog/a"'), (9, "/blog/*", "published_at", '"2024-05-01"'), (10, "/x", "published_at", "5"),
+    ]
+    table = spark.createDataFrame([(k, "e.com", "https://e.com" + p, f, v) for k, p, f, v in rows], "id long, host string, pattern string, field string, value string")
+    got = {(r.page_id, r.field): (r.value, r.valid) for r in extract.overridden(pages, table).collect()}
+    assert got == {
+        (1, "title"): ("New", True), (2, "title"): ("New", True), (1, "type"): (None, False), (2, "type"): ("paper", True), (2, "noindex"): ("true", True),
+        (2, "canonical_url"): ("https://www.e.com/y", True), (1, "canonical_url"): (None, True), (1, "published_at"): ("2024-05-01", True), (2, "published_at"): (None, False),
+    }
 
 
 def test_tags_near_the_best(spark):
