@@ -148,16 +148,25 @@ def texts_of(table: pa.Table) -> list[bytes]:
     return [x or b"" for x in table.column("text").cast(pa.binary()).to_pylist()]
 
 
+#: From this many hashes on, a table of 1 KB saves a byte of each.
+TABLE_PAYS = 1024
+
+
 def pack(hashes: np.ndarray) -> bytes:
-    """Sorted hashes in 7 bytes each: how many there are of each top byte comes first."""
+    """Sorted hashes: many of them in 7 bytes each, behind how many there are of each top byte; few of them whole, as
+    messages get smaller with every block and bucket more."""
+    if len(hashes) < TABLE_PAYS:
+        return b"\0" + hashes.astype("<u8").tobytes()
     top = np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=256).astype("<u4")
-    return top.tobytes() + np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
+    return b"\1" + top.tobytes() + np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
 
 
 def unpack(packed: bytes) -> np.ndarray:
-    top = np.frombuffer(packed, "<u4", 256)
+    if not packed[0]:
+        return np.frombuffer(packed, "<u8", offset=1).astype(np.uint64)
+    top = np.frombuffer(packed, "<u4", 256, offset=1)
     out = np.zeros((top.sum(), 8), np.uint8)
-    out[:, :7] = np.frombuffer(packed, np.uint8, offset=1024).reshape(-1, 7)
+    out[:, :7] = np.frombuffer(packed, np.uint8, offset=1025).reshape(-1, 7)
     out[:, 7] = np.repeat(np.arange(256), top)
     return out.view("<u8").ravel().astype(np.uint64)
 

@@ -70,9 +70,18 @@ def test_substring_repeated_rows_and_clashing_columns(spark):
 def test_pack_round_trip():
     import numpy as np
 
-    x = np.sort(np.random.RandomState(0).randint(0, 1 << 62, 1000).astype(np.uint64) * np.uint64(3))
-    assert (substring_dedup.unpack(substring_dedup.pack(x)) == x).all()
-    assert len(substring_dedup.unpack(substring_dedup.pack(x[:0]))) == 0
+    x = np.sort(np.random.RandomState(0).randint(0, 1 << 62, 5000).astype(np.uint64) * np.uint64(3))
+    for n in (0, 1, substring_dedup.TABLE_PAYS - 1, substring_dedup.TABLE_PAYS, len(x)):
+        assert (substring_dedup.unpack(substring_dedup.pack(x[:n])) == x[:n]).all() and len(substring_dedup.unpack(substring_dedup.pack(x[:n]))) == n
+    assert len(substring_dedup.pack(x[:1])) == 9 and len(substring_dedup.pack(x)) < 8 * len(x)
+
+
+def test_many_small_blocks_equal_one(spark):
+    r = random.Random(6)
+    passage = prose(r, 60)
+    docs = frame(spark, [" ".join(prose(r, 150) + (passage if k % 3 else []) + prose(r, 20)) for k in range(60)])
+    many = substring_dedup.cut(docs.repartition(4), block_bytes=1 << 7).select("doc_id", "n_removed", "kept_sha256")
+    assert sorted(many.collect()) == sorted(substring_dedup.cut(docs, block_bytes=1 << 30).select("doc_id", "n_removed", "kept_sha256").collect())
 
 
 def simhash_brute(text):
