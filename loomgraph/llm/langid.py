@@ -11,7 +11,7 @@ doc_id among the training folds.  Predictions read the text alone and every text
 
 Edge cases: a null text or one without letters is `und` with score 0; without any labelled row everything is
 `und`; a single learned language is predicted with score 1; a null doc_id is not held out; repeated rows each get
-a row; further columns pass through `identify`.
+a row, and train once however often they are chosen; further columns pass through `identify`.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from . import common
 
 #: Labelled rows of each language that the fit reads at most.
 PER_LANGUAGE = 300
+#: Parts in which the rows of a language are ranked first.
+SALTS = 64
 BINS = 1 << 16
 FOLDS, HELD_OUT = 3, 1
 CHUNK = 1 << 18
@@ -121,10 +123,14 @@ def training_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """The model of the labelled training rows of `docs` (doc_id, text, lang); None if there are none."""
-    labelled = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = labelled.select("doc_id", "lang").withColumn("rank", rank).filter(F.col("rank") <= per_language).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
-    chosen = labelled.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "text")  # per_language ids of each language
+    labelled = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).withColumn("text_hash", F.xxhash64("text"))
+    order = (F.xxhash64("doc_id"), "doc_id", "text_hash")
+    ids = labelled.select("doc_id", "lang", "text_hash", F.pmod(F.xxhash64("text_hash", "doc_id"), F.lit(SALTS)).alias("salt"))
+    for group in (("lang", "salt"), ("lang",)):  # the first of each salt hold the first of all, so no task gets more than SALTS x per_language rows of a language
+        ids = ids.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("rank") <= per_language)
+    ids = ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("text_hash").alias("_hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")) & (F.col("text_hash") == F.col("_hash"))
+    chosen = labelled.join(F.broadcast(ids), same).dropDuplicates(["doc_id", "lang", "text_hash"]).select("lang", "text")  # per_language ids of each language
     rows = chosen.mapInArrow(training_counts, "lang string, bins array<int>, shares array<float>").toArrow()
     names = sorted(set(rows.column("lang").to_pylist()))
     if not names:

@@ -44,6 +44,16 @@ def test_language_edges(spark, medium):
     assert langid.identify(none, one).first().lang_pred == "xx"
 
 
+def test_repeated_and_null_ids_do_not_multiply_in_training(spark, medium):
+    text = "the and of that with which is a plain text"
+    many = spark.range(3000).selectExpr("CAST(NULL AS long) AS doc_id", f"'{text}' AS text", "'en' AS lang")
+    model = langid.fit(medium.select("doc_id", "text", "lang").union(many))
+    plain = langid.fit(medium.select("doc_id", "text", "lang").union(many.limit(1)))
+    assert model.languages == plain.languages and np.isfinite(model.weights).all()
+    chosen = langid.fit(medium.select("doc_id", "text", "lang").repartition(13))
+    assert np.allclose(chosen.weights, langid.fit(medium).weights, atol=1e-4)
+
+
 def test_margins_do_not_depend_on_neighbours(medium):
     model = langid.fit(medium)
     texts = [langid.prepared(t) for t in ("ab", "the cat", "une maison à la mer", "x" * 10, "")]
