@@ -298,6 +298,9 @@ def test_page_parsing(spark):
     got = parsed.select("page_id", extract.classify(F.col("url"), F.lit("text/html"), F.col("scholarly"), F.col("schema_types"), F.col("og_type")).alias("c"))
     assert [(r.c.type, r.c.classifier) for r in got.orderBy("page_id").collect()][:2] == [("article", "schema_org"), ("page", "fallback")]
     assert one(spark, extract.robots_directives(F.lit("NOINDEX, otherbot: nofollow"), "loomgraph/1")) == ["noindex"]
+    assert one(spark, extract.robots_directives(F.lit("otherbot: noindex, nofollow"), "loomgraph/1")) == []
+    assert one(spark, extract.robots_directives(F.lit("Loomgraph: noindex , nofollow"), "loomgraph/1")) == ["noindex", "nofollow"]
+    assert one(spark, extract.robots_directives(F.lit("max-snippet: 5, 1noarchive1"), "x")) == ["max-snippet: 5", "1noarchive1"]
     assert sorted(one(spark, extract.robots_directives(F.lit("none"), "x"))) == ["nofollow", "noindex"]
     assert one(spark, extract.declared_canonical(F.lit("http://h/a"), F.lit("http://h/a"), F.lit("http://h/b"))) is None
     assert one(spark, extract.declared_canonical(F.lit("http://h/a"), F.lit("http://other/a"), F.lit("http://h/b"))) == "http://h/b"
