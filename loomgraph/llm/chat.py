@@ -66,7 +66,7 @@ def transcript_blocks(transcripts: DataFrame, key: str = "conv_id", text: str =
     """(conv_id, turn, text): raw transcripts cut before blank lines and lines that open with a marker."""
     starts = "|".join(f"(?={marker_pattern(r)[4:].replace('^', '', 1)})" for r in ROLES)
     cut = F.split(F.col(text), rf"\n\s*\n|\n(?i:{starts})")
-    blocks = transcripts.select(F.col(key).alias("conv_id"), F.posexplode(F.filter(F.transform(cut, F.trim), lambda x: x != "")).alias("turn", "text"))
+    blocks = transcripts.select(F.col(key).alias("conv_id"), F.posexplode(F.filter(F.transform(cut, lambda x: F.trim(x)), lambda x: x != "")).alias("turn", "text"))
     return blocks.withColumn("turn", F.col("turn").cast("long"))
 
 

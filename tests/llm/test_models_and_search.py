@@ -180,6 +180,12 @@ def test_chat_edges(spark):
     assert len(chat.parse(df, hmm).collect()) == 5 and chat.parse(df.limit(0), hmm).count() == 0
 
 
+def test_transcript_blocks_are_trimmed_of_spaces_alone(spark):
+    raw = spark.createDataFrame([(7, " 0 first 0 \n\n1 second 1\n\n  \n\nUser: 2 third 2"), (8, None), (9, "")], "conv_id long, text string")
+    got = [tuple(r) for r in chat.transcript_blocks(raw).orderBy("conv_id", "turn").collect()]
+    assert got == [(7, 0, "0 first 0"), (7, 1, "1 second 1"), (7, 2, "User: 2 third 2")]
+
+
 # ---- URL rules
 
 def test_url_edges(spark):
