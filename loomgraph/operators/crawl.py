@@ -124,8 +124,8 @@ def signal(outcome_: Column, status: Column) -> Column:
 
 def exhausted(requests: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """(domain): domains whose last requests in a row failed or were refused too often; requests(domain, at, signal)."""
-    good = F.max(F.when(F.col("signal") == "succeeded", F.col("at"))).over(Window.partitionBy("domain"))
-    tail = requests.withColumn("good", good).filter("good IS NULL OR at > good")
+    good = requests.filter("signal = 'succeeded'").groupBy("domain").agg(F.max("at").alias("good"))
+    tail = requests.filter("signal <> 'succeeded'").join(good, "domain", "left").filter("good IS NULL OR at > good")
     counts = tail.groupBy("domain").agg(F.count(F.when(F.col("signal") == "failed", 1)).alias("errors"), F.count(F.when(F.col("signal") == "refused", 1)).alias("refusals"))
     return counts.filter((F.col("errors") >= cfg.max_errors) | (F.col("refusals") >= cfg.max_refusals)).select("domain")
 
@@ -134,17 +134,53 @@ def learned_delays(observations: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """(domain, delay_s): the adaptive delay after a domain's observations(domain, at, signal, latency_s, floor_s).
 
     Each success moves the delay halfway to factor x latency, within bounds; a refusal or failure takes it back to
-    the start at least.  A fold over each domain's ordered observations.
+    the start at least.  Every step has the form x -> min(max(a x + b, lo), hi), and so has a run of steps: the
+    observations of one domain and day, of which the pacing itself bounds the number, become one such step, and a
+    domain's delay is the fold of its days.
     """
-    ordered = observations.groupBy("domain").agg(F.max(F.coalesce("floor_s", F.lit(0.0))).alias("floor"), F.array_sort(F.collect_list(F.struct("at", "signal", "latency_s"))).alias("seen"))
+    floors = observations.groupBy("domain").agg(F.max(F.coalesce("floor_s", F.lit(0.0))).alias("floor"))
+    day = F.to_date("at") if dict(observations.dtypes)["at"].startswith("timestamp") else F.floor(F.col("at") / 86400)
+    seen = F.array_sort(F.collect_list(F.struct("at", "signal", "latency_s"))).alias("seen")
+    days = observations.groupBy("domain", day.alias("day")).agg(seen).join(floors, "domain")
+    most = F.greatest(F.lit(cfg.max_delay_s), F.col("floor"))
 
     def bounded(x: Column) -> Column:
-        return F.least(F.greatest(x, F.col("floor"), F.lit(cfg.min_delay_s)), F.greatest(F.lit(cfg.max_delay_s), F.col("floor")))
+        return F.least(F.greatest(x, F.col("floor"), F.lit(cfg.min_delay_s)), most)
 
-    def step(delay: Column, o: Column) -> Column:
-        return F.when(o["signal"] == "succeeded", (delay + bounded(o["latency_s"] * cfg.latency_factor)) / 2).otherwise(bounded(F.greatest(delay, F.lit(cfg.start_delay_s))))
+    def step(f: Column, o: Column) -> Column:
+        ok, aim, least = o["signal"] == "succeeded", bounded(o["latency_s"] * cfg.latency_factor), bounded(F.lit(cfg.start_delay_s))
 
-    return ordered.select("domain", F.aggregate("seen", bounded(F.lit(cfg.start_delay_s)), step).alias("delay_s"))
+        def moved(x: Column, limited: bool = True) -> Column:
+            return F.when(ok, (x + aim) / 2).otherwise(F.least(F.greatest(x, least), most) if limited else x)
+
+        slope = F.when(ok, f["a"] / 2).otherwise(f["a"])
+        return F.struct(slope.alias("a"), moved(f["b"], limited=False).alias("b"), moved(f["lo"]).alias("lo"), moved(f["hi"]).alias("hi"))
+
+    same = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(-1e300).alias("lo"), F.lit(1e300).alias("hi"))
+    steps = days.select("domain", "floor", F.struct("day", F.aggregate("seen", same, step).alias("f")).alias("s"))
+    folded = steps.groupBy("domain", "floor").agg(F.array_sort(F.collect_list("s")).alias("steps"))
+    one = lambda x, s: F.least(F.greatest(s["f"]["a"] * x + s["f"]["b"], s["f"]["lo"]), s["f"]["hi"])
+    return folded.select("domain", F.aggregate("steps", bounded(F.lit(cfg.start_delay_s)), one).alias("delay_s"))
+
+
+def gate_floors(hosts: DataFrame) -> DataFrame:
+    """(registrable, floor_s): hosts of one registrable domain share a gate, no faster than the slowest Crawl-delay;
+    hosts(host, registrable, crawl_delay_s)."""
+    return hosts.groupBy("registrable").agg(F.max(F.coalesce("crawl_delay_s", F.lit(0.0))).alias("floor_s"))
+
+
+def robots_fresh(fetched_at: Column, now: Column, ttl_h: float = 24.0) -> Column:
+    """Whether the cached robots text still serves."""
+    return F.coalesce((F.unix_micros(now.cast("timestamp")) - F.unix_micros(fetched_at.cast("timestamp"))) < ttl_h * 3.6e9, F.lit(False))
+
+
+def feed_health(feeds: DataFrame, entries: DataFrame, now: Column, max_age_days: float = 180.0) -> DataFrame:
+    """(source, entries, newest, finding): empty, undated, stale, future or null; entries(source, published, updated)."""
+    dated = entries.groupBy("source").agg(F.count("*").alias("entries"), F.max(F.coalesce("published", "updated")).alias("newest"))
+    rows = feeds.select("source").join(dated, "source", "left").withColumn("entries", F.coalesce("entries", F.lit(0)))
+    age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("newest").cast("timestamp"))) / 86400e6
+    finding = F.when(F.col("entries") == 0, "empty").when(F.col("newest").isNull(), "undated").when(age > max_age_days, "stale").when(age < 0, "future")
+    return rows.select("source", "entries", "newest", finding.alias("finding"))
 
 
 def backoff(delay: Column, errors: Column, asked: Column, cfg: Config = DEFAULT) -> Column:

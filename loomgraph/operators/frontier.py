@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.config import DEFAULT, Config
-from loomgraph.functions import measures
+from loomgraph.functions import measures, url
 
 
 def merged_positions(candidates: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -16,10 +16,35 @@ def merged_positions(candidates: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 
 def followed(depth: Column, hops: Column, same_site: Column) -> tuple[Column, Column]:
-    """Position of a page that a link or redirect leads to."""
+    """Position of a page that a link leads to."""
     return F.when(same_site, depth + 1).otherwise(0), F.when(same_site, hops).otherwise(hops + 1)
 
 
+def redirected(depth: Column, hops: Column, same_site: Column) -> tuple[Column, Column]:
+    """Position of a redirect's target: a move within the site keeps it, one to another site is a hop."""
+    return F.when(same_site, depth).otherwise(0), F.when(same_site, hops).otherwise(hops + 1)
+
+
+def planned_targets(frontier: DataFrame, targets: DataFrame, cycle: int, now: Column) -> DataFrame:
+    """Redirect targets join the running cycle if they are due and in no plan; frontier(url_id, cycle_id, next_fetch_at)."""
+    hit = targets.select("url_id", F.lit(True).alias("_hit")).distinct()
+    free = F.col("_hit") & F.col("cycle_id").isNull() & (F.col("next_fetch_at") <= now)
+    return frontier.join(hit, "url_id", "left").withColumn("cycle_id", F.when(free, F.lit(cycle)).otherwise(F.col("cycle_id"))).drop("_hit")
+
+
+def seeds(pins: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(candidates, refused): the homepage of every pinned site at the start of depth and hops, and the URL entered;
+    text that is no crawlable web site is refused.  pins(entered): a domain or a URL."""
+    raw = F.trim("entered")
+    made = pins.select("entered", url.canonicalize(F.when(raw.contains("://"), raw).otherwise(F.concat(F.lit("https://"), raw))).alias("url"))
+    host = url.host(F.col("url"))
+    good = F.coalesce(F.regexp_replace(host, r"^\[|\]$", "").contains("."), F.lit(False))
+    home = F.concat(F.regexp_extract("url", r"^(https?://[^/?#]+)", 1), F.lit("/"))
+    found = made.filter(good).select(F.explode(F.array(home, F.col("url"))).alias("url")).distinct()
+    zero = F.lit(0).cast("long")
+    return found.select("url", zero.alias("depth"), zero.alias("hops")), made.filter(~good).select("entered")
+
+
 def domain_prior(domain_scores: DataFrame, urls: DataFrame) -> DataFrame:
     """urls(url_id, domain, hops) with prior: the domain's score, 0 if only others have one; without any score at
     all 1 for seeds and 0 for the rest."""
@@ -88,11 +113,13 @@ def release(entries: DataFrame, cycle: int) -> DataFrame:
 def record(results: DataFrame, now: Column, cfg: Config = DEFAULT) -> DataFrame:
     """State transition of fetched entries.
 
-    results(url_id, outcome, body_hash, old_hash, fetch_count, change_count, failures) gives the new counters, the
-    action (keep, reschedule, retry, drop) and when the entry is due again.
+    results(url_id, outcome, body_hash, old_hash, fetch_count, change_count, failures[, target, permanent]) gives the
+    new counters, the action (reschedule, retry, drop) and when the entry is due again.  A redirect keeps its entry
+    only if it is temporary and its target (an id or URL, null if not crawlable) was queued.
     """
     outcome, failed = F.col("outcome"), F.col("failures") + 1
-    answered = outcome.isin("ok", "not_modified")
+    moved = (outcome == "redirect") & F.col("target").isNotNull() & ~F.col("permanent") if {"target", "permanent"} <= set(results.columns) else F.lit(False)
+    answered = outcome.isin("ok", "not_modified") | F.coalesce(moved, F.lit(False))
     action = F.when(answered, "reschedule").when((outcome == "retry") & (failed < cfg.max_failures), "retry").otherwise("drop")
     changed = (outcome == "ok") & F.col("old_hash").isNotNull() & (F.col("body_hash") != F.col("old_hash"))
     hours = F.when(answered, cfg.recrawl_after_h).when(outcome == "retry", measures.retry_hours(failed, cfg))

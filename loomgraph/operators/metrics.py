@@ -49,10 +49,32 @@ def spend_by_model(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("model", F.date_trunc("month", F.col("at").cast("timestamp")).cast("date").alias("month")).agg(F.count("*").alias("requests"), F.sum("cost").alias("cost"))
 
 
-def within_cap(ledger: DataFrame, cap: float, group: str) -> DataFrame:
-    """Requests, in order of id, up to the first that would pass the cap of its group."""
-    w = Window.partitionBy(group).orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    return ledger.withColumn("running", F.sum("cost").over(w)).filter(F.col("running") <= cap)
+def within_cap(ledger: DataFrame, cap: float, group: str, slots: int = 1024) -> DataFrame:
+    """Requests, in order of id, up to the first that would pass the cap of its group; costs are not negative.
+
+    Running sums in two levels: a group's span of ids is cut into equal slots, so no task sorts a whole group; the
+    sums of earlier slots (at most `slots` rows a group) come from a small window.
+    """
+    span = ledger.groupBy(group).agg(F.min("id").alias("_min"), F.max("id").alias("_max"))
+    slot = F.floor((F.col("id") - F.col("_min")) / (F.col("_max") - F.col("_min") + 1) * slots).cast("int")
+    rows = ledger.join(span, group).withColumn("_slot", slot).drop("_min", "_max")
+    sums = rows.groupBy(group, "_slot").agg(F.sum("cost").alias("_sum"))
+    earlier = Window.partitionBy(group).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(group, "_slot", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)).alias("_before")).filter(F.col("_before") <= cap)
+    w = Window.partitionBy(group, "_slot").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    running = F.sum("cost").over(w) + F.col("_before")
+    return rows.join(before, [group, "_slot"]).withColumn("running", running).filter(F.col("running") <= cap).drop("_slot", "_before")
+
+
+def month_spend(ledger: DataFrame, now: Column) -> DataFrame:
+    """(spent): this UTC month's cost up to now, 0 without requests."""
+    at = F.col("at").cast("timestamp")
+    return ledger.filter((at >= F.date_trunc("month", now.cast("timestamp"))) & (at <= now.cast("timestamp"))).agg(F.coalesce(F.sum("cost"), F.lit(0.0)).alias("spent"))
+
+
+def open_meter(spent: Column, cap: float) -> Column:
+    """What may still be spent."""
+    return F.greatest(F.lit(0.0), F.lit(cap) - spent)
 
 
 def charge(cost: Column, tokens: Column, usd_per_million: float) -> tuple[Column, Column]:

@@ -72,6 +72,12 @@ def topics(spark: SparkSession, d: str) -> DataFrame:
     return r.union(table(spark, d, "nation").select(F.col("n_nationkey").cast("long"), (F.col("n_regionkey") + 100).cast("long")))
 
 
+def topic_names(spark: SparkSession, d: str) -> DataFrame:
+    """(topic, parent, name)"""
+    r = table(spark, d, "region").select((F.col("r_regionkey") + 100).cast("long").alias("topic"), F.lit(None).cast("long").alias("parent"), F.col("r_name").alias("name"))
+    return r.union(table(spark, d, "nation").select(F.col("n_nationkey").cast("long"), (F.col("n_regionkey") + 100).cast("long"), "n_name"))
+
+
 def interests(spark: SparkSession, d: str) -> DataFrame:
     """(user, topic, weight): three topics per user."""
     ids = [(u, t, w) for u in range(5) for t, w in ((u, 2.0), (100 + (u + 1) % 5, 1.0), ((u * 7 + 3) % 25, 0.5))]

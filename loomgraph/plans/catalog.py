@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 from loomgraph.functions import measures, text, url, vector
-from loomgraph.operators import candidates, crawl, dedup, extract, frontier, graph, metrics, profiles, ranking
+from loomgraph.operators import candidates, crawl, dedup, embedding, extract, frontier, graph, metrics, preferences, profiles, ranking
 from loomgraph.operators import topics as topic_ops
 
 from . import adapters as A
@@ -537,7 +537,7 @@ def dedup_exact(spark, d):
 
 
 @query("dedup_decisions", f"""WITH {_HASHED}, o AS (SELECT hash, min(doc) AS oldest FROM h WHERE words >= 50 GROUP BY 1), x AS (SELECT h.*, oldest, CASE WHEN doc % 50 = 1 AND doc % 9 < 4 THEN 1000000 + doc % 9 END AS mapped FROM h LEFT JOIN o USING (hash))
-SELECT doc, CASE WHEN mapped IS NOT NULL THEN mapped WHEN words >= 50 AND oldest < doc THEN oldest ELSE doc END AS target, CASE WHEN mapped IS NOT NULL THEN 'canonical' WHEN words >= 50 AND oldest < doc THEN 'content_hash' ELSE 'new' END AS method FROM x""")
+SELECT doc, CASE WHEN mapped IS NOT NULL THEN mapped WHEN words >= 50 AND oldest < doc THEN oldest ELSE doc END AS target, CASE WHEN mapped IS NOT NULL THEN 'canonical_url' WHEN words >= 50 AND oldest < doc THEN 'content_hash' ELSE 'new' END AS method FROM x""")
 def dedup_decisions(spark, d):
     canonical = spark.range(4).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("canonical_url"), (F.col("id") + 1000000).alias("target"))
     return dedup.decide(_hashed(spark, d), canonical).select("doc", "target", "method")
@@ -668,12 +668,11 @@ def transfer_export(spark, d):
     return metrics.export_users(i.select("user").distinct(), i, pins)
 
 
-@query("feed_items_newest", """SELECT id FROM (SELECT o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY (CASE WHEN o_orderkey % 3 <> 0 THEN 1 ELSE 0 END) DESC, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate END DESC NULLS LAST, o_orderkey) AS r FROM orders) WHERE r <= 3""")
+@query("feed_items_newest", """SELECT id FROM (SELECT o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderkey % 3 <> 0 AND o_orderkey % 7 <> 0) DESC, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate END DESC NULLS LAST, o_orderkey) AS r FROM orders) WHERE r <= 3""")
 def feed_items_newest(spark, d):
     k, at = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
-    rows = A.table(spark, d, "orders").select(k.alias("id"), F.col("o_custkey").alias("source"), k.alias("pos"), F.when((k % 3 != 0) & (k % 7 != 0), at).alias("published"), F.when(k % 7 != 0, at).alias("updated"), (k % 3 != 0).alias("flag"))
-    w = Window.partitionBy("source").orderBy(F.desc("flag"), F.coalesce("published", "updated").desc_nulls_last(), "pos")
-    return rows.withColumn("r", F.row_number().over(w)).filter("r <= 3").select("id")
+    rows = A.table(spark, d, "orders").select(k.alias("id"), F.col("o_custkey").alias("source"), k.alias("pos"), F.when((k % 3 != 0) & (k % 7 != 0), at).alias("published"), F.when(k % 7 != 0, at).alias("updated"))
+    return crawl.newest(rows, 3, A.now()).select("id")
 
 
 @query("fetch_outcome", """WITH r AS (SELECT o_orderkey AS id, [200, 203, 301, 302, 304, 404, 408, 429, 500, 503][(o_orderkey % 10 + 1)::INTEGER] AS st, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'http://x/' END AS loc, CASE o_orderkey % 3 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'Application/PDF' ELSE 'image/png' END AS ct, o_custkey * 1000 AS n FROM orders)
@@ -686,11 +685,13 @@ def fetch_outcome(spark, d):
     return A.table(spark, d, "orders").select(k.alias("id"), out.alias("outcome"))
 
 
-@query("learned_delays")
+@query("learned_delays", """WITH o AS (SELECT user_id AS domain, list(CASE event_type WHEN 'error' THEN -1.0 WHEN 'purchase' THEN -1.0 ELSE least(greatest(value / 10, 0.5), 10.0) END::DOUBLE ORDER BY ts, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'refused' ELSE 'succeeded' END, value) AS seen FROM events GROUP BY 1)
+SELECT domain, round(list_reduce(list_prepend(1.0::DOUBLE, seen), lambda d, x: CASE WHEN x >= 0 THEN (d + x) / 2 ELSE least(greatest(d, 1.0), 10.0) END), 8) AS delay_s FROM o""")
 def learned_delays(spark, d):
     ev = A.events(spark, d)
     signal = F.when(F.col("kind") == "hide", "failed").when(F.col("kind") == "like", "refused").otherwise("succeeded")
-    return crawl.learned_delays(ev.select(F.col("user").alias("domain"), "at", signal.alias("signal"), (F.col("value") / 20).alias("latency_s"), F.lit(0.0).alias("floor_s")))
+    found = crawl.learned_delays(ev.select(F.col("user").alias("domain"), "at", signal.alias("signal"), (F.col("value") / 20).alias("latency_s"), F.lit(0.0).alias("floor_s")))
+    return found.select("domain", r9("delay_s", 8).alias("delay_s"))
 
 
 @query("robots_filtering")
@@ -742,3 +743,101 @@ def sitemap_order(spark, d):
     name = F.concat(F.lit("https://s/"), F.when(F.col("doc_id") % 5 == 0, "archive-").otherwise(""), F.when(F.col("doc_id") % 3 == 0, "news-").otherwise("map-"), F.col("doc_id").cast("string"), F.lit(".xml"))
     files = A.table(spark, d, "documents").select("doc_id", "source", F.col("doc_id").alias("pos"), name.alias("url"))
     return crawl.sitemap_files(files, ["archive"], url.path_words(F.col("url")), 10).select("doc_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("feed_health", f"""SELECT o_custkey AS source, count(*) AS entries, CASE WHEN max(x) IS NULL THEN 'undated' WHEN max(x) < TIMESTAMP '1998-06-01' - INTERVAL 180 DAY THEN 'stale' WHEN max(x) > TIMESTAMP '1998-06-01' THEN 'future' END AS finding
+FROM (SELECT o_custkey, CASE WHEN o_custkey % 9 <> 0 THEN o_orderdate END AS x FROM orders) GROUP BY 1 UNION ALL SELECT -1, 0, 'empty'""")
+def feed_health(spark, d):
+    o = A.table(spark, d, "orders").select(F.col("o_custkey").alias("source"), F.lit(None).cast("timestamp").alias("published"), F.when(F.col("o_custkey") % 9 != 0, F.col("o_orderdate").cast("timestamp")).alias("updated"))
+    known = o.select("source").distinct().union(spark.sql("SELECT -1L"))
+    return crawl.feed_health(known, o, F.lit("1998-06-01").cast("timestamp")).drop("newest")
+
+
+@query("content_sources", """SELECT o_orderkey AS url_id, (o_orderkey % 3 = 0 OR (o_orderkey % 3 = 1 AND o_orderstatus = 'O')) AS is_source FROM orders""")
+def content_sources(spark, d):
+    """Every third page is its document's canonical URL, every third declares it; open orders were never fetched."""
+    k = F.col("o_orderkey")
+    o = A.table(spark, d, "orders").select(k.alias("document"), F.when(k % 3 == 0, k).otherwise(-k).alias("canonical_url_id"), F.when(F.col("o_orderstatus") != "O", "h").alias("content_hash"))
+    pages = o.select(F.col("document").alias("url_id"), F.when(F.col("document") % 3 == 1, -F.col("document")).otherwise(F.col("document")).alias("canonical_id"), "document")
+    return dedup.content_sources(pages, o.select("document", "canonical_url_id"), o.select(F.col("canonical_url_id").alias("url_id"), "content_hash")).select("url_id", "is_source")
+
+
+# ---- embeddings to make, preferences ---------------------------------------------------------------------------
+
+
+@query("embed_candidates", """SELECT o_orderkey AS doc, CASE o_orderkey % 5 WHEN 2 THEN 'unchanged' WHEN 4 THEN 'empty' ELSE 'todo' END AS state, sha256(CASE WHEN o_orderkey % 5 = 4 THEN '' ELSE o_orderpriority END) AS input_hash FROM orders WHERE o_orderkey % 5 <> 1""")
+def embed_candidates(spark, d):
+    """Orders as titled documents: of five, one is new, one embedded, one unchanged, one changed, one empty."""
+    k, at = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
+    docs = A.table(spark, d, "orders").select(k.alias("doc"), at.alias("updated_at"), F.when(k % 5 != 4, F.col("o_orderpriority")).alias("title"), F.lit(None).cast("string").alias("excerpt"), F.lit("").alias("text"))
+    old = docs.filter("doc % 5 IN (1, 2, 3)").select("doc", F.lit("m").alias("model"), F.when(F.col("doc") % 5 == 2, F.sha2("title", 256)).otherwise("x").alias("input_hash"), F.when(F.col("doc") % 5 == 1, F.col("updated_at")).otherwise(F.col("updated_at") - F.expr("INTERVAL 1 DAY")).alias("document_updated_at"))
+    return embedding.candidates(docs, old, "m").select("doc", "state", "input_hash")
+
+
+@query("description_prompts", A.sql("topics", """n AS (SELECT topic, parent, CASE WHEN parent IS NULL THEN (SELECT r_name FROM region WHERE r_regionkey + 100 = topic) ELSE (SELECT n_name FROM nation WHERE n_nationkey = topic) END AS name FROM topics)
+SELECT topic::BIGINT AS topic, concat_ws(chr(10), 'Topic: ' || concat_ws(' > ', (SELECT p.name FROM n p WHERE p.topic = n.parent), name),
+ 'Its subtopics: ' || (SELECT string_agg(c.name, ', ' ORDER BY c.name) FROM n c WHERE c.parent = n.topic), 'Sibling topics, for contrast: ' || (SELECT string_agg(c.name, ', ' ORDER BY c.name) FROM n c WHERE c.parent IS NOT DISTINCT FROM n.parent AND c.topic <> n.topic)) AS prompt FROM n"""))
+def description_prompts(spark, d):
+    return embedding.description_prompts(A.topic_names(spark, d))
+
+
+@query("stale_descriptions", "SELECT n_nationkey::BIGINT AS topic FROM nation WHERE n_nationkey % 3 <> 0 UNION ALL SELECT r_regionkey + 100 FROM region")
+def stale_descriptions(spark, d):
+    t = A.topic_names(spark, d)
+    written = t.filter("parent IS NOT NULL AND topic % 3 <> 1").select("topic", F.when(F.col("topic") % 3 == 0, F.col("name")).otherwise("old").alias("name"))
+    return embedding.stale_descriptions(t, written).select("topic")
+
+
+@query("preferences_resolved", """SELECT c_custkey AS "user", CASE WHEN c_custkey % 4 = 0 THEN 'balanced' WHEN c_custkey % 4 = 1 THEN 'fresh' END AS preset, CASE WHEN c_custkey % 4 = 0 THEN 0.5 WHEN c_custkey % 4 = 1 THEN 2.0 ELSE c_acctbal END::DOUBLE AS w_recency,
+ CASE WHEN c_custkey % 4 = 0 THEN 0.2 ELSE 0.1 END::DOUBLE AS exploration, CASE c_custkey % 4 WHEN 1 THEN 0.75 WHEN 2 THEN 0.5 WHEN 3 THEN 0.0 ELSE 0.5 END::DOUBLE AS semantic_share FROM customer""")
+def preferences_resolved(spark, d):
+    """Of four users one has no settings, one a preset and two their own weights; of two splits one is zero, one no number."""
+    users = A.table(spark, d, "customer").withColumn("user", F.col("c_custkey"))
+    k = F.col("user") % 4
+    semantic, other = F.when(k == 1, "3").when(k == 2, "0").otherwise("most"), F.when(k == 2, "0").otherwise("1")
+    stored = users.filter(k != 0).select("user", F.when(k == 1, "fresh").alias("preset"), F.create_map(F.lit("recency"), F.col("c_acctbal")).alias("weights"), F.lit(0.1).alias("exploration"), F.create_map(F.lit("adjacent_semantic"), semantic, F.lit("adjacent_graph"), other).alias("split"), F.array(F.lit("post")).alias("types"), F.lit(True).alias("summaries"))
+    return preferences.resolved(users, stored, ["article"]).select("user", "preset", "w_recency", "exploration", "semantic_share")
+
+
+@query("interests_replaced", A.sql("interests", """s AS (SELECT DISTINCT c_custkey % 7 AS u, c_nationkey AS topic FROM customer), bad AS (SELECT DISTINCT u FROM s WHERE u = 2)
+SELECT u::BIGINT AS "user", topic::BIGINT AS topic, weight FROM interests WHERE u = 2 UNION ALL SELECT u, topic, CASE WHEN topic % 2 = 0 THEN 2.0 ELSE 1.0 END FROM s WHERE u NOT IN (SELECT u FROM bad)"""))
+def interests_replaced(spark, d):
+    """A survey of seven users, one of whom names an unknown topic and keeps what they had."""
+    c = A.table(spark, d, "customer")
+    level = F.when(F.col("c_nationkey") % 2 == 0, "very_interested").otherwise("interested")
+    survey = c.select((F.col("c_custkey") % 7).alias("user"), F.col("c_custkey").alias("pos"), F.when(F.col("c_custkey") % 7 == 2, F.lit(-1)).otherwise(F.col("c_nationkey")).cast("long").alias("topic"), level.alias("level"))
+    return preferences.replaced_interests(A.interests(spark, d), survey, A.topics(spark, d))[0]
+
+
+@query("pins_named", """SELECT DISTINCT c_nationkey AS "user", 'www.site' || (c_custkey % 9)::VARCHAR || '.org' AS domain, CASE WHEN c_custkey % 9 < 4 THEN 'Site ' || (c_custkey % 9)::VARCHAR END AS name FROM customer""")
+def pins_named(spark, d):
+    n = (F.col("c_custkey") % 9).cast("string")
+    pins = A.table(spark, d, "customer").select(F.col("c_nationkey").alias("user"), F.concat(F.lit("www.site"), n, F.lit(".org")).alias("domain")).distinct()
+    known = spark.range(8).select(F.col("id").alias("pos"), F.concat(F.lit("site"), (F.col("id") % 4).cast("string"), F.lit(".org")).alias("host"), F.when(F.col("id") < 4, F.concat(F.lit("Site "), F.col("id").cast("string"))).otherwise("later").alias("name"))
+    return preferences.pins_view(pins, known)
+
+
+@query("invalid_references", A.sql("ev", """served AS (SELECT rec, u, doc FROM ev WHERE event_id % 2 = 0)
+SELECT event_id AS id, 'document' AS problem FROM ev WHERE doc IS NOT NULL AND doc NOT IN (SELECT doc_id FROM documents WHERE doc_id % 10 <> 3)
+UNION ALL SELECT event_id, 'recommendation' FROM ev WHERE NOT EXISTS (SELECT 1 FROM served s WHERE s.rec = ev.rec AND s.u = ev.u AND s.doc = ev.doc)"""))
+def invalid_references(spark, d):
+    ev = A.events(spark, d)
+    rows = ev.select(F.col("event_id").alias("id"), "user", "doc", "recommendation_id")
+    docs = A.corpus(spark, d).select("doc").filter("doc % 10 <> 3")
+    return preferences.invalid_references(rows, docs, ev.filter("event_id % 2 = 0").select("recommendation_id", "user", "doc"))
+
+
+@query("interests_ordered", A.sql("interests tags topics lineage", """asked AS (SELECT doc_id % 5 AS u, doc_id AS doc FROM documents),
+nm AS (SELECT r_regionkey + 100 AS topic, r_name AS name FROM region UNION ALL SELECT n_nationkey, n_name FROM nation),
+near AS (SELECT u, doc, ancestor AS topic FROM asked JOIN tags USING (doc) JOIN lineage USING (topic) UNION SELECT u, doc, l.topic FROM asked JOIN tags t USING (doc) JOIN lineage l ON l.ancestor = t.topic),
+x AS (SELECT a.u, a.doc, i.topic, row_number() OVER (PARTITION BY a.u, a.doc ORDER BY n.topic IS NULL, i.weight DESC, nm.name) AS rank FROM asked a JOIN interests i USING (u) JOIN nm USING (topic) LEFT JOIN near n ON n.u = a.u AND n.doc = a.doc AND n.topic = i.topic)
+SELECT u AS "user", doc, topic::BIGINT AS topic, rank::INTEGER AS rank FROM x WHERE rank <= 2"""))
+def interests_ordered(spark, d):
+    asked = A.corpus(spark, d).select((F.col("doc") % 5).alias("user"), "doc")
+    t = A.topic_names(spark, d)
+    return preferences.ordered_interests(asked, A.tags(spark, d), topic_ops.lineage(t), A.interests(spark, d), t, 2)
+
+
+@query("month_spend", "SELECT round(sum(o_totalprice), 4) AS spent FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1995-03-01' AND TIMESTAMP '1995-03-20'")
+def month_spend(spark, d):
+    return metrics.month_spend(_ledger(spark, d), F.lit("1995-03-20").cast("timestamp")).select(F.round("spent", 4).alias("spent"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import config
 from loomgraph.functions import measures, text, url, vector
-from loomgraph.operators import candidates, crawl, dedup, extract, frontier, graph, metrics, profiles, ranking, topics
+from loomgraph.operators import candidates, crawl, dedup, embedding, extract, frontier, graph, metrics, preferences, profiles, ranking, topics
 from loomgraph.sources import feeds, tables
 from loomgraph.streaming import events as stream
 
@@ -399,3 +399,100 @@ def test_event_stream(spark, tmp_path):
 def test_bad_settings():
     with pytest.raises(ValueError):
         config.Config(min_delay_s=5.0)
+
+
+# ---- embeddings to make, preferences, crawl bookkeeping
+
+def test_embedding_stage(spark):
+    class Flaky(embedding.HashProvider):
+        def embed(self, texts):
+            raise OSError("down")
+
+    docs = spark.createDataFrame([(k, f"t{k}" if k else None) for k in range(130)], "doc long, input string")
+    made = {r.doc: r.embedding for r in embedding.embed(docs, embedding.HashProvider(8), "input", 4).collect()}
+    assert made[0] is None and len(made) == 130 and all(len(v) == 4 and abs(np.linalg.norm(v) - 1) < 1e-9 for k, v in made.items() if k)
+    want = np.array(embedding.HashProvider(8).embed(["t7"])[0][:4])
+    assert np.allclose(made[7], want / np.linalg.norm(want))
+    with pytest.raises(Exception, match="zero or short"):
+        embedding.embed(docs, embedding.HashProvider(2), "input", 4).collect()
+    with pytest.raises(Exception, match="down"):
+        embedding.embed(docs, Flaky(8), "input", 4, attempts=2, wait_s=0.0).collect()
+    old = spark.createDataFrame([(1, "m", [1.0], "a", 1), (2, "m", [1.0], "b", 1), (2, "n", [0.5], "b", 1), (3, "m", [1.0], "c", 1)], "doc long, model string, embedding array<double>, input_hash string, document_updated_at long")
+    seen = spark.createDataFrame([(1, 5, "unchanged"), (2, 6, "todo")], "doc long, updated_at long, state string")
+    new = spark.createDataFrame([(2, [0.0, 1.0], "z", 6)], "doc long, embedding array<double>, input_hash string, updated_at long")
+    assert values(embedding.stored(old, seen, new, "m"), "doc", "model", "input_hash", "document_updated_at") == [(1, "m", "a", 5), (2, "m", "z", 6), (2, "n", "b", 1), (3, "m", "c", 1)]
+
+
+def test_topics_to_embed(spark):
+    t = spark.createDataFrame([(1, None, "Arts", "About art", "m"), (2, 1, "Books", "On books", None), (3, 1, "Film", None, "old")], "topic long, parent long, name string, description string, embedding_model string")
+    assert values(embedding.topics_todo(t, "m"), "topic", "input") == [(2, "Arts > Books: On books"), (3, None)]
+    assert embedding.topics_todo(t, "m", redo_all=True).count() == 3
+    assert values(embedding.description_prompts(t), "topic", "prompt")[0] == (1, "Topic: Arts\nIts subtopics: Books, Film")
+
+
+def test_feedback_and_pins(spark):
+    recs = spark.createDataFrame([(9, 1, 5, "search")], "recommendation_id long, user long, doc long, surface string")
+    given = spark.createDataFrame([(1, 5, 9, "like", 0), (1, 6, None, "hide", 0), (2, 5, 9, "like", 0), (1, 5, 9, "block_domain", 0)], "user long, doc long, recommendation_id long, kind string, at long")
+    assert values(preferences.feedback_events(given, recs), "user", "doc", "kind", "surface") == [(1, 5, "like", "search"), (1, 6, "hide", "feed"), (2, 5, "like", "feed")]
+    told = spark.createDataFrame([(1, 1, "old"), (2, 1, "old"), (3, 2, None)], "id long, user long, reason string")
+    new = spark.createDataFrame([(1, 1, None), (3, 1, "not mine")], "id long, user long, reason string")
+    assert values(preferences.with_reasons(told, new), "id", "reason") == [(1, None), (2, "old"), (3, None)]
+    pins = spark.createDataFrame([(1, "a.org", "survey"), (1, "b.org", "survey"), (2, "a.org", "survey")], "user long, domain string, source string")
+    asked = spark.createDataFrame([(1, "b.org"), (1, "www.c.org")], "user long, domain string")
+    known = spark.createDataFrame([(1, "c.org", "C")], "pos long, host string, name string")
+    assert values(preferences.replaced_pins(pins, asked, known), "user", "domain", "source") == [(1, "b.org", "survey"), (1, "www.c.org", "suggested"), (2, "a.org", "survey")]
+
+
+def test_summary_inputs(spark):
+    asked = spark.createDataFrame([(1, 5), (1, 6)], "user long, doc long")
+    docs = spark.createDataFrame([(5, " A  b", "d", "", "body"), (6, None, "d", None, None)], "doc long, title string, domain string, excerpt string, text string")
+    tags = spark.createDataFrame([(5, 1, 0.2), (5, 2, 0.9)], "doc long, topic long, score double")
+    mine = spark.createDataFrame([(1, 5, 2, 2), (1, 5, 1, 1)], "user long, doc long, topic long, rank int")
+    paths = spark.createDataFrame([(1, "X"), (2, "Y")], "topic long, path string")
+    assert values(preferences.summary_inputs(asked, docs, tags, mine, paths), "doc", "title", "excerpt", "text", "topics", "interests") == [(5, "A b", None, "body", ["Y", "X"], ["X", "Y"]), (6, None, None, None, [], [])]
+    cache = spark.createDataFrame([(1, 5, "m"), (1, 6, "other")], "user long, doc long, model string")
+    assert values(preferences.summaries_todo(asked, cache, "m"), "doc") == [(6,)]
+
+
+def test_redirects_and_seeds(spark):
+    rows = [(1, "redirect", 7, False, 0), (2, "redirect", 7, True, 2), (3, "redirect", None, False, 0), (4, "ok", None, None, 1)]
+    df = spark.createDataFrame(rows, "url_id long, outcome string, target long, permanent boolean, failures long").withColumns({"body_hash": F.lit("b"), "old_hash": F.lit("b"), "fetch_count": F.lit(0), "change_count": F.lit(0)})
+    assert values(frontier.record(df, F.lit("2024-01-01").cast("timestamp")), "url_id", "action") == [(1, "reschedule"), (2, "drop"), (3, "drop"), (4, "reschedule")]
+    moved = spark.createDataFrame([(2, 0, True), (2, 0, False)], "depth long, hops long, same boolean")
+    depth, hops = frontier.redirected(F.col("depth"), F.col("hops"), F.col("same"))
+    assert values(moved.select("same", depth.alias("d"), hops.alias("h")), "same", "d", "h") == [(False, 0, 1), (True, 2, 0)]
+    plan = spark.createDataFrame([(1, None, 1), (2, 5, 1), (3, None, 99)], "url_id long, cycle_id long, next_fetch_at long")
+    assert values(frontier.planned_targets(plan, plan.select("url_id"), 8, F.lit(10)), "url_id", "cycle_id") == [(1, 8), (2, 5), (3, None)]
+    found, refused = frontier.seeds(spark.createDataFrame([("Example.com",), ("https://x.org/a?utm_source=1",), ("nonsense",), ("ftp://x.org",), (None,)], "entered string"))
+    assert values(found, "url", "depth", "hops") == [("https://example.com/", 0, 0), ("https://x.org/", 0, 0), ("https://x.org/a", 0, 0)]
+    assert sorted(map(str, (r.entered for r in refused.collect()))) == ["None", "ftp://x.org", "nonsense"]
+
+
+def test_delays_do_not_depend_on_the_cut_in_days(spark):
+    import random
+
+    pick = random.Random(3)
+    seen = [("a", k * 30_000, pick.choice(["succeeded", "succeeded", "failed", "refused"]), pick.uniform(0, 9), 0.7) for k in range(60)]
+    delay = 1.0
+    for _, _, signal, latency, floor in seen:
+        aim = min(max(latency * 2, floor, 0.5), 10.0)
+        delay = (delay + aim) / 2 if signal == "succeeded" else min(max(delay, 1.0, floor, 0.5), 10.0)
+    df = spark.createDataFrame(seen, "domain string, at long, signal string, latency_s double, floor_s double")
+    assert abs(crawl.learned_delays(df).first().delay_s - delay) < 1e-9
+
+
+def test_running_caps_do_not_depend_on_slots(spark):
+    rows = [(k, "m" if k % 3 else "n", float(k % 7)) for k in range(200)] + [(5000, "m", 1.0)]
+    df = spark.createDataFrame(rows, "id long, model string, cost double")
+    want = sorted(i for g in "mn" for i in [k for k, m, _ in rows if m == g] if sum(c for k, m, c in rows if m == g and k <= i) <= 150)
+    for slots in (1, 7, 1024):
+        assert sorted(r.id for r in metrics.within_cap(df, 150.0, "model", slots).collect()) == want
+
+
+def test_dedup_strategies(spark):
+    docs = spark.createDataFrame([(1, "u", "h", 99), (2, "v", "h", 99), (3, "w", "g", 9)], "doc long, canonical_url string, content_hash string, words long")
+    near = spark.createDataFrame([(2, 8, 0.95), (3, 8, 0.5)], "doc long, document long, confidence double")
+    none = spark.createDataFrame([("w", 7)], "canonical_url string, target long")
+    assert values(dedup.decide(docs, none), "doc", "target", "method", "confidence") == [(1, 1, "new", 1.0), (2, 1, "content_hash", 1.0), (3, 7, "canonical_url", 1.0)]
+    own = {"near": near, "content_hash": dedup.by_content_hash(docs)}
+    assert values(dedup.decide(docs, none, strategies=own), "doc", "target", "method") == [(1, 1, "new"), (2, 8, "near"), (3, 3, "new")]
