@@ -127,9 +127,11 @@ def hidden_max_similarity(spark, d):
 _SHOWN = "shown AS (SELECT u, doc FROM ev WHERE kind = 'impression' GROUP BY 1, 2 HAVING count(DISTINCT coalesce(rec, -event_id)) > {n})"
 
 
-def _pairs(spark, d):
-    users = spark.range(10).select(F.col("id").alias("user"))
-    return A.corpus(spark, d).filter("doc < 100").select("doc", "domain", "type").crossJoin(F.broadcast(users))  # ten users by definition
+def _hard_filtered(spark, d, seen):
+    """Every user of the events against every document."""
+    docs, ev = A.corpus(spark, d), A.events(spark, d)
+    users = ev.select("user").filter("user IS NOT NULL").distinct()
+    return candidates.all_filtered(docs.select("doc", "domain", "type"), users, A.with_domain(ev, docs), seen=seen, types=A.TYPES[:-1])
 
 
 _PAIRS = "pairs AS (SELECT doc, domain, type, u FROM corpus, (SELECT unnest(generate_series(0, 9)) AS u) WHERE doc < 100)"
@@ -138,14 +140,12 @@ _PAIRS = "pairs AS (SELECT doc, domain, type, u FROM corpus, (SELECT unnest(gene
 @query("hard_filters_feed", A.sql("corpus ev evd", f"""{_PAIRS}, {_SHOWN.format(n=3)}
 SELECT u::BIGINT AS "user", doc FROM pairs p WHERE type <> 'page' AND NOT EXISTS (SELECT 1 FROM evd x WHERE x.u = p.u AND x.doc = p.doc AND kind IN ('like', 'hide', 'click')) AND NOT EXISTS (SELECT 1 FROM shown s WHERE s.u = p.u AND s.doc = p.doc)"""))
 def hard_filters_feed(spark, d):
-    ev = A.with_domain(A.events(spark, d), A.corpus(spark, d))
-    return candidates.hard_filtered(_pairs(spark, d), ev, seen=True, types=A.TYPES[:-1]).select("user", "doc")
+    return _hard_filtered(spark, d, seen=True)
 
 
 @query("hard_filters_search", A.sql("corpus ev evd", f"""{_PAIRS} SELECT u::BIGINT AS "user", doc FROM pairs p WHERE type <> 'page' AND NOT EXISTS (SELECT 1 FROM evd x WHERE x.u = p.u AND x.doc = p.doc AND kind = 'hide')"""))
 def hard_filters_search(spark, d):
-    ev = A.with_domain(A.events(spark, d), A.corpus(spark, d))
-    return candidates.hard_filtered(_pairs(spark, d), ev, seen=False, types=A.TYPES[:-1]).select("user", "doc")
+    return _hard_filtered(spark, d, seen=False)
 
 
 @query("impressions_overshown", A.sql("ev", """SELECT u AS "user", doc, count(DISTINCT coalesce(rec, -event_id)) AS n FROM ev WHERE kind = 'impression' GROUP BY 1, 2 HAVING count(DISTINCT coalesce(rec, -event_id)) > 1"""))
