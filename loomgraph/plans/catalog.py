@@ -100,11 +100,11 @@ def latest_feedback(spark, d):
     return profiles.latest_feedback(A.events(spark, d).select(F.col("event_id").alias("id"), "user", "doc", "kind", "at")).select("user", "doc", "kind", "id")
 
 
-def _by_user(spark, d):
+def _best_of_all(spark, d, kind):
+    """Every embedding against the feedback of every user."""
     e = A.embeddings(spark, d)
-    fb = profiles.latest_feedback(A.events(spark, d).select(F.col("event_id").alias("id"), "user", "doc", "kind", "at")).filter("user < 5").join(e, "doc")
-    users = spark.range(5).select(F.col("id").alias("user"))
-    return e.filter("doc >= 100").crossJoin(F.broadcast(users)), fb  # five users by definition
+    fb = profiles.latest_feedback(A.events(spark, d).select(F.col("event_id").alias("id"), "user", "doc", "kind", "at"))
+    return profiles.best_of_all(e, fb.filter(F.col("kind") == kind).join(e, "doc"))
 
 
 _NEAR = "cand AS (SELECT doc, e AS ce FROM emb WHERE doc >= 100), fb AS (SELECT u, doc, kind, e FROM (SELECT *, row_number() OVER (PARTITION BY u, doc ORDER BY tm DESC, event_id DESC) AS r FROM ev WHERE kind IN ('like', 'hide')) JOIN emb USING (doc) WHERE r = 1 AND u < 5)"
@@ -112,14 +112,12 @@ _NEAR = "cand AS (SELECT doc, e AS ce FROM emb WHERE doc >= 100), fb AS (SELECT
 
 @query("nearest_liked", A.sql("ev emb", f"""{_NEAR} SELECT "user", doc, liked, round(c, 9) AS cosine FROM (SELECT u AS "user", cand.doc, fb.doc AS liked, list_cosine_similarity(ce, e) AS c, row_number() OVER (PARTITION BY u, cand.doc ORDER BY list_cosine_similarity(ce, e) DESC, fb.doc) AS r FROM cand, fb WHERE kind = 'like') WHERE r = 1"""))
 def nearest_liked(spark, d):
-    cand, fb = _by_user(spark, d)
-    return profiles.most_similar(cand, fb.filter("kind = 'like'")).select("user", "doc", "liked", r9("cosine").alias("cosine"))
+    return _best_of_all(spark, d, "like").filter("cosine IS NOT NULL").select("user", "doc", F.col("given").alias("liked"), r9("cosine").alias("cosine"))
 
 
 @query("hidden_max_similarity", A.sql("ev emb", f"""{_NEAR} SELECT u AS "user", cand.doc, round(max(list_cosine_similarity(ce, e)), 9) AS similarity FROM cand, fb WHERE kind = 'hide' GROUP BY 1, 2"""))
 def hidden_max_similarity(spark, d):
-    cand, fb = _by_user(spark, d)
-    return profiles.max_similarity(cand, fb.filter("kind = 'hide'")).select("user", "doc", r9("similarity").alias("similarity"))
+    return _best_of_all(spark, d, "hide").select("user", "doc", r9("cosine").alias("similarity"))
 
 
 # ---- hard filters and candidate sources ------------------------------------------------------------------------
