@@ -59,11 +59,11 @@ def urls(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("url_id"), F.col("p_partkey").alias("document_id"), F.col("p_brand").alias("domain"), (F.col("p_partkey") % 3).alias("hops"))
 
 
-def pins(spark: SparkSession, d: str, users: int = 4) -> DataFrame:
+def pins(spark: SparkSession, d: str) -> DataFrame:
     """(surfer, domain): user u pins the brand whose number is u modulo 25."""
     brands = nodes(spark, d).select("domain").distinct()
     number = F.regexp_extract("domain", "([0-9]+)$", 1).cast("long") % 25
-    return brands.select(number.alias("surfer"), "domain").filter(F.col("surfer") < users)
+    return brands.select(number.alias("surfer"), "domain")
 
 
 def topics(spark: SparkSession, d: str) -> DataFrame:
