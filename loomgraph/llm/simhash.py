@@ -12,7 +12,8 @@ hang on their fingerprint.  Components come from alternating large-star and smal
 round written to the shared folder.
 
 Edge cases: texts without words (null, empty, blank) have fingerprint zero and form one group; ties and repeated
-rows are copies; documents with a null doc_id take part, and a component of them alone has a null id; an empty
+rows are copies; documents with a null doc_id take part, and a component of them alone has a null id, though
+keep_one keeps one document of each such component; an empty
 table gives an empty result; further columns are ignored or, in keep_one, passed through.
 """
 
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -56,16 +57,23 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(2 * set_bits > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, fp): one row per row of `docs`, fp as a signed long."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", hashed: bool = False) -> DataFrame:
+    """(key, fp): one row per row of `docs`, fp as a signed long; if hashed with (h1, h2), 128 bits of the text."""
+    hashes = dict(zip(("h1", "h2"), text_hashes(), strict=True)) if hashed else {}
+    names = [key, "fp", *hashes]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             found = np.fromiter((fingerprint(x.as_py() or b"") for x in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[key, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=names)
 
-    return docs.select(key, "text").mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, fp long")
+    kind = f"{key} {docs.schema[key].dataType.simpleString()}, fp long" + "".join(f", {h} long" for h in hashes)
+    return docs.select(key, "text", *(c.alias(h) for h, c in hashes.items())).mapInArrow(run, kind)
+
+
+def text_hashes() -> tuple[Column, Column]:
+    return F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
 
 
 def segment_values(fps: np.ndarray) -> list[np.ndarray]:
@@ -201,23 +209,35 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
 
 
+def groups(marked: DataFrame, least: Column) -> DataFrame:
+    """(fp, least, root) of the distinct fingerprints of marked(fp, ...), `least` aggregated over the rows of each."""
+    distinct = marked.groupBy("fp").agg(least.alias("least"))
+    found = components(links(distinct))
+    return distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, fingerprint, component_id) per row of `docs`."""
     marked, _ = common.written(fingerprints(docs, key), "fingerprints")
-    distinct = marked.groupBy("fp").agg(F.min(key).alias("least"))
-    found = components(links(distinct))
-    of_fp = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    of_fp = groups(marked, F.min(key))
     least = of_fp.groupBy("root").agg(F.min("least").alias("component_id"))
     answer = of_fp.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
     return marked.join(answer, F.col("fp") == F.col("_fp")).select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """`docs` with one document of each group, that of the least key; rows that repeat a key become one.
-    A document with a null key stays only where its whole group has none."""
-    name = common.unused(docs, "_kept")
-    kept = near_duplicates(docs, key).filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias(name)).distinct()
-    return docs.join(kept, F.col(key).eqNullSafe(F.col(name))).select(*docs.columns).dropDuplicates([key])
+    """`docs` with one document of each group, that of the least key, nulls last, then of the least hash of its text.
+
+    A group of null keys alone keeps one as well, and rows of one key in different groups stay, one in each.
+    """
+    marked, _ = common.written(fingerprints(docs, key, hashed=True), "fingerprints")
+    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "h1", "h2")
+    best = groups(marked, F.min(order)).groupBy("root").agg(F.min("least").alias("best"))
+    k, h1, h2, d1, d2 = (common.unused(docs, name) for name in ("_kept", "_kept_h1", "_kept_h2", "_h1", "_h2"))
+    kept = best.select(F.col("best.key").alias(k), F.col("best.h1").alias(h1), F.col("best.h2").alias(h2))
+    rows = docs.withColumns(dict(zip((d1, d2), text_hashes(), strict=True)))
+    same = F.col(key).eqNullSafe(F.col(k)) & (F.col(d1) == F.col(h1)) & (F.col(d2) == F.col(h2))
+    return rows.join(kept, same).dropDuplicates([key, d1, d2]).select(*docs.columns)
 
 
 def op7_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:

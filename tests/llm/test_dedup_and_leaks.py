@@ -165,6 +165,16 @@ def test_simhash_null_ids_and_repeated_rows(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def test_keep_one_keeps_one_of_each_group_of_null_or_repeated_ids(spark):
+    alone = [f"{w} alone {w}{w} in its group {w}x" for w in ("red", "green", "blue", "white", "black", "grey")]
+    copies = ["many copies of this text"] * 2
+    rows = [(None, t) for t in alone[:3] + copies] + [(5, alone[3]), (5, alone[4]), (5, alone[4]), (None, alone[3]), (6, alone[4]), (7, alone[5])]
+    assert len({simhash_brute(t) for _, t in rows}) == 7 and all((simhash_brute(a) ^ simhash_brute(b)).bit_count() > 4 for _, a in rows for _, b in rows if a != b)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in simhash.keep_one(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(None, t) for t in alone[:3] + copies[:1]] + [(5, alone[3]), (5, alone[4]), (7, alone[5])], key=str)
+
+
 def scan_brute(texts, items):
     def words(t):
         return re.findall(decontaminate.WORD, "".join(c.lower() if c.isascii() else c for c in t or ""))
