@@ -1,15 +1,21 @@
 """Byte-level BPE encoding and decoding through a distinct-word table.
 
-Words are what the tokenizer's own pattern splits a text into; BPE never crosses them.  Each Python worker keeps
-a table of the distinct words it has met: a word is encoded by the tokenizers library once, and a text's ids are
-the table's entries joined back by position.  Decoding joins ids with the table of pieces (id -> bytes) and
-concatenates.  The table lives in the worker rather than in a shuffled relation: word occurrences outweigh the
-input several times, so joining them through a shuffle would move more than the documents themselves.  It is
-emptied when it reaches MOST_WORDS, which costs time only, never results.
+1. Spark splits each text into words by the tokenizer's own pattern; BPE never crosses them.
+2. Runs of texts become blocks of about BLOCK_BYTES.  A block holds its texts as positions in the sorted list of its
+   distinct words, and asks for these words only: one message a bucket, a word always going to the same bucket.
+3. A bucket encodes each distinct word once, whatever number of blocks ask for it, and answers each message with
+   the ids of its words.
+4. The answers of a block, in the order of its words, are its table of ids; positions are joined with it, and for
+   decoding ids are joined with the table of pieces (id -> bytes).  Both joins are Arrow gathers.
 
-Special tokens inside a text become their own ids, as in the library's default.  Texts with a character on which
-the local pattern and the library's might differ (anything past U+024F but a few marks of punctuation, and the
-separators U+001C-U+001F, U+0085) are split by the library itself.
+Blocks and messages go through one exchange, used by steps 3 and 4, so a text is split once.  A word that every
+document holds is one entry of a message a block, and messages are dealt to buckets alike, so no key is hot.  A task
+holds one block, or the distinct words of its buckets, whose number grows with the input.
+
+Only texts of plain characters (PLAIN) are split by Spark's regular expressions.  Those with a character on which
+they and the library might differ (anything past U+024F but a few marks of punctuation, and the separators
+U+001C-U+001F, U+0085), or with the string of a special token, which becomes its own id as in the library's default,
+are split by the library.
 
 Edge cases: a null or empty text has no ids and decodes to ''; very long texts are encoded whole; repeated rows
 each get a row; an empty table gives an empty result; of further columns only the named key is read.
@@ -20,19 +26,27 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 
-#: Entries of a worker's table; about 150 bytes each.
-MOST_WORDS = 300_000
+#: Bytes of words after which a block ends; a longer text is a block of its own.
+BLOCK_BYTES = 16 << 20
+#: Bytes of input a task of the exchange stands for.
+TASK_BYTES = 128 << 20
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts made of these alone are split by WORDS.
-PLAIN = r"[\x00-\x1b\x20-\x7e¡-ɏ–—‘’“”…]*"
+#: A character outside those whose classes are the same everywhere.
+NOT_PLAIN = r"[^\x00-\x1b\x20-\x7e¡-ɏ–—‘’“”…]"
 
 
 def byte_characters() -> dict[str, int]:
@@ -43,8 +57,12 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-class WordTable:
-    """Encoder and decoder of one tokenizer file, with the table of the words met so far."""
+def special_tokens(tokenizer_json: str) -> dict[str, int]:
+    return {x["content"]: x["id"] for x in json.loads(tokenizer_json)["added_tokens"]}
+
+
+class Codec:
+    """Splitter, encoder of words and table of pieces of one tokenizer file."""
 
     def __init__(self, tokenizer_json: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the cores
@@ -57,100 +75,186 @@ class WordTable:
         spec = json.loads(tokenizer_json)
         if spec["normalizer"] or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"]:
             raise ValueError("a byte-level tokenizer without normaliser or prefix space is needed")
-        self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words, self.plain = regex.compile(WORDS), regex.compile(PLAIN)
-        self.table: dict[str, bytes] = {}
-        chars = byte_characters()
+        self.special = special_tokens(tokenizer_json)
+        self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+
+    def split(self, text: str) -> list[str]:
+        """The words of a text as the library finds them; a special token is a word."""
+        words = []
+        for part in self.at_special.split(text) if self.at_special else [text]:
+            if part in self.special:
+                words.append(part)
+            elif part:
+                words += [part[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(part)]
+        return words
+
+    def ids(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def pieces(self) -> pa.LargeBinaryArray:
+        """The bytes of each id."""
+        chars, special = byte_characters(), {i: c for c, i in self.special.items()}
         by_id = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
-        special = {i: c for c, i in self.special.items()}
-        self.pieces = [special[i].encode() if i in special else bytes(chars[c] for c in by_id.get(i, "")) for i in range(max(by_id) + 1)]
-
-    def words_of(self, text: str) -> list[str]:
-        if self.plain.fullmatch(text):
-            return self.words.findall(text)
-        return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        out = []
-        for text in texts:
-            parts = [text or ""]
-            if self.split and any(s in parts[0] for s in self.special):
-                parts = self.split.split(parts[0])
-            ids = []
-            for part in parts:
-                if part in self.special:
-                    ids.append(self.special[part].to_bytes(4, "little"))
-                elif part:
-                    ids.append(self._encode(self.words_of(part)))
-            out.append(b"".join(ids))
-        return out
-
-    def _encode(self, words: list[str]) -> bytes:
-        table = self.table
-        try:
-            return b"".join(map(table.__getitem__, words))
-        except KeyError:
-            pass
-        if len(table) > MOST_WORDS:
-            table.clear()
-        new = [w for w in set(words) if w not in table]
-        for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            table[word] = np.asarray(e.ids, "<u4").tobytes()
-        return b"".join(map(table.__getitem__, words))
-
-    def decode(self, ids: bytes) -> bytes:
-        """UTF-8 of the text of ids; broken sequences become U+FFFD, as in the library."""
-        raw = b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        try:
-            raw.decode()
-        except UnicodeDecodeError:
-            return raw.decode(errors="replace").encode()
-        return raw
-
-
-_TABLES: dict[str, WordTable] = {}
-
-
-def word_table(tokenizer_json: str) -> WordTable:
-    """One table per worker and tokenizer, kept from task to task."""
+        return pa.array([special[i].encode() if i in special else bytes(chars[c] for c in by_id.get(i, "")) for i in range(max(by_id) + 1)], pa.large_binary())
+
+
+_CODECS: dict[str, tuple[Codec, pa.LargeBinaryArray]] = {}
+
+
+def codec(tokenizer_json: str) -> tuple[Codec, pa.LargeBinaryArray]:
+    """The codec of a tokenizer file and its pieces, kept by a worker from task to task."""
     at = hashlib.sha256(tokenizer_json.encode()).hexdigest()
-    if at not in _TABLES:
-        _TABLES[at] = WordTable(tokenizer_json)
-    return _TABLES[at]
+    if at not in _CODECS:
+        made = Codec(tokenizer_json)
+        _CODECS[at] = made, made.pieces()
+    return _CODECS[at]
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers, the bytes of each place together, compressed."""
+    return zstandard.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+
+
+def unsqueezed(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def encode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", ids: bool = True, decoded: bool = True) -> DataFrame:
+def squeezed_words(words: list[str]) -> bytes:
+    raw = [w.encode() for w in words]
+    return zstandard.compress(np.array([len(raw), *map(len, raw)], "<u4").tobytes() + b"".join(raw), 3)
+
+
+def unsqueezed_words(packed: bytes) -> list[str]:
+    raw = zstandard.decompress(packed)
+    n = int.from_bytes(raw[:4], "little")
+    ends = np.cumsum(np.frombuffer(raw, "<u4", n, offset=4)).tolist()
+    body = raw[4 * n + 4 :]
+    return [body[a:b].decode() for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def keys_and_words(batch: pa.RecordBatch, split) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+    """The keys and words of the rows that Spark has split, then of the others, which `split` does."""
+    key, words, raw = (batch.column(c) for c in ("key", "words", "raw"))
+    if raw.null_count:
+        yield key.filter(words.is_valid()), words.filter(words.is_valid())
+    if raw.null_count < len(raw):
+        yield key.filter(raw.is_valid()), pa.array(map(split, raw.drop_null().to_pylist()), pa.list_(pa.string()))
+
+
+def encode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", ids: bool = True, decoded: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256[, ids][, decoded]) per row of `docs`."""
     with open(tokenizer_path, encoding="utf-8") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())  # one file of fixed size
+        tokenizer_json = f.read()
+    shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)  # one file of fixed size
+    n_buckets = common.tasks_for(docs, TASK_BYTES)
+    kind = docs.schema[key].dataType
+    key_type = to_arrow_type(kind)
+
+    text, plain = F.coalesce("text", F.lit("")), ~F.coalesce("text", F.lit("")).rlike(NOT_PLAIN)
+    for token in special_tokens(tokenizer_json):
+        plain = plain & ~text.contains(token)
+    split = docs.select(F.col(key).alias("key"), F.when(plain, F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))).alias("words"), F.when(~plain, text).alias("raw"))
+    sent_schema = pa.schema([("to", pa.int64()), ("block", pa.int64()), ("mark", pa.int64()), ("keys", pa.list_(key_type)), ("lengths", pa.list_(pa.int32())), ("packed", pa.binary())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = word_table(shared.value)
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks (to < 0: themselves) and their messages (to: a bucket)."""
+        first, count = -1 - (TaskContext.get().partitionId() << 24), 0
+
+        def block(keys: list[pa.Array], words: list[pa.ListArray]) -> pa.RecordBatch:
+            lengths = np.concatenate([pc.list_value_length(w).to_numpy(zero_copy_only=False) for w in words])
+            coded = pa.concat_arrays([w.flatten() for w in words]).dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            bucket = np.fromiter((zlib.crc32(w.encode()) % n_buckets for w in distinct), np.int64, len(distinct))
+            order = pc.sort_indices(pa.table({"b": bucket, "w": coded.dictionary}), [("b", "ascending"), ("w", "ascending")]).to_numpy()
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
+            positions = squeezed(place[coded.indices.to_numpy(zero_copy_only=False)])
+            id_, mark = first - count, zlib.crc32(positions)
+            buckets, begin = np.unique(bucket[order], return_index=True)
+            cuts = [*begin.tolist(), len(order)]
+            parts = [[distinct[k] for k in order[a:b].tolist()] for a, b in zip(cuts, cuts[1:], strict=False)]
+            n = len(parts)
+            rows = [[id_, *buckets.tolist()], [id_] * (n + 1), [mark] * (n + 1), [pa.chunked_array(keys).to_pylist()] + [None] * n, [lengths.tolist()] + [None] * n, [positions, *map(squeezed_words, parts)]]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, sent_schema, strict=True)], schema=sent_schema)
+
+        keys, words, size = [], [], 0
+        for keys_found, found in (part for batch in batches for part in keys_and_words(batch, codec(shared.value)[0].split)):
+            starts = found.offsets.to_numpy() - found.offsets[0].as_py()
+            ends = np.concatenate([[0], np.cumsum(pc.binary_length(found.flatten()).to_numpy(zero_copy_only=False), dtype=np.int64)])[starts[1:]]
+            at = 0
+            while at < len(found):
+                before = int(ends[at - 1]) if at else 0
+                stop = min(len(found), int(np.searchsorted(ends, before + block_bytes - size)) + 1)  # the first text that fills the block
+                keys.append(keys_found.slice(at, stop - at))
+                words.append(found.slice(at, stop - at))
+                size, at = size + int(ends[stop - 1]) - before, stop
+                if size >= block_bytes:
+                    yield block(keys, words)
+                    keys, words, size, count = [], [], 0, count + 1
+        if keys:
+            yield block(keys, words)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, bytes] = {}
+        schema = pa.schema([("to", pa.int64()), ("bucket", pa.int64()), ("mark", pa.int64()), ("n", pa.int32()), ("packed", pa.binary())])
         for batch in batches:
-            texts, at = batch.column(1), 0
-            while at < len(texts):
-                part = texts.slice(at, 256)  # so that ids of few texts are held at a time
-                encoded = table.encode(part.to_pylist())
-                plain = [table.decode(x) for x in encoded]
-                lengths = [len(x) // 4 for x in encoded]
-                columns = [
-                    batch.column(0).slice(at, 256), pa.array(lengths, pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in encoded]), pa.array([hashlib.sha256(x).hexdigest() for x in plain]),
-                ]
-                if ids:
-                    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(encoded), "<u4").astype(np.int32)))
+            for to, block, mark, packed in zip(*(batch.column(c) for c in ("to", "block", "mark", "packed")), strict=True):
+                if to.as_py() < 0:
+                    continue
+                words = unsqueezed_words(packed.as_py())
+                new = [w for w in words if w not in known]
+                for word, found in zip(new, codec(shared.value)[0].ids(new), strict=True):
+                    known[word] = np.array(found, "<u4").tobytes()
+                replies = [known[w] for w in words]
+                counts = np.fromiter(map(len, replies), np.uint32, len(replies)) // 4
+                row = block.as_py(), to.as_py(), mark.as_py(), len(words), squeezed(np.concatenate([counts, np.frombuffer(b"".join(replies), "<u4")]))
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
+
+    names = ["key", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids + ["decoded"] * decoded
+    types = dict(zip(names, [key_type, pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int32())] * ids + [pa.string()] * decoded, strict=True))
+
+    def finish(mine: pa.Table, replies: pa.Table) -> pa.Table:
+        out = {n: [] for n in names}
+        if mine.num_rows and mine.column("to")[0].as_py() < 0:
+            row = {c: mine.column(c)[0] for c in ("mark", "keys", "lengths", "packed")}
+            tables = sorted(zip(*(replies.column(c).to_pylist() for c in ("bucket", "mark", "n", "packed")), strict=True))
+            if any(mark != row["mark"].as_py() for _, mark, _, _ in tables):
+                raise RuntimeError("a block changed between two reads of the input: its rows came in another order")
+            counts, flat = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
+            for _, _, n, packed in tables:
+                both = unsqueezed(packed)
+                counts.append(both[:n])
+                flat.append(both[n:])
+            offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts), dtype=np.int64)])
+            of_word = pa.LargeListArray.from_arrays(offsets, np.concatenate(flat))
+            positions = unsqueezed(row["packed"].as_py())
+            joined = of_word.take(pa.array(positions))  # ids by position
+            tokens, word_ends = joined.flatten(), joined.offsets.to_numpy()
+            pieces = codec(shared.value)[1].take(tokens)  # pieces by id
+            piece_ends = np.frombuffer(pieces.buffers()[1], np.int64, len(pieces) + 1, offset=8 * pieces.offset) if len(pieces) else np.zeros(1, np.int64)
+            raw_ids, raw = tokens.to_numpy().astype("<u4"), pieces.buffers()[2]
+            ends = word_ends[np.concatenate([[0], np.cumsum(np.array(row["lengths"].as_py(), np.int64))])].tolist()
+            out["key"] = row["keys"].values
+            for a, b in zip(ends, ends[1:], strict=False):
+                plain = raw[int(piece_ends[a]) : int(piece_ends[b])].to_pybytes() if b > a else b""
+                try:
+                    plain.decode()
+                except UnicodeDecodeError:
+                    plain = plain.decode(errors="replace").encode()  # broken sequences become U+FFFD, as in the library
+                out["n_tokens"].append(b - a)
+                out["ids_sha256"].append(hashlib.sha256(raw_ids[a:b].tobytes()).hexdigest())
+                out["decoded_sha256"].append(hashlib.sha256(plain).hexdigest())
                 if decoded:
-                    columns.append(pa.array([x.decode() for x in plain]))
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-                at += 256
-
-    schema = f"{key} {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    schema += ", ids array<int>" * ids + ", decoded string" * decoded
-    names = [x.split()[0] for x in schema.split(", ")]
-    return docs.select(key, "text").mapInArrow(run, schema)
+                    out["decoded"].append(plain.decode())
+            if ids:
+                out["ids"] = pa.ListArray.from_arrays(np.array(ends, np.int32), raw_ids.astype(np.int32))
+        return pa.table({n: x if isinstance(x, pa.Array) else pa.array(x, types[n]) for n, x in out.items()})
+
+    k = kind.simpleString()
+    sent = split.mapInArrow(send, f"to long, block long, mark long, keys array<{k}>, lengths array<int>, packed binary").repartition(n_buckets, "to")
+    replies = sent.mapInArrow(answer, "to long, bucket long, mark long, n int, packed binary").repartition(n_buckets, "to")
+    schema = f"key {k}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded
+    return sent.groupBy("to").cogroup(replies.groupBy("to")).applyInArrow(finish, schema).withColumnRenamed("key", key)
 
 
 def op10_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -209,7 +209,9 @@ def test_bpe_equals_the_library(spark, sf_dir):
     t = Tokenizer.from_file(BPE_FILE)
     texts = ODD + ODD[:5] + [r.text for r in common.table(spark, sf_dir, "documents").limit(60).collect()]
     docs = spark.createDataFrame([(k, x, 1) for k, x in enumerate(texts)], "doc_id long, text string, ids int")
-    for r in bpe.encode(docs, BPE_FILE).collect():
+    found = bpe.encode(docs, BPE_FILE, block_bytes=5000).collect()
+    assert len(found) == len(texts)
+    for r in found:
         ids = t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
         plain = t.decode(ids, skip_special_tokens=False)
         assert r["ids"] == ids and r.n_tokens == len(ids) and r.decoded == plain
@@ -217,13 +219,32 @@ def test_bpe_equals_the_library(spark, sf_dir):
     assert bpe.encode(docs.limit(0), BPE_FILE).count() == 0
 
 
-def test_every_character_is_split_as_the_library_does(monkeypatch):
-    monkeypatch.setattr(bpe, "MOST_WORDS", 500)
-    with open(BPE_FILE, encoding="utf-8") as f:
-        table = bpe.WordTable(f.read())
-    texts = ["".join(f"a{chr(c)} {chr(c)}{chr(c)}1 {chr(c)}x" for c in range(k, k + 16)) for k in [*range(1, 0x2100, 16), *range(0x3000, 0x3100, 16)]]
-    want = table.tokenizer.encode_batch(texts, add_special_tokens=False)
-    assert [np.frombuffer(x, "<u4").tolist() for x in table.encode(texts)] == [e.ids for e in want]
+def test_every_character_is_split_as_the_library_does(spark):
+    t = Tokenizer.from_file(BPE_FILE)
+    texts = ["".join(f"a{chr(c)} {chr(c)}{chr(c)}1 {chr(c)}x  {chr(c)}'s" for c in range(k, k + 16)) for k in [*range(1, 0x2100, 16), *range(0x3000, 0x3100, 16)]]
+    single = [chr(c) + x for c in range(1, 0x250) for x in ("", "a 's", " ")]
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(texts + single)], "doc_id long, text string")
+    got = {r.doc_id: r["ids"] for r in bpe.encode(docs, BPE_FILE, decoded=False).collect()}
+    assert all(got[k] == t.encode(x, add_special_tokens=False).ids for k, x in enumerate(texts + single))
+
+
+def test_random_texts_are_split_as_the_library_does(spark):
+    t, r = Tokenizer.from_file(BPE_FILE), random.Random(8)
+    parts = ["a", "B", "é", "1", " ", "  ", "\n", "\t", "\r\n", "'", "''", "'s", "'ll", "'Re", "!", "—", "…", "<|endoftext|>", "<|", "\u00a0", "ж", "½", "_", "-", "\x1c"]
+    texts = ["".join(r.choices(parts, k=r.randint(0, 30))) for _ in range(3000)]
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "doc_id long, text string").repartition(5)
+    got = {x.doc_id: x for x in bpe.encode(docs, BPE_FILE, block_bytes=1 << 12).collect()}
+    for k, x in enumerate(texts):
+        ids = t.encode(x, add_special_tokens=False).ids
+        assert got[k]["ids"] == ids and got[k].decoded == t.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_rows_nulls_and_other_keys(spark):
+    docs = spark.createDataFrame([("a", None, 1), (None, "x y", 2), ("a", "x y", 3), ("a", "x y", 3)], "name string, text string, key int")
+    got = sorted(((r.name, r.n_tokens) for r in bpe.encode(docs, BPE_FILE, key="name").collect()), key=str)
+    assert got == [("a", 0), ("a", 2), ("a", 2), (None, 2)]
+    nothing = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    assert [(r.n_tokens, r["ids"], r.decoded) for r in bpe.encode(nothing, BPE_FILE).collect()] == [(0, [], "")] * 2
 
 
 # ---- pipeline
