@@ -33,7 +33,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -132,13 +131,14 @@ def unsqueezed_words(packed: bytes) -> list[str]:
     return [body[a:b].decode() for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def keys_and_words(batch: pa.RecordBatch, split) -> Iterator[tuple[pa.Array, pa.ListArray]]:
-    """The keys and words of the rows that Spark has split, then of the others, which `split` does."""
-    key, words, raw = (batch.column(c) for c in ("key", "words", "raw"))
-    if raw.null_count:
-        yield key.filter(words.is_valid()), words.filter(words.is_valid())
-    if raw.null_count < len(raw):
-        yield key.filter(raw.is_valid()), pa.array(map(split, raw.drop_null().to_pylist()), pa.list_(pa.string()))
+def sized(batches: Iterator[pa.RecordBatch], split) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """(key, words) of the rows that Spark has split, then of the others, which `split` does; with the bytes of each."""
+    for batch in batches:
+        key, words, raw = (batch.column(c) for c in ("key", "words", "raw"))
+        others = pa.array(map(split, raw.drop_null().to_pylist()), pa.list_(pa.string()))
+        for k, w in ((key.filter(words.is_valid()), words.filter(words.is_valid())), (key.filter(raw.is_valid()), others)):
+            lengths = np.concatenate([[0], np.cumsum(common.lengths_of(w.flatten()), dtype=np.int64)])
+            yield pa.RecordBatch.from_arrays([k, w], names=["key", "words"]), np.diff(lengths[w.offsets.to_numpy() - w.offsets[0].as_py()])
 
 
 def encode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", ids: bool = True, decoded: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -158,9 +158,9 @@ def encode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", ids: bool
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks (to < 0: themselves) and their messages (to: a bucket)."""
-        first, count = -1 - (TaskContext.get().partitionId() << 24), 0
 
-        def block(keys: list[pa.Array], words: list[pa.ListArray]) -> pa.RecordBatch:
+        def block(id_: int, run: list[pa.RecordBatch]) -> pa.RecordBatch:
+            words = [b.column("words") for b in run]
             lengths = np.concatenate([pc.list_value_length(w).to_numpy(zero_copy_only=False) for w in words])
             coded = pa.concat_arrays([w.flatten() for w in words]).dictionary_encode()
             distinct = coded.dictionary.to_pylist()
@@ -169,30 +169,15 @@ def encode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", ids: bool
             place = np.empty(len(order), np.uint32)
             place[order] = np.arange(len(order), dtype=np.uint32)
             positions = squeezed(place[coded.indices.to_numpy(zero_copy_only=False)])
-            id_, mark = first - count, zlib.crc32(positions)
+            mark = zlib.crc32(positions)
             buckets, begin = np.unique(bucket[order], return_index=True)
             cuts = [*begin.tolist(), len(order)]
             parts = [[distinct[k] for k in order[a:b].tolist()] for a, b in zip(cuts, cuts[1:], strict=False)]
             n = len(parts)
-            rows = [[id_, *buckets.tolist()], [id_] * (n + 1), [mark] * (n + 1), [pa.chunked_array(keys).to_pylist()] + [None] * n, [lengths.tolist()] + [None] * n, [positions, *map(squeezed_words, parts)]]
+            rows = [[id_, *buckets.tolist()], [id_] * (n + 1), [mark] * (n + 1), [pa.chunked_array([b.column("key") for b in run]).to_pylist()] + [None] * n, [lengths.tolist()] + [None] * n, [positions, *map(squeezed_words, parts)]]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, sent_schema, strict=True)], schema=sent_schema)
 
-        keys, words, size = [], [], 0
-        for keys_found, found in (part for batch in batches for part in keys_and_words(batch, codec(shared.value)[0].split)):
-            starts = found.offsets.to_numpy() - found.offsets[0].as_py()
-            ends = np.concatenate([[0], np.cumsum(pc.binary_length(found.flatten()).to_numpy(zero_copy_only=False), dtype=np.int64)])[starts[1:]]
-            at = 0
-            while at < len(found):
-                before = int(ends[at - 1]) if at else 0
-                stop = min(len(found), int(np.searchsorted(ends, before + block_bytes - size)) + 1)  # the first text that fills the block
-                keys.append(keys_found.slice(at, stop - at))
-                words.append(found.slice(at, stop - at))
-                size, at = size + int(ends[stop - 1]) - before, stop
-                if size >= block_bytes:
-                    yield block(keys, words)
-                    keys, words, size, count = [], [], 0, count + 1
-        if keys:
-            yield block(keys, words)
+        yield from map(block, common.block_ids(), common.blocks_of(sized(batches, codec(shared.value)[0].split), block_bytes))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, bytes] = {}

@@ -1,34 +1,42 @@
 """Exact-substring deduplication: every word that lies in a repeated window of 35 words goes.
 
-Rabin-Karp hashes of all windows come from prefix sums modulo 2^64 (numpy, whole texts).  Documents are dealt
-into blocks by a hash; a block sends each bucket its sorted distinct window hashes, so that a window of a hot
-passage goes out once per block however often it occurs.  A bucket learns which hashes occur in two blocks, or
-twice in one, and answers each block with one bit per hash sent.  Blocks, dealt again through the same exchange,
-turn the bits into repeated windows, merge them into maximal intervals and cut.  Nothing of corpus size reaches
-the driver or a broadcast; what a task holds is one block of text or one bucket of hashes, and both counts grow
-with the input.
-
-A window's identity is 64 bits inside a bucket that an independent second hash chose: with b buckets, 64 + log2(b)
-bits.  For n windows the expected number of false pairs is n^2 / (b 2^65), below 1e-3 at 30 GB (n = 8e9, b > 1e4).
+Rabin-Karp hashes of all windows come from prefix sums modulo 2^64 (numpy, whole texts).  Runs of documents become
+blocks of BLOCK_BYTES of text, each packed into one row.  A block sends each bucket its sorted distinct window hashes,
+so that a window of a hot passage goes out once per block however often it occurs.  A bucket counts its hashes over
+all blocks and answers each block with one bit per hash sent.  Blocks, which went through the same exchange, turn the
+bits into repeated windows, merge them into maximal intervals and cut.  Nothing of corpus size reaches the driver or a
+broadcast; what a task holds is one block of text or one bucket of hashes, both bounded by bytes of text and not of
+compressed files, and their numbers grow with the input.
+
+The count is over arrays of hashes and not over rows of Spark: a row a window, there and back, would shuffle several
+times the input.  A window's identity is 64 bits inside a bucket that an independent second hash chose: with b
+buckets, 64 + log2(b) bits.  For n windows the expected number of false pairs is n^2 / (b 2^65), below 1e-3 at 30 GB
+(n = 8e9, b > 6e3).
 
 Edge cases: null or short texts have no window and keep all words; repeated rows repeat each other's windows;
-windows never span two documents; an empty table gives an empty result; further columns pass through.
+windows never span two documents; a text longer than a block is a block of its own; an empty table gives an empty
+result; further columns pass through.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import common
 
 WINDOW = 35
-#: Bytes of input files a block stands for.
-BLOCK_BYTES = 4 << 20
+#: Bytes of text after which a block ends; a bucket gets the windows of as many on average.
+BLOCK_BYTES = 8 << 20
+#: Bytes of text that a task of the exchange stands for.
+TASK_BYTES = 32 << 20
 #: Text hashed at a time.
 CHUNK = 1 << 18
 
@@ -144,6 +152,13 @@ class BlockHashes:
         return out
 
 
+def packed_rows(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
 def texts_of(table: pa.Table) -> list[bytes]:
     return [x or b"" for x in table.column("text").cast(pa.binary()).to_pylist()]
 
@@ -176,22 +191,31 @@ def cut(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, t
     with the white space behind it, and is otherwise unchanged; without it the text column is dropped.  Columns of
     `docs` that have the new names are replaced."""
     docs = docs.drop("n_words", "n_removed", "kept_sha256")
-    own = common.unused(docs, "_block")
-    n_blocks = common.tasks_for(docs, block_bytes)
-    names = docs.columns
-    dealt = docs.withColumn(own, F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(n_blocks)))
-
-    def send(table: pa.Table) -> pa.Table:
-        block = BlockHashes(texts_of(table), window, n_blocks)
-        used = [k for k in range(n_blocks) if block.cuts[k] < block.cuts[k + 1]]
-        parts = [slice(block.cuts[k], block.cuts[k + 1]) for k in used]
-        return pa.table({
-            "_bucket": pa.array(used, pa.int32()), "_block": pa.array([table.column(own)[0].as_py()] * len(used), pa.int64()),
-            "hashes": pa.array([pack(block.hashes[p]) for p in parts], pa.binary()), "many": pa.array([np.packbits(block.many[p]).tobytes() for p in parts], pa.binary()),
-        })
+    names, size = docs.columns, common.text_bytes(docs)
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets, n_tasks = max(least, -(-size // block_bytes)), max(least, -(-size // TASK_BYTES))
+    sent_schema = pa.schema([("to", pa.int64()), ("block", pa.int64()), ("mark", pa.int64()), ("packed", pa.binary()), ("many", pa.binary())])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks (to < 0: themselves), packed, and their messages (to: a bucket)."""
+
+        def block(id_: int, run: list[pa.RecordBatch]) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(run).combine_chunks()
+            own = BlockHashes(texts_of(rows), window, n_buckets)
+            mark = zlib.crc32(own.hashes.tobytes())
+            used = np.flatnonzero(np.diff(own.cuts)).tolist()
+            parts, n = [slice(own.cuts[k], own.cuts[k + 1]) for k in used], len(used) + 1
+            packed = [packed_rows(rows)] + [pack(own.hashes[p]) for p in parts]
+            many = [None] + [np.packbits(own.many[p]).tobytes() for p in parts]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([id_, *used], [id_] * n, [mark] * n, packed, many), sent_schema, strict=True)], schema=sent_schema)
+
+        yield from map(block, common.block_ids(), common.blocks_of(((b, common.lengths_of(b.column("text"))) for b in batches), block_bytes))
 
     def answer(table: pa.Table) -> pa.Table:
-        sets = [unpack(x) for x in table.column("hashes").to_pylist()]
+        """Which hashes of a bucket's messages occur in two blocks, or twice in one."""
+        if not table.num_rows or table.column("to")[0].as_py() < 0:
+            return table.schema.empty_table().select(["block", "to", "mark", "packed"])
+        sets = [unpack(x) for x in table.column("packed").to_pylist()]
         many = [np.unpackbits(np.frombuffer(m, np.uint8), count=len(s)).astype(bool) for m, s in zip(table.column("many").to_pylist(), sets, strict=True)]
         every, own = np.concatenate(sets), np.concatenate(many)
         order = np.argsort(every, kind="stable")
@@ -204,12 +228,18 @@ def cut(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, t
         bits[order] = known[group]
         at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
         replies = [np.packbits(bits[a:b]).tobytes() if bits[a:b].any() else None for a, b in zip(at[:-1], at[1:], strict=True)]
-        return pa.table({"_block": table.column("_block"), "_bucket": table.column("_bucket"), "bits": pa.array(replies, pa.binary())}).filter(pa.array([r is not None for r in replies]))
+        answers = table.select(["block", "to", "mark"]).append_column("packed", pa.array(replies, pa.binary()))
+        return answers.filter(pa.array([r is not None for r in replies]))
 
-    def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
+    def finish(mine: pa.Table, replies: pa.Table) -> pa.Table:
+        if not mine.num_rows or mine.column("to")[0].as_py() >= 0:
+            return out_schema.empty_table()
+        table = pa.ipc.open_stream(mine.column("packed")[0].as_buffer()).read_all()
         texts = texts_of(table)
-        block = BlockHashes(texts, window, n_blocks)
-        repeated = block.repeated(dict(zip(replies.column("_bucket").to_pylist(), replies.column("bits").to_pylist(), strict=True)))
+        block = BlockHashes(texts, window, n_buckets)
+        if any(m != mine.column("mark")[0].as_py() for m in replies.column("mark").to_pylist()):
+            raise RuntimeError("a block changed between two reads of the input: its rows came in another order")
+        repeated = block.repeated(dict(zip(replies.column("bucket").to_pylist(), replies.column("bits").to_pylist(), strict=True)))
         n_words, n_removed, digests, kept_texts, done = [], [], [], [], 0
         for run in chunks(texts):
             words = Words(run)
@@ -239,10 +269,11 @@ def cut(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, t
         return pa.table({c: out[c] for c in order_out})
 
     order_out = [c for c in names if text_out or c != "text"] + ["n_words", "n_removed", "kept_sha256"]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in order_out[:-3]) + ", n_words long, n_removed long, kept_sha256 string"
-    sent = dealt.groupBy(own).applyInArrow(send, "_bucket int, _block long, hashes binary, many binary")
-    replies = sent.groupBy("_bucket").applyInArrow(answer, "_block long, _bucket int, bits binary")
-    return dealt.groupBy(own).cogroup(replies.groupBy("_block")).applyInArrow(finish, schema)
+    schema = StructType([*(StructField(c, docs.schema[c].dataType) for c in order_out[:-3]), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType())])
+    out_schema = to_arrow_schema(schema)
+    sent = docs.mapInArrow(send, "to long, block long, mark long, packed binary, many binary").repartition(n_tasks, "to")
+    replies = sent.groupBy("to").applyInArrow(answer, "block long, to long, mark long, packed binary").toDF("block", "bucket", "mark", "bits").repartition(n_tasks, "block")
+    return sent.groupBy("to").cogroup(replies.groupBy("block")).applyInArrow(finish, schema)
 
 
 def without(text: bytes, starts: np.ndarray, gone: np.ndarray) -> bytes:

@@ -291,3 +291,22 @@ def test_shards_by_key_grow_into_the_new_one(spark):
     assert len(twice) == 6 and len({(r.shard, r.slot) for r in twice}) == 6
     grown = shards.SlotMap.first(4096, 8).grown()
     assert grown.version == 2 and abs(grown.shards.count(8) - grown.shards.count(0)) <= 1
+
+
+def test_blocks_are_bounded_by_text_whatever_the_compression(spark, tmp_path):
+    import os
+
+    import pyarrow as pa
+
+    line = "the very same words come again and again in this text " * 100
+    docs = spark.range(4000).selectExpr("id AS doc_id", f"'{line}' AS text")
+    docs.coalesce(1).write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    files = sum(f.stat().st_size for f in os.scandir(tmp_path / "t"))
+    assert common.text_bytes(stored) == 4000 * len(line) > 100 * files
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * 10] * 95 + [None, "y" * 500, ""]})
+    runs = list(common.blocks_of([(batch, common.lengths_of(batch.column("text")))] * 3, 100))
+    sizes = [[common.lengths_of(b.column("text")).sum() for b in run] for run in runs]
+    assert sum(b.num_rows for run in runs for b in run) == 3 * batch.num_rows and max(map(sum, sizes)) <= 600 and all(sum(s) >= 100 for s in sizes[:-1])
+    got = substring_dedup.cut(stored, text_out=False).agg({"n_removed": "sum", "doc_id": "count"}).first()
+    assert tuple(got) == (4000, 4000 * 1100) or tuple(got) == (4000 * 1100, 4000)
