@@ -7,7 +7,7 @@ loss; the score is its share among all codewords, and a text whose two best code
 ambiguous.
 
 The classifier is fitted on at most PER_LANGUAGE labelled rows of each language, those of the least hashes of
-doc_id among the training folds.  Predictions read the text alone and every text whole.
+doc_id and text among the training folds.  Predictions read the text alone and every text whole.
 
 Edge cases: a null text or one without letters is `und` with score 0; without any labelled row everything is
 `und`; a single learned language is predicted with score 1; a null doc_id is not held out; repeated rows each get
@@ -29,8 +29,6 @@ from . import common
 
 #: Labelled rows of each language that the fit reads at most.
 PER_LANGUAGE = 300
-#: Parts in which the rows of a language are ranked first.
-SALTS = 64
 BINS = 1 << 16
 FOLDS, HELD_OUT = 3, 1
 CHUNK = 1 << 18
@@ -110,46 +108,75 @@ def held_out() -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == HELD_OUT
 
 
-def training_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """(lang, bins, shares): n-gram frequencies of each training text."""
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             raw = np.frombuffer(prepared(text), np.uint8)
-            if len(raw) < 3:
-                continue
-            bins, n = np.unique(bins_of(raw), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([bins.astype(np.int32)]), pa.array([(n / n.sum()).astype(np.float32)])], names=["lang", "bins", "shares"])
+            if len(raw) >= 3:
+                bins, n = np.unique(bins_of(raw), return_counts=True)
+                yield lang, bins, n / n.sum()
+
+
+def chosen(docs: DataFrame, per_language: int) -> DataFrame:
+    """(lang, text): at most per_language training rows of each language, those of the least hashes.
+
+    A language of many rows keeps only hashes below a threshold that about twice as many pass; so no task ever
+    ranks all rows of a language.
+    """
+    labelled = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & ~held_out())
+    share = labelled.groupBy("lang").agg(F.least(F.lit(1.0), 2.0 * per_language / F.count("*")).alias("share"))
+    rows = labelled.filter(F.octet_length("text") > 2).withColumn("text_hash", F.xxhash64("text")).withColumn("h", F.xxhash64("doc_id", "text_hash"))
+    ids = rows.select("lang", "doc_id", "text_hash", "h").join(F.broadcast(share), "lang")  # a row a language
+    ids = ids.filter(F.shiftrightunsigned("h", 11) < F.col("share") * float(1 << 53)).select("lang", "doc_id", "text_hash", "h").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text_hash"))
+    ids = ids.withColumn("rank", rank).filter(F.col("rank") <= per_language).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("text_hash").alias("_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")) & (F.col("text_hash") == F.col("_hash"))
+    return rows.join(F.broadcast(ids), same).dropDuplicates(["doc_id", "lang", "text_hash"]).select("lang", "text")  # per_language ids of each language
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
-    """The model of the labelled training rows of `docs` (doc_id, text, lang); None if there are none."""
-    labelled = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).withColumn("text_hash", F.xxhash64("text"))
-    order = (F.xxhash64("doc_id"), "doc_id", "text_hash")
-    ids = labelled.select("doc_id", "lang", "text_hash", F.pmod(F.xxhash64("text_hash", "doc_id"), F.lit(SALTS)).alias("salt"))
-    for group in (("lang", "salt"), ("lang",)):  # the first of each salt hold the first of all, so no task gets more than SALTS x per_language rows of a language
-        ids = ids.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("rank") <= per_language)
-    ids = ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("text_hash").alias("_hash")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")) & (F.col("text_hash") == F.col("_hash"))
-    chosen = labelled.join(F.broadcast(ids), same).dropDuplicates(["doc_id", "lang", "text_hash"]).select("lang", "text")  # per_language ids of each language
-    rows = chosen.mapInArrow(training_counts, "lang string, bins array<int>, shares array<float>").toArrow()
-    names = sorted(set(rows.column("lang").to_pylist()))
+    """The model of the labelled training rows of `docs` (doc_id, text, lang); None if there are none.
+
+    Counts are summed in Spark; to the driver come one row a language and two sums a bin and bit.
+    """
+    rows, _ = common.written(chosen(docs, per_language), "training-rows")
+    seen = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    names = sorted(seen)
     if not names:
         return None
     code = codewords(len(names))
-    of, examples = {x: k for k, x in enumerate(names)}, []
-    mean, seen = np.zeros((len(names), BINS)), np.zeros(len(names))
-    for lang, bins, shares in zip(*(rows.column(c).to_pylist() for c in ("lang", "bins", "shares")), strict=True):
-        examples.append((of[lang], np.array(bins), np.array(shares)))
-        mean[of[lang], bins] += shares
-        seen[of[lang]] += 1
-    mean /= seen[:, None]
-    floor = 1e-6
-    weights, trust = np.zeros((BINS + 1, code.shape[1]), np.float32), np.ones(code.shape[1])
-    for b in range(code.shape[1]):
-        yes, no = mean[code[:, b] > 0].mean(0), mean[code[:, b] < 0].mean(0)
-        weights[:BINS, b] = np.log((yes + floor) / (no + floor))
-        right = sum((shares @ weights[bins, b]) * code[k, b] > 0 for k, bins, shares in examples) / len(examples)
-        trust[b] = math.log((right + 0.01) / (1.01 - right)) if right > 0.5 else 0.0
+    of, bits, floor = {x: k for k, x in enumerate(names)}, code.shape[1], 1e-6
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(bit, bin, yes, no): mean frequencies of the languages whose bit is 1 and of the others."""
+        total = np.zeros((2, bits, BINS))
+        for lang, bins, shares in histograms(batches):
+            for b in range(bits):
+                side = int(code[of[lang], b] < 0)
+                total[side, b, bins] += shares / seen[lang] / (code[:, b] == code[of[lang], b]).sum()
+        for b in range(bits):
+            used = np.flatnonzero(total[:, b].any(0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), b, np.int32)), pa.array(used.astype(np.int32)), pa.array(total[0, b, used]), pa.array(total[1, b, used])], names=["bit", "bin", "yes", "no"])
+
+    found = rows.mapInArrow(sums, "bit int, bin int, yes double, no double").groupBy("bit", "bin").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).toArrow()
+    both = np.zeros((2, BINS, bits))
+    for side, name in enumerate(("yes", "no")):
+        both[side, found.column("bin").to_numpy(), found.column("bit").to_numpy()] = found.column(name).to_numpy()
+    weights = np.zeros((BINS + 1, bits), np.float32)
+    weights[:BINS] = np.log((both[0] + floor) / (both[1] + floor))
+    shared = docs.sparkSession.sparkContext.broadcast(weights)  # BINS x bits, of fixed size
+
+    def verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        right = np.zeros(bits, np.int64)
+        for lang, bins, shares in histograms(batches):
+            right += (shares @ shared.value[bins]) * code[of[lang]] > 0
+        yield pa.RecordBatch.from_arrays([pa.array(range(bits), pa.int32()), pa.array(right)], names=["bit", "right"])
+
+    right = np.zeros(bits)
+    for r in rows.mapInArrow(verdicts, "bit int, right long").groupBy("bit").agg(F.sum("right").alias("right")).collect():
+        right[r["bit"]] = r["right"] / sum(seen.values())
+    trust = np.where(right > 0.5, np.log((right + 0.01) / (1.01 - right)), 0.0)
     return Model(names, code, weights, trust / max(trust.sum(), 1e-9) * len(trust))
 
 

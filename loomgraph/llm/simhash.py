@@ -6,6 +6,7 @@ k: 0, 1, 2, 3, 4.  The first two links of the chain are the index: a fingerprint
 start with its own two segments, and visits the buckets whose second segment differs from its own in one bit.
 Inside a bucket the budgets of three and four segments prune before the full Hamming check.
 
+A bucket of more than MOST_RESIDENTS fingerprints is split: each part owns some of them, and all others visit it.
 A bucket links its members by breadth-first search over those not yet reached, so a dense group of copies costs
 about its size and gives a tree of links, not all pairs.  Only distinct fingerprints enter the index; exact copies
 hang on their fingerprint.  Components come from alternating large-star and small-star rounds over tables, each
@@ -31,6 +32,10 @@ from . import common
 SHINGLE = 4
 MOST_BITS = 4
 SEED = 42
+#: Fingerprints that a bucket owns on average at most; a fuller one is split into parts.
+MOST_RESIDENTS = 20_000
+#: The most split buckets that are broadcast (16 bytes each).
+MOST_BROADCAST = 1_000_000
 #: (shift, width) of the ring's segments.
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
@@ -148,37 +153,59 @@ def bucket_links(start: int, own: np.ndarray, visiting: np.ndarray) -> list[tupl
 
 
 def linked_in_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links inside each bucket of rows sorted by key; a bucket may go over several batches."""
-    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
+    """Links inside each bucket of rows (key, part, fp, own) sorted by key and part; one may go over several batches."""
 
-    def links(key, fp, own) -> pa.RecordBatch:
-        edges = np.flatnonzero(np.diff(key)) + 1
+    def links(key, part, fp, own) -> pa.RecordBatch:
+        edges = np.flatnonzero((np.diff(key) != 0) | (np.diff(part) != 0)) + 1
         begin, end = np.concatenate([[0], edges]), np.concatenate([edges, [len(key)]])
-        residents = np.add.reduceat(own.astype(np.int64), begin) if len(key) else np.zeros(0)
-        out = []
-        for a, b in zip(begin[(residents > 0) & (end - begin > 1)].tolist(), end[(residents > 0) & (end - begin > 1)].tolist(), strict=True):
+        residents = np.add.reduceat(own.astype(np.int64), begin)
+        busy, out = (residents > 0) & (end - begin > 1), []
+        for a, b in zip(begin[busy].tolist(), end[busy].tolist(), strict=True):
             fps, mine = fp[a:b].view(np.uint64), own[a:b]
             out += bucket_links(int(key[a]) >> 26, fps[mine], fps[~mine])
         pairs = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs.max(1, initial=-(1 << 63))), pa.array(pairs.min(1, initial=(1 << 63) - 1))], names=["u", "v"])
 
+    held: list[list[np.ndarray]] = []  # pieces of the bucket that may go on
     for batch in batches:
         if not batch.num_rows:
             continue
-        held = [np.concatenate([h, batch.column(k).to_numpy(zero_copy_only=False)]) for k, h in enumerate(held)]
-        last = np.searchsorted(held[0], held[0][-1])
-        if last:
-            yield links(*(h[:last] for h in held))
-            held = [h[last:] for h in held]
-    if len(held[0]):
-        yield links(*held)
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        last = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])
+        if held and (held[-1][0][-1], held[-1][1][-1]) == (rows[0][0], rows[1][0]) and last.all():
+            held.append(rows)
+            continue
+        begin = int(np.argmax(last))  # where the last bucket of the batch starts
+        done = [np.concatenate(c) for c in zip(*held, [r[:begin] for r in rows], strict=True)]
+        if len(done[0]):
+            yield links(*done)
+        held = [[r[begin:] for r in rows]]
+    if held:
+        yield links(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+
+def full_buckets(fps: DataFrame, most: int) -> DataFrame:
+    """(full, parts): the buckets that own more than `most` fingerprints."""
+    segment = [F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in SEGMENTS]
+    own = F.array(*(F.shiftleft(F.lit(i).cast("long"), 26) + F.shiftleft(segment[i], 13) + segment[(i + 1) % 5] for i in range(5)))
+    counts = fps.select(F.explode(own).alias("full")).groupBy("full").count()
+    return counts.filter(F.col("count") > most).select("full", F.ceil(F.col("count") / most).cast("int").alias("parts"))
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, most_residents: int = MOST_RESIDENTS) -> DataFrame:
     """(u, v), u > v: links whose connected components are those of all links; fps has distinct `fp`."""
-    index = fps.select("fp").mapInArrow(index_rows, "key long, fp long, own boolean")
     n = common.tasks_for(fps, 1 << 20)
-    return index.repartition(n, "key").sortWithinPartitions("key").mapInArrow(linked_in_sorted, "u long, v long").filter("u <> v").distinct()
+    fps = fps.select("fp").repartition(n, "fp")  # few bytes, but 69 rows each come out of them
+    index = fps.mapInArrow(index_rows, "key long, fp long, own boolean")
+    full, _ = common.written(full_buckets(fps, most_residents), "full-buckets")
+    if n_full := full.count():
+        full = F.broadcast(full) if n_full <= MOST_BROADCAST else full
+        parted = index.join(full, F.col("key") == F.col("full"), "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+        mine = F.col("parts").isNull() | (F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))) == F.col("part"))
+        index = parted.select("key", "part", "fp", (F.col("own") & mine).alias("own"))
+    else:
+        index = index.select("key", F.lit(0).alias("part"), "fp", "own")
+    return index.repartition(n, "key", "part").sortWithinPartitions("key", "part").mapInArrow(linked_in_sorted, "u long, v long").filter("u <> v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

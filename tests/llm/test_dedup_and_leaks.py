@@ -137,9 +137,11 @@ def test_simhash_equals_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values())) and kept.columns == DOCS.replace(" long", "").replace(" string", "").split(", ")
 
 
-def test_links_keep_the_components_of_all_pairs(spark):
+@pytest.mark.parametrize("most_residents", [None, 2])
+def test_links_keep_the_components_of_all_pairs(spark, most_residents):
+    """Also with buckets split into parts of two residents."""
     r = random.Random(9)
-    fps = set()
+    fps = {r.getrandbits(38) << 26 | 12345 for _ in range(40)}  # one full bucket
     for _ in range(15):
         at = r.getrandbits(64)
         for _ in range(20):
@@ -148,7 +150,8 @@ def test_links_keep_the_components_of_all_pairs(spark):
             fps.add(at)
     fps = sorted(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    links = simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long"))
+    nodes = spark.createDataFrame([(s,) for s in signed], "fp long")
+    links = simhash.links(nodes, most_residents) if most_residents else simhash.links(nodes)
     pairs = [(a % (1 << 64), b % (1 << 64)) for a, b in links.collect()]
     assert all((a ^ b).bit_count() <= 4 for a, b in pairs)
     found = {r.node: r.root for r in simhash.components(links).collect()}
@@ -310,3 +313,17 @@ def test_blocks_are_bounded_by_text_whatever_the_compression(spark, tmp_path):
     assert sum(b.num_rows for run in runs for b in run) == 3 * batch.num_rows and max(map(sum, sizes)) <= 600 and all(sum(s) >= 100 for s in sizes[:-1])
     got = substring_dedup.cut(stored, text_out=False).agg({"n_removed": "sum", "doc_id": "count"}).first()
     assert tuple(got) == (4000, 4000 * 1100) or tuple(got) == (4000 * 1100, 4000)
+
+
+def test_a_bucket_over_many_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    fps = np.arange(40, dtype=np.int64) << 26
+    names = ["key", "part", "fp", "own"]
+    rows = [(0, 0, f, True) for f in fps.tolist()] + [(0, 1, 7, False), (0, 1, 5, True)] + [(1 << 20, 0, 3, True), (1 << 20, 0, 2, True)]
+    one = list(simhash.linked_in_sorted([pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])]))
+    many = list(simhash.linked_in_sorted(pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[k : k + 3]]) for k in range(0, len(rows), 3)))
+    flat = [sorted((u, v) for b in found for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)) for found in (one, many)]
+    assert flat[0] == flat[1] and {(7, 5), (3, 2)} <= set(flat[0])
+    assert list(simhash.linked_in_sorted([])) == []

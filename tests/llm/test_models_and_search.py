@@ -64,6 +64,45 @@ def test_margins_do_not_depend_on_neighbours(medium):
     assert langid.codewords(20).shape[0] == 20
 
 
+def test_decoding_equals_brute_force():
+    """Margins and decoding against loops over n-grams, bits and codewords."""
+    import math
+
+    r = np.random.RandomState(2)
+    code = langid.codewords(5)
+    weights = np.concatenate([r.standard_normal((langid.BINS, code.shape[1])), np.zeros((1, code.shape[1]))]).astype(np.float32)
+    model = langid.Model(list("abcde"), code, weights, r.random(code.shape[1]))
+    texts = ["some words and others", "abc", "ab", "ein längerer text " * 9]
+    got = model.decode(*model.margins([langid.prepared(t) for t in texts]))
+    for text, lang, score in zip(texts, got[0], got[1], strict=True):
+        raw = langid.prepared(text)
+        grams = [raw[i : i + 3] for i in range(len(raw) - 2)]
+        bins = [((g[0] << 16 | g[1] << 8 | g[2]) * 2654435761 % (1 << 32)) >> 16 for g in grams]
+        margin = [sum(float(weights[b, k]) for b in bins) / max(len(bins), 1) for k in range(code.shape[1])]
+        loss = [sum(t * math.log1p(math.exp(-m * math.sqrt(max(len(bins), 1)) * int(c))) for t, m, c in zip(model.trust, margin, word, strict=True)) for word in code]
+        best = min(range(5), key=loss.__getitem__)
+        assert lang == "abcde"[best] and abs(score - 1 / sum(math.exp(min(loss) - x) for x in loss)) < 1e-6
+
+
+def test_training_sums_equal_brute_force(spark):
+    texts = [("x", "alpha beta gamma"), ("x", "alpha alpha"), ("y", "omega psi chi"), ("z", "mu nu xi mu")]
+    docs = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(texts * 3)], "doc_id long, text string, lang string")
+    train = docs.filter(~langid.held_out()).collect()
+    model = langid.fit(docs)
+    assert model.languages == sorted({r.lang for r in train})
+    mean = {}
+    for lang in model.languages:
+        rows = [r.text for r in train if r.lang == lang]
+        for t in rows:
+            bins = langid.bins_of(np.frombuffer(t.encode(), np.uint8))
+            for b in bins:
+                mean[lang, int(b)] = mean.get((lang, int(b)), 0) + 1 / len(bins) / len(rows)
+    for b in {b for _, b in mean}:
+        for k in range(model.code.shape[1]):
+            yes, no = ([mean.get((x, b), 0) for x, c in zip(model.languages, model.code[:, k], strict=True) if c == sign] for sign in (1, -1))
+            assert abs(model.weights[b, k] - np.log((sum(yes) / len(yes) + 1e-6) / (sum(no) / len(no) + 1e-6))) < 1e-4
+
+
 # ---- HTML
 
 def test_main_text_of_held_out_pages():
