@@ -1,25 +1,28 @@
 """Chat formatting: a hidden Markov model recovers the roles of a transcript's blocks before rendering.
 
-A block is a run of lines; its observation combines the speaker marker that it opens with, its number of lines and
-its length.  Transition and emission probabilities are smoothed counts of labelled blocks, aggregated in Spark over
-all of them (the tables have as many rows as there are states and observations).  Viterbi finds each conversation's
-roles, and turns are rendered canonically: <|role|>, the text without its marker, <|end|>.
-
-A conversation is cut into segments of SEGMENT blocks, so none has to fit a task: first every segment gives its
-3 x 3 max-plus matrix (best score from the state before it to its last state), then the matrices of a conversation
-are folded, and with its two end states known every segment is decoded by itself.  This equals Viterbi over the
-whole conversation.
-
-Edge cases: null and empty texts are blocks of no lines; blocks that share a turn number are ordered by text;
-repeated rows are blocks of their own; a null conv_id is a conversation, a null turn comes first; without labels
-all states are alike and ties go to the first role; an empty table gives an empty result; further columns are ignored.
+Texts are first cut before lines that open with a speaker marker; a block is a run of lines, and its observation
+combines the marker that it opens with, its number of lines and its length.  Markers act through the emissions alone:
+the probability of a marker under each role is counted, smoothed by a prior that expects a marker to name its role.
+Transitions and emissions come from labelled blocks, counted in Spark over all of them (the tables have as many rows as
+there are states and observations).  Viterbi finds each conversation's roles, and turns are rendered canonically:
+<|role|>, the text without its marker, <|end|>.
+
+A conversation is cut into segments by turn number and these, as sorted rows stream by, into runs of SEGMENT blocks, so
+that neither has to fit a task: first every run gives its 3 x 3 max-plus matrix (best score from the state before it to
+its last state), then the matrices of a conversation are folded, and with its two end states known every run is decoded
+by itself.  This equals Viterbi over the whole conversation.  Many blocks of one turn number are one segment, which one
+task streams over.
+
+Edge cases: null and empty texts are blocks of no lines; very long texts are blocks like others; blocks that share a
+turn number are ordered by text; repeated rows are blocks of their own; a null conv_id is a conversation, a null turn
+comes first; without labels all states are alike and ties go to the first role; an empty table gives an empty result;
+further columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from itertools import groupby, islice
+from itertools import chain, groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,8 @@ from . import common
 
 ROLES = ("user", "assistant", "system")
 SEGMENT = 256
+#: Weight, in blocks, of the prior of markers.
+MARKED = 20.0
 FOLDS, HELD_OUT = 3, 1
 #: Speaker words that open a block, by role; after them comes a colon or a closing bracket.
 MARKERS = {"user": "user|human|customer|me|q|question|prompt", "assistant": "assistant|bot|ai|agent|model|a|answer|response", "system": "system|instructions?"}
@@ -62,27 +67,45 @@ def observation(text: Column, first: Column) -> Column:
     return F.concat_ws("/", marker_of(text), lines, size, F.when(first, "first").otherwise("later"))
 
 
+def _starts() -> str:
+    return "|".join(f"(?={marker_pattern(r)[4:].replace('^', '', 1)})" for r in ROLES)
+
+
+def marked_blocks(rows: DataFrame) -> DataFrame:
+    """(conv_id, turn, part, text[, role]): rows of conversations, cut before inner lines that open with a marker.
+
+    A row without such lines is one block with its text unchanged; a role stays with the first block of its row.
+    """
+    cut = F.split(F.coalesce("text", F.lit("")), rf"\n(?i:{_starts()})")
+    parts = rows.select("conv_id", "turn", *(["role"] if "role" in rows.columns else []), F.posexplode(cut).alias("part", "text"))
+    return parts.withColumn("role", F.when(F.col("part") == 0, F.col("role"))) if "role" in rows.columns else parts
+
+
 def transcript_blocks(transcripts: DataFrame, key: str = "conv_id", text: str = "text") -> DataFrame:
     """(conv_id, turn, text): raw transcripts cut before blank lines and lines that open with a marker."""
-    starts = "|".join(f"(?={marker_pattern(r)[4:].replace('^', '', 1)})" for r in ROLES)
-    cut = F.split(F.col(text), rf"\n\s*\n|\n(?i:{starts})")
+    cut = F.split(F.col(text), rf"\n\s*\n|\n(?i:{_starts()})")
     blocks = transcripts.select(F.col(key).alias("conv_id"), F.posexplode(F.filter(F.transform(cut, lambda x: F.trim(x)), lambda x: x != "")).alias("turn", "text"))
     return blocks.withColumn("turn", F.col("turn").cast("long"))
 
 
 def numbered(blocks: DataFrame) -> DataFrame:
-    """conv_id, turn, text[, role], seg: blocks with their segment, and what the model sees of them.
+    """conv_id, turn, part, text[, role], seg: blocks with their segment, and what the model sees of them.
 
     The segment follows from the turn number, so no conversation is sorted whole.
     """
     turn = F.coalesce(F.col("turn"), F.lit(-1)).cast("long")
-    return blocks.select(
-        *blocks.columns, F.floor(turn / SEGMENT).alias("seg"), observation(F.col("text"), turn <= 0).alias("seen")
-    )
+    part = F.col("part") if "part" in blocks.columns else F.lit(0)
+    names = [c for c in blocks.columns if c != "part"]
+    return blocks.select(*names, part.cast("int").alias("part"), F.floor(turn / SEGMENT).alias("seg"), observation(F.col("text"), (turn <= 0) & (part == 0)).alias("seen"))
+
+
+def order() -> list[Column]:
+    return [F.coalesce(F.col("turn"), F.lit(-1)), F.col("part"), F.coalesce(F.col("text"), F.lit(""))]
 
 
 class Hmm:
-    """Log probabilities of start, transition and emission; observations never seen count as once."""
+    """Log probabilities of start, transition and emission.  An emission is that of the marker times that of the rest
+    of the observation; both are smoothed, so neither a marker nor a rest that was never seen decides alone."""
 
     def __init__(self, starts: dict, moves: dict, emissions: dict):
         n = len(ROLES)
@@ -90,19 +113,23 @@ class Hmm:
         self.start = np.log(self.start / self.start.sum())
         self.move = np.array([[moves.get((a, b), 0) + 0.1 for b in ROLES] for a in ROLES], float)
         self.move = np.log(self.move / self.move.sum(1, keepdims=True))
-        seen = sorted({o for _, o in emissions})
-        counts = np.array([[emissions.get((r, o), 0) + 0.1 for o in seen] + [0.1] for r in ROLES], float)
-        self.emission = np.log(counts / counts.sum(1, keepdims=True))
-        self.column = {o: k for k, o in enumerate(seen)}
+        markers, rests = ("none", *ROLES), sorted({o.split("/", 1)[1] for _, o in emissions})
+        # the prior of markers: as many blocks as MARKED with a marker, of which nearly all name their role
+        of_marker = np.array([[MARKED * (1.0 if m == "none" else 0.97 if m == r else 0.015) for m in markers] for r in ROLES])
+        of_rest = np.full((n, len(rests) + 1), 0.1)
+        for (role, seen), count in emissions.items():
+            marker, rest = seen.split("/", 1)
+            of_marker[ROLES.index(role), markers.index(marker)] += count
+            of_rest[ROLES.index(role), rests.index(rest)] += count
+        of_marker, of_rest = (np.log(x / x.sum(1, keepdims=True)) for x in (of_marker, of_rest))
+        self.emission = {m: of_marker[:, k] for k, m in enumerate(markers)}
+        self.rest = {r: of_rest[:, k] for k, r in enumerate(rests)}
+        self.unseen = of_rest[:, -1]
         self.n = n
 
     def scores(self, seen: list[str]) -> np.ndarray:
-        out = np.array([self.emission[:, self.column.get(o, len(self.column))] for o in seen]).reshape(-1, self.n)
-        for k, o in enumerate(seen):
-            marker = o.split("/")[0]  # names its role even where training never saw it
-            if marker in ROLES:
-                out[k] += np.where(np.array(ROLES) == marker, 0.0, math.log(0.02))
-        return out
+        split = (o.split("/", 1) for o in seen)
+        return np.array([self.emission[m] + self.rest.get(r, self.unseen) for m, r in split]).reshape(-1, self.n)
 
     def segment(self, seen: list[str], first: bool) -> np.ndarray:
         """Best score from each state before the segment (any, if it is the first) to each last state."""
@@ -127,12 +154,18 @@ class Hmm:
 
 
 def train(blocks: DataFrame) -> Hmm:
-    """Counts of the labelled blocks outside the held-out fold of conversations."""
+    """Counts of the labelled blocks outside the held-out fold of conversations.
+
+    Transitions inside a segment come from its rows, those between segments from the last and first rows of each.
+    """
     fold = F.pmod(F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
-    rows = numbered(blocks.select("conv_id", "turn", "text", "role")).filter(F.col("role").isin(*ROLES) & (fold != HELD_OUT))
-    before = F.lag("role").over(Window.partitionBy("conv_id", "seg").orderBy("turn", "text"))
-    rows = rows.withColumn("before", before)
-    counted = rows.groupBy("role", "before", "seen").count().collect()  # states x states x observations at most
+    rows = numbered(blocks.select("conv_id", "turn", "text", "role", *(["part"] if "part" in blocks.columns else []))).filter(F.col("role").isin(*ROLES) & (fold != HELD_OUT))
+    inside = rows.withColumn("before", F.lag("role").over(Window.partitionBy("conv_id", "seg").orderBy(*order())))
+    counted = inside.groupBy("role", "before", "seen").count().collect()  # states x states x observations at most
+    place = F.struct(*order())
+    ends = rows.groupBy("conv_id", "seg").agg(F.min_by("role", place).alias("first"), F.max_by("role", place).alias("last"))
+    last = F.lag("last").over(Window.partitionBy("conv_id").orderBy("seg"))  # a row a segment
+    between = ends.withColumn("before", last).filter("before IS NOT NULL").groupBy("before", "first").count().collect()
     starts, moves, emissions = {}, {}, {}
     for r in counted:
         emissions[r["role"], r["seen"]] = emissions.get((r["role"], r["seen"]), 0) + r["count"]
@@ -140,6 +173,8 @@ def train(blocks: DataFrame) -> Hmm:
             moves[r["before"], r["role"]] = moves.get((r["before"], r["role"]), 0) + r["count"]
         elif r["seen"].endswith("first"):
             starts[r["role"]] = starts.get(r["role"], 0) + r["count"]
+    for r in between:
+        moves[r["before"], r["first"]] = moves.get((r["before"], r["first"]), 0) + r["count"]
     return Hmm(starts, moves, emissions)
 
 
@@ -153,66 +188,83 @@ def batched(rows: Iterator[tuple], schema: pa.Schema, size: int = 1000) -> Itera
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
 
 
+def runs(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Rows in runs of SEGMENT, the last one aside."""
+    while part := list(islice(rows, SEGMENT)):
+        yield part
+
+
 def parse(blocks: DataFrame, hmm: Hmm) -> DataFrame:
-    """(conv_id, turn, role, text, rendered) for every block of (conv_id, turn, text).
+    """(conv_id, turn, part, role, text, rendered) for every block of (conv_id, turn[, part], text).
 
-    Segments and conversations come as runs of sorted rows, so a task streams over them.
+    Segments and conversations come as sorted rows, so a task streams over them and holds one run of blocks.
     """
     shared = blocks.sparkSession.sparkContext.broadcast(hmm)  # a few hundred numbers
-    rows = numbered(blocks.select("conv_id", "turn", "text"))
+    rows = numbered(blocks.select("conv_id", "turn", "text", *(["part"] if "part" in blocks.columns else [])))
     conv = blocks.schema["conv_id"].dataType
     ids, size, n = to_arrow_type(conv), len(ROLES), common.tasks_for(blocks, 8 << 20)
-    order = [F.coalesce(F.col("turn"), F.lit(-1)), F.coalesce(F.col("text"), F.lit(""))]
+    kind = conv.simpleString()
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
-            for (conv_id, seg), run in groupby(rows_of(batches), key=lambda r: r[:2]):
-                seen = [r[2] for r in run]
-                yield conv_id, seg, [*shared.value.segment(seen, True)[0].tolist(), *shared.value.segment(seen, False).ravel().tolist()]
+            for (conv_id, seg), own in groupby(rows_of(batches), key=lambda r: r[:2]):
+                for k, run in enumerate(runs(own)):
+                    seen = [r[2] for r in run]
+                    yield conv_id, seg, k, [*shared.value.segment(seen, True)[0].tolist(), *shared.value.segment(seen, False).ravel().tolist()]
 
-        yield from batched(found(), pa.schema([("conv_id", ids), ("seg", pa.int64()), ("best", pa.list_(pa.float64()))]))
+        yield from batched(found(), pa.schema([("conv_id", ids), ("seg", pa.int64()), ("run", pa.int64()), ("best", pa.list_(pa.float64()))]))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
-            for conv_id, run in groupby(rows_of(batches), key=lambda r: r[0]):
-                segs, best, back = [], None, []
-                for _, seg, flat in run:
-                    segs.append(seg)
+            for conv_id, own in groupby(rows_of(batches), key=lambda r: r[0]):
+                places, best, back = [], None, []
+                for _, seg, run, flat in own:
+                    places.append((seg, run))
                     flat = np.array(flat)
                     if best is None:
                         best = flat[:size]
                     else:
                         total = best[:, None] + flat[size:].reshape(size, size)
-                        back.append(total.argmax(0))
+                        back.append(total.argmax(0).astype(np.int8))
                         best = total.max(0)
                 last = [int(best.argmax())]
                 for from_ in reversed(back):
                     last.append(int(from_[last[-1]]))
                 last.reverse()
-                yield from ((conv_id, seg, before, state) for seg, before, state in zip(segs, [None, *last], last, strict=False))
+                yield from ((conv_id, seg, run, before, state) for (seg, run), before, state in zip(places, [None, *last], last, strict=False))
 
-        yield from batched(found(), pa.schema([("conv_id", ids), ("seg", pa.int64()), ("before", pa.int32()), ("last", pa.int32())]))
+        yield from batched(found(), pa.schema([("conv_id", ids), ("seg", pa.int64()), ("run", pa.int64()), ("before", pa.int32()), ("last", pa.int32())]))
 
     def roles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
-            for _, run in groupby(rows_of(batches), key=lambda r: r[:2]):
-                run = list(run)
-                states = shared.value.decode([r[2] for r in run], run[0][3], run[0][4])
-                yield from ((r[0], r[5], ROLES[s], r[6]) for r, s in zip(run, states, strict=True))
-
-        yield from batched(found(), pa.schema([("conv_id", ids), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())]))
-
-    kind = conv.simpleString()
-    dealt = rows.repartition(n, "conv_id", "seg").sortWithinPartitions("conv_id", "seg", *order)
-    segments = dealt.select("conv_id", "seg", "seen").mapInArrow(matrices, f"conv_id {kind}, seg long, best array<double>")
-    ends = segments.repartition(n, "conv_id").sortWithinPartitions("conv_id", "seg").mapInArrow(fold, f"conv_id {kind}, seg long, before int, last int")
-    ends = ends.select(F.col("conv_id").alias("_conv"), F.col("seg").alias("_seg"), "before", "last")
-    known = rows.join(ends, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("seg") == F.col("_seg")))
-    known = known.repartition(n, "conv_id", "seg").sortWithinPartitions("conv_id", "seg", *order).select("conv_id", "seg", "seen", "before", "last", F.col("turn").cast("long").alias("turn"), "text")
-    found = known.mapInArrow(roles, f"conv_id {kind}, turn long, role string, text string")
+            for _, own in groupby(rows_of(batches), key=lambda r: r[:2]):
+                ends, first = [], None
+                for r in own:  # the ends of a segment's runs come before its rows
+                    if not r[2]:
+                        first = r
+                        break
+                    ends.append(r[3:5])
+                for (before, last), run in zip(ends, runs(chain([first], own)), strict=True):
+                    states = shared.value.decode([r[5] for r in run], before, last)
+                    yield from ((r[0], r[6], r[7], ROLES[s], r[8]) for r, s in zip(run, states, strict=True))
+
+        yield from batched(found(), pa.schema([("conv_id", ids), ("turn", pa.int64()), ("part", pa.int32()), ("role", pa.string()), ("text", pa.string())]))
+
+    dealt = rows.repartition(n, "conv_id", "seg").sortWithinPartitions("conv_id", "seg", *order())
+    segments = dealt.select("conv_id", "seg", "seen").mapInArrow(matrices, f"conv_id {kind}, seg long, run long, best array<double>")
+    ends = segments.repartition(n, "conv_id").sortWithinPartitions("conv_id", "seg", "run").mapInArrow(fold, f"conv_id {kind}, seg long, run long, before int, last int")
+    columns = ["conv_id", "seg", "is_end", "before", "last", "seen", "turn", "part", "text"]
+    none = F.lit(None)
+    both = ends.select(
+        "conv_id", "seg", F.lit(True).alias("is_end"), "before", "last", none.cast("string").alias("seen"), F.col("run").alias("turn"), F.lit(0).alias("part"), none.cast("string").alias("text")
+    ).unionByName(
+        rows.select("conv_id", "seg", F.lit(False).alias("is_end"), none.cast("int").alias("before"), none.cast("int").alias("last"), "seen", F.col("turn").cast("long").alias("turn"), "part", "text")
+    )
+    known = both.repartition(n, "conv_id", "seg").sortWithinPartitions("conv_id", "seg", F.desc("is_end"), *order()).select(*columns)
+    found = known.mapInArrow(roles, f"conv_id {kind}, turn long, part int, role string, text string")
     return found.withColumn("rendered", F.concat(F.lit("<|"), "role", F.lit("|>\n"), without_marker(F.coalesce("text", F.lit(""))), F.lit("\n<|end|>\n")))
 
 
 def op3_hmm_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conversations = common.table(spark, sf_dir, "conversations")
-    return parse(conversations, train(conversations)).select("conv_id", "turn", "role", "rendered")
+    blocks = marked_blocks(common.table(spark, sf_dir, "conversations"))
+    return parse(blocks, train(blocks)).select("conv_id", "turn", "part", "role", "rendered")
