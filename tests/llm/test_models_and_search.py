@@ -224,11 +224,44 @@ def test_recall(spark):
     assert hits / (5 * len(want)) >= 0.9
 
 
+def test_recall_on_many_vectors(spark):
+    """60,000 vectors of 32 dimensions, half scattered and half in clusters; recall of every query against brute force."""
+    r = np.random.RandomState(7)
+    centres = r.standard_normal((300, 32))
+    x = np.concatenate([r.standard_normal((30_000, 32)), centres[r.randint(0, 300, 30_000)] + 0.3 * r.standard_normal((30_000, 32))]).astype(np.float32)
+    x = x[r.permutation(len(x))]
+    import pyarrow as pa
+
+    rows = pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 32).cast(pa.list_(pa.float32()))})
+    found = ann.search(spark.createDataFrame(rows), every=300).toPandas()
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hits = total = 0
+    for q, own in found.groupby("query_id"):
+        score = unit @ unit[q]
+        score[q] = -2
+        want = set(np.lexsort((np.arange(len(x)), -score))[:5].tolist())
+        assert len(own) == 5 and np.allclose(own.sort_values("rank").score, score[own.sort_values("rank").vec_id])
+        hits, total = hits + len(want & set(own.vec_id)), total + 5
+    assert total == 5 * 200 and hits / total >= 0.9
+
+
+def test_scan_keeps_what_brute_force_keeps():
+    r = np.random.RandomState(1)
+    lists = ann.unit(r.standard_normal((3000, 64)))
+    for q in ann.unit(r.standard_normal((20, 64))):
+        want = np.argsort(((lists - q) ** 2).sum(1))[:6]
+        for worst in (np.inf, ((lists[want[-1]] - q) ** 2).sum()):
+            kept = ann.scan(q, lists, 6, worst)
+            assert len(set(want) & set(kept)) >= 5 and len(kept) < len(lists) / 2
+
+
 def test_neighbours_with_ties_and_broken_vectors(spark):
     same = [1.0, 2.0, 2.0]
     rows = [(k, same) for k in range(20)] + [(20, [2.0, 4.0, 4.0]), (50, [0.0, 1.0, 0.0]), (51, None), (52, []), (53, [0.0, 0.0, 0.0]), (54, [1.0, None, 1.0]), (55, [float("nan"), 1.0, 1.0]), (56, [float("inf"), 1.0, 1.0]), (57, [1.0]), (100, same)]
     df = spark.createDataFrame([(*r, 0, 0.0) for r in rows], "vec_id long, embedding array<float>, rank int, score double")
-    want = brute([r for r in rows if r[0] != 57], 5, 50)
+    lone = [(150, [1.0, 1.0, 0.0, 0.0]), (151, [1.0, 0.0, 0.0, 0.0]), (152, [0.0, 0.0, 1.0, 0.0])]  # of another dimension
+    df = df.union(spark.createDataFrame([(*r, 0, 0.0) for r in lone], df.schema))
+    want = brute([r for r in rows if r[0] != 57], 5, 50) | brute(lone, 5, 50)
     got = {}
     for r in ann.search(df, probe_share=1.0).orderBy("rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
@@ -245,10 +278,49 @@ def test_segmented_viterbi_equals_whole(spark, monkeypatch):
     hmm = chat.train(conversations)
     r = random.Random(3)
     long = [(1, t, "w " * r.randint(0, 300) + "\n" * r.randint(0, 5)) for t in range(700)]
-    df = spark.createDataFrame(long, "conv_id long, turn long, text string")
-    got = [x.role for x in chat.parse(df, hmm).orderBy("turn").collect()]
-    seen = [x.seen for x in chat.numbered(df).orderBy("turn").collect()]
-    assert got == [chat.ROLES[s] for s in hmm.decode(seen, None, None)]
+    one_turn = [(2, 7, f"{k} " + "w " * r.randint(0, 300) + "\n" * r.randint(0, 5)) for k in range(600)]  # a segment of several runs
+    df = spark.createDataFrame(long + one_turn, "conv_id long, turn long, text string")
+    for conv in (1, 2):
+        mine = df.filter(f"conv_id = {conv}")
+        got = [(x.text, x.role) for x in chat.parse(mine, hmm).orderBy("turn", "text").collect()]
+        seen = [(x.text, x.seen) for x in chat.numbered(mine).orderBy("turn", "text").collect()]
+        assert got == [(t, chat.ROLES[s]) for (t, _), s in zip(seen, hmm.decode([o for _, o in seen], None, None), strict=True)]
+
+
+def test_viterbi_of_roles_equals_enumeration():
+    r = random.Random(6)
+    pool = ["none/1/1/later", "user/1/2/later", "none/3/4/later", "assistant/5/7/later", "none/9/9/later"]
+    counts = {(role, o): r.randint(0, 9) for role in chat.ROLES for o in pool[:3]}
+    hmm = chat.Hmm({"user": 5, "system": 2}, {(a, b): r.randint(0, 9) for a in chat.ROLES for b in chat.ROLES}, counts)
+    for _ in range(20):
+        seen = r.choices(pool, k=6)
+        e = hmm.scores(seen)
+
+        def score(y):
+            return hmm.start[y[0]] + sum(e[t, v] for t, v in enumerate(y)) + sum(hmm.move[a, b] for a, b in itertools.pairwise(y))
+
+        best = max(itertools.product(range(3), repeat=6), key=score)
+        assert abs(score(hmm.decode(seen, None, None)) - score(best)) < 1e-9
+        assert abs(hmm.segment(seen, True)[0].max() - score(best)) < 1e-9
+
+
+def test_transitions_are_counted_across_segments(spark):
+    rows = [("c", t, "x", "user" if t < 256 else "assistant") for t in range(512)]
+    hmm = chat.train(spark.createDataFrame([(k, *r[1:]) for k in range(12) for r in rows], "conv_id long, turn long, text string, role string"))
+    n = sum(__import__("zlib").crc32(str(k).encode()) % 3 != 1 for k in range(12))
+    want = np.array([255 * n + 0.1, n + 0.1, 0.1])
+    assert np.allclose(np.exp(hmm.move[0]), want / want.sum())
+
+
+def test_rows_are_cut_before_inner_markers(spark):
+    rows = [(1, 0, "plain\n\ntext", "user", 9), (1, 1, "User: one\nmore\nAssistant: two\n[user] three", "user", 9), (1, 2, None, None, 9)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string, role string, seg int")
+    got = [tuple(r) for r in chat.marked_blocks(df).orderBy("turn", "part").collect()]
+    assert got == [(1, 0, "user", 0, "plain\n\ntext"), (1, 1, "user", 0, "User: one\nmore"), (1, 1, None, 1, "Assistant: two"), (1, 1, None, 2, "[user] three"), (1, 2, None, 0, "")]
+    roles = [r.role for r in chat.parse(chat.marked_blocks(df), chat.train(chat.marked_blocks(df))).filter("turn = 1").orderBy("part").collect()]
+    assert roles == ["user", "assistant", "user"]
+    long = spark.createDataFrame([(1, 0, "word " * 400_000)], "conv_id long, turn long, text string")
+    assert len(chat.parse(long, chat.train(df)).first().text) == 2_000_000
 
 
 def test_roles_recovered_and_rendered(spark):
