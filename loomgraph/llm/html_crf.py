@@ -48,7 +48,6 @@ CLOSES = {
 _ENDS = {tag: re.compile(rf"</{tag}\b", re.I) for tag in RAW_TAGS | SKIPPED_TAGS}
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
 _ATTRIBUTE = re.compile(r"""([^\s=>"'/]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?""")
-_SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+|[0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -74,7 +73,13 @@ _PHRASES = {
     "advert": r"\badvertis|\bsponsored\b|\bpromoted\b", "share": r"\bshare\b|\bfollow us\b|\btweet\b", "more": r"\bread more\b|\brelated\b|\bclick here\b|\bsee also\b", "comments": r"\bcomments?\b|\breply\b|\breplied\b|\bposted by\b|\bsays:|\bdiscussion\b|\b(?:hour|day|week)s? ago\b",
 }
 _PHRASES = {k: re.compile(v, re.I) for k, v in _PHRASES.items()}
-_END = re.compile(r"[.!?…»\"”]$")
+#: Every text with a phrase holds, in lower case, one of these strings; most texts hold none.
+_SIGNS = {
+    "rights": ("©", "(c)", "copyright", "rights"), "cookie": ("cookie", "consent", "gdpr"), "subscribe": ("subscribe", "newsletter", "sign up", "log", "register"),
+    "advert": ("advertis", "sponsored", "promoted"), "share": ("share", "follow us", "tweet"), "more": ("read more", "related", "click here", "see also"),
+    "comments": ("comment", "reply", "replied", "posted by", "says:", "discussion", " ago"),
+}
+_ENDINGS = frozenset('.!?…»"”')
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _TAGS = "nav header footer aside form button article main section figure figcaption table ul ol blockquote pre dialog select label fieldset address menu details".split()
 
@@ -186,7 +191,7 @@ def blocks(html: str | None) -> list[Block]:
 
     def flush() -> None:
         nonlocal linked, started
-        joined = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
+        joined = " ".join(entities.unescape("".join(text)).split())
         if joined:
             out.append(Block(joined, linked, *place))
         text.clear()
@@ -276,11 +281,12 @@ def features(page: list[Block]) -> list[list[str]]:
         found = {"bias", f"tag:{b.tag}", *b.where}
         found.add("words:" + ("1" if words == 1 else "2-4" if words < 5 else "5-14" if words < 15 else "15-39" if words < 40 else "40+"))
         found.add("links:" + ("none" if not b.linked else "few" if dense < 0.3 else "some" if dense < 0.8 else "all"))
-        if _END.search(b.text):
+        if b.text[-1] in _ENDINGS:
             found.add("ends")
         if heading is not None:
             found.add("before-h1" if k < heading else "after-h1")
-        says = [f"says:{name}" for name, pattern in _PHRASES.items() if pattern.search(b.text)]
+        low = b.text.lower()
+        says = [f"says:{name}" for name, signs in _SIGNS.items() if any(x in low for x in signs) and _PHRASES[name].search(b.text)]
         found.update(f"{x}@{places[k]}" for x in says)
         if b.tag in _HEADINGS:
             under = [f"under:{x[5:]}" for x in says]  # what the last heading says
