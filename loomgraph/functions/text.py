@@ -8,9 +8,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
+#: White space as Unicode defines it, with the separators U+001C-U+001F: what Python's str.split cuts at.
+SPACES = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE, WORD = f"[{SPACES}]", f"[^{SPACES}]"
+
+
+def stripped(text: Column) -> Column:
+    """Without white space at its ends."""
+    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
+
+
 def flat(text: Column) -> Column:
     """White space runs become one space, ends trimmed."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
 def normalize(text: Column, most: int = 200_000) -> Column:
@@ -19,7 +29,7 @@ def normalize(text: Column, most: int = 200_000) -> Column:
     Without Unicode composition: `normalize_nfc` adds that.
     """
     t = F.regexp_replace(text, r"\r\n?", "\n")
-    t = F.regexp_replace(t, r"(?U)[^\S\n]+", " ")
+    t = F.regexp_replace(t, f"[{SPACES}&&[^\n]]+", " ")
     t = F.regexp_replace(F.regexp_replace(t, r" *\n *", "\n"), r"\n{3,}", "\n\n")
     return F.substring(F.regexp_replace(t, r"^[ \n]+|[ \n]+$", ""), 1, most)
 
@@ -36,31 +46,38 @@ def normalize_nfc(text: Column, most: int = 200_000) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    t = F.coalesce(text, F.lit(""))
-    return F.when(F.trim(F.regexp_replace(t, r"\s+", " ")) == "", 0).otherwise(F.size(F.split(flat(t), " "))).cast("long")
+    t = flat(F.coalesce(text, F.lit("")))
+    return F.when(t == "", 0).otherwise(F.size(F.split(t, " "))).cast("long")
 
 
 def excerpt(text: Column, most: int = 300) -> Column:
-    """Flattened text; a longer one is cut at a word and gets an ellipsis."""
+    """Flattened text; a longer one is cut before its last space, if it has one, and gets an ellipsis."""
     t = flat(text)
-    cut = F.regexp_replace(F.regexp_replace(F.substring(t, 1, most), r"[^ ]*$", ""), r"[ ,;:.]+$", "")
+    cut = F.regexp_replace(F.regexp_replace(F.substring(t, 1, most), r" [^ ]*$", ""), r"[ ,;:.]+$", "")
     return F.when(F.length(t) <= most, t).otherwise(F.concat(cut, F.lit("…")))
 
 
 def truncate_words(text: Column, most: int) -> Column:
-    """At most `most` characters; a cut inside a word goes back to the last white space, if there is one."""
+    """At most `most` characters; a cut inside a word goes back to the white space before the word, if something stands
+    before that.  A text that was cut has no white space at its end."""
     head = F.substring(text, 1, most)
-    inside = F.substring(text, most + 1, 1).rlike(r"^\S") & head.rlike(r"\s")
-    return F.when(F.length(text) <= most, text).when(inside, F.regexp_replace(head, r"\s+\S*\z", "")).otherwise(head)
+    inside = F.substring(text, most + 1, 1).rlike(WORD) & head.rlike(rf"{WORD}{SPACE}+{WORD}*\n?\z")
+    cut = F.when(inside, F.regexp_replace(head, rf"{SPACE}+{WORD}*\n?\z", "")).otherwise(head)
+    return F.when(F.length(text) <= most, text).otherwise(F.regexp_replace(cut, rf"{SPACE}+\z", ""))
 
 
 def embedding_input(title: Column, summary: Column, text: Column, most: int = 2000) -> Column:
-    """Title, excerpt and text, blank ones left out, joined by blank lines; no excerpt that repeats the text's start."""
-    body = truncate_words(F.coalesce(text, F.lit("")), most)
-    start = F.regexp_replace(F.coalesce(summary, F.lit("")), "…$", "")
-    repeated = F.startswith(flat(F.coalesce(text, F.lit(""))), start)
-    parts = F.array(title, F.when(~repeated, summary), body)
-    return F.array_join(F.filter(parts, lambda p: p.isNotNull() & (F.trim(p) != "")), "\n\n")
+    """Title, excerpt and text, stripped, blank ones left out, joined by blank lines; no excerpt that repeats the start
+    of the text."""
+    start = flat(F.regexp_replace(summary, "…$", ""))
+    repeated = (F.length(text) > 0) & F.startswith(flat(F.substring(text, F.lit(1), 2 * F.length(summary))), start)
+    parts = F.array(title, F.when(~F.coalesce(repeated, F.lit(False)), summary), truncate_words(text, most))
+    return F.array_join(F.filter(F.transform(parts, stripped), lambda p: p.isNotNull() & (p != "")), "\n\n")
+
+
+def body_hash(body: Column) -> Column:
+    """SHA-256 of the bytes of a response, which tells an unchanged page."""
+    return F.sha2(body, 256)
 
 
 def content_hash_ascii(text: Column) -> Column:

@@ -41,9 +41,14 @@ def retry_after(header: Column, now: Column) -> Column:
     return F.greatest(F.when(text.rlike(r"^\d{1,9}$"), text.try_cast("double")).otherwise(seconds), F.lit(0.0))
 
 
-def robots_status(status: Column) -> Column:
-    """found, missing (everything allowed) or unreachable (nothing allowed)."""
-    return F.when(status.between(200, 299), "found").when(status.between(300, 499), "missing").otherwise("unreachable")
+#: Bytes of a robots.txt that count, and redirects followed to it, fixed values.
+ROBOTS_BYTES, ROBOTS_REDIRECTS = 500 * 1024, 5
+
+
+def robots_status(status: Column, redirects: Column | None = None) -> Column:
+    """found, missing (everything allowed; also beyond the most redirects) or unreachable (nothing allowed)."""
+    lost = F.lit(False) if redirects is None else F.coalesce(redirects > ROBOTS_REDIRECTS, F.lit(False))
+    return F.when(lost, "missing").when(status.between(200, 299), "found").when(status.between(300, 499), "missing").otherwise("unreachable")
 
 
 def robots_update(rows: DataFrame) -> DataFrame:
@@ -63,7 +68,7 @@ def robots_rules(text: str | None, agent: str) -> tuple[list[tuple[bool, str]],
     groups: dict[str, list[tuple[str, str]]] = {}
     names: list[str] = []
     open_, sitemaps = False, []
-    for line in (text or "").splitlines():
+    for line in (text or "").encode()[:ROBOTS_BYTES].decode(errors="ignore").splitlines():
         field, _, value = line.split("#", 1)[0].partition(":")
         field, value = field.strip().lower(), value.strip()
         if field == "user-agent":
@@ -83,13 +88,40 @@ def robots_rules(text: str | None, agent: str) -> tuple[list[tuple[bool, str]],
     return [(f == "allow", v) for f, v in own if f != "crawl-delay" and v], delay, sitemaps
 
 
+def _plain(path: str) -> str:
+    """A path or pattern with escapes in upper case, unreserved characters unescaped and all beyond ASCII escaped."""
+    text = "".join(c if c.isascii() else "".join(f"%{b:02X}" for b in c.encode("utf-8", "replace")) for c in path)
+
+    def one(m: re.Match) -> str:
+        char = chr(int(m[1], 16))
+        return char if char.isascii() and (char.isalnum() or char in "-._~") else "%" + m[1].upper()
+
+    return re.sub(r"%([0-9A-Fa-f]{2})", one, text)
+
+
+def _fits(pattern: str, path: str) -> bool:
+    """Does a pattern with `*` and a final `$` match a path from its start?  Each part is sought once, from left to right."""
+    anchored = pattern.endswith("$")
+    first, *rest = pattern.removesuffix("$").split("*")
+    if not path.startswith(first):
+        return False
+    at = len(first)
+    for part in rest[:-1] if anchored else rest:
+        found = path.find(part, at)
+        if found < 0:
+            return False
+        at = found + len(part)
+    if not anchored:
+        return True
+    return path.endswith(rest[-1]) and len(path) - len(rest[-1]) >= at if rest else at == len(path)
+
+
 def robots_allows(rules: list[tuple[bool, str]], path: str) -> bool:
     """The longest matching rule decides, allow beats disallow, no match allows."""
-    best = (-1, True)
+    best, path = (-1, True), _plain(path)
     for allow, pattern in rules:
-        anchored = pattern.endswith("$")
-        regex = ".*".join(map(re.escape, pattern.rstrip("$").split("*"))) + ("$" if anchored else "")
-        if re.match(regex, path):
+        pattern = _plain(pattern)
+        if _fits(pattern, path):
             best = max(best, (len(pattern), allow))
     return best[1]
 
@@ -184,8 +216,8 @@ def feed_health(feeds: DataFrame, entries: DataFrame, now: Column, max_age_days:
 
 
 def backoff(delay: Column, errors: Column, asked: Column, cfg: Config = DEFAULT) -> Column:
-    """Pause after failures in a row: what the server asked for, else doubling, within the limit."""
-    return F.least(F.coalesce(asked, delay * F.pow(F.lit(2.0), errors)), F.lit(cfg.backoff_max_s))
+    """Pause after failures in a row: the longer of what the server asked for and doubling, within the limit."""
+    return F.least(F.greatest(asked, delay * F.pow(F.lit(2.0), errors)), F.lit(cfg.backoff_max_s))
 
 
 def poll_targets(frontier: DataFrame, feeds: DataFrame, max_hops: int = 0) -> DataFrame:
@@ -205,9 +237,9 @@ def newest(items: DataFrame, limit: int, now: Column, max_age_days: float | None
 
 
 def sitemap_files(files: DataFrame, skip: list[str], path_words: Column, limit: int) -> DataFrame:
-    """Sitemap files worth reading, news ones first; files(source, pos, url)."""
+    """Sitemap files worth reading, those with the path word `news` first; files(source, pos, url)."""
     kept = files.filter(~F.arrays_overlap(path_words, F.array(*(F.lit(s) for s in skip))))
-    w = Window.partitionBy("source").orderBy(F.col("url").contains("news").desc(), "pos")
+    w = Window.partitionBy("source").orderBy(F.array_contains(path_words, "news").desc(), "pos")
     return kept.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
 

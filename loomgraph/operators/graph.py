@@ -128,13 +128,22 @@ def domain_scores(nodes: DataFrame, scores: DataFrame) -> DataFrame:
     return nodes.join(scores, "id", "left").groupBy("domain").agg(F.avg(F.coalesce("x", F.lit(0.0))).alias("score")).filter("score > 0")
 
 
-def resolve_redirects(redirects: DataFrame, rounds: int = 5) -> DataFrame:
-    """(src, dst): redirects(src, dst) followed for up to `rounds` simultaneous rounds."""
-    now = redirects
-    hop = redirects.select(F.col("src").alias("via"), F.col("dst").alias("next"))
-    for _ in range(rounds):
-        now = now.join(hop, (F.col("dst") == F.col("via")) & (F.col("src") != F.col("next")), "left").select("src", F.coalesce("next", "dst").alias("dst"))
-    return now
+def resolve_redirects(urls: DataFrame, rounds: int = 5) -> DataFrame:
+    """(id, doc, target, changed): every URL that redirects, with its target's document; urls(id, target, doc).
+
+    In each round all take the document that their target had before it, so a document travels one redirect a round;
+    a target without a document changes nothing.  `changed` is the round of the last change, null for none: the log
+    of decisions.
+    """
+    state = urls.select("id", "target", "doc", F.lit(None).cast("int").alias("changed"))
+    for k in range(1, rounds + 1):
+        of = state.filter("doc IS NOT NULL").select(F.col("id").alias("_id"), F.col("doc").alias("_doc"))
+        differs = F.col("_doc").isNotNull() & ~F.col("doc").eqNullSafe(F.col("_doc"))
+        joined = state.join(of, F.col("target") == F.col("_id"), "left")
+        state = written(joined.select("id", "target", F.coalesce("_doc", "doc").alias("doc"), F.when(differs, k).otherwise(F.col("changed")).alias("changed")), "redirects")
+        if not state.filter(F.col("changed") == k).head(1):
+            break
+    return state.filter("target IS NOT NULL").select("id", "doc", "target", "changed")
 
 
 def domain_adjacency(edges: DataFrame, nodes: DataFrame) -> DataFrame:

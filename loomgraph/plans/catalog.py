@@ -340,12 +340,14 @@ def graph_adjacent(spark, d):
     return candidates.graph_adjacent(docs, reached, ppr, A.tags(spark, d), 30).select("user", "doc")
 
 
-@query("redirect_resolution", """WITH n AS (SELECT n_nationkey AS src, min(b) AS dst FROM (SELECT a.n_nationkey, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND b.n_nationkey > a.n_nationkey) GROUP BY 1)
-SELECT src, (SELECT max(n_nationkey) FROM nation c WHERE c.n_regionkey = (SELECT n_regionkey FROM nation e WHERE e.n_nationkey = src)) AS dst FROM n""")
+@query("redirect_resolution", """WITH r0 AS (SELECT o_orderkey AS id, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS target, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END AS doc FROM orders)
+, r1 AS (SELECT s.id, s.target, coalesce(t.doc, s.doc) AS doc FROM r0 s LEFT JOIN r0 t ON t.id = s.target), r2 AS (SELECT s.id, s.target, coalesce(t.doc, s.doc) AS doc FROM r1 s LEFT JOIN r1 t ON t.id = s.target), r3 AS (SELECT s.id, s.target, coalesce(t.doc, s.doc) AS doc FROM r2 s LEFT JOIN r2 t ON t.id = s.target), r4 AS (SELECT s.id, s.target, coalesce(t.doc, s.doc) AS doc FROM r3 s LEFT JOIN r3 t ON t.id = s.target), r5 AS (SELECT s.id, s.target, coalesce(t.doc, s.doc) AS doc FROM r4 s LEFT JOIN r4 t ON t.id = s.target)
+SELECT id, doc FROM r5 WHERE target IS NOT NULL""")
 def redirect_resolution(spark, d):
-    n = A.table(spark, d, "nation").select(F.col("n_nationkey").alias("src"), F.col("n_regionkey").alias("r"))
-    nxt = n.join(n.select(F.col("src").alias("dst"), F.col("r").alias("r2")), (F.col("r") == F.col("r2")) & (F.col("dst") > F.col("src"))).groupBy("src").agg(F.min("dst").alias("dst"))
-    return graph.resolve_redirects(nxt)
+    """Each order redirects to its customer's next one; a third of them have documents."""
+    after = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    urls = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), after.alias("target"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey")).alias("doc"))
+    return graph.resolve_redirects(urls).select("id", "doc")
 
 
 def _entries(spark, d):
@@ -415,7 +417,8 @@ def record_fetch(spark, d):
 
 # ---- URLs, pages, text -----------------------------------------------------------------------------------------
 
-_HOST = r"lower(regexp_extract(url, '^https?://([^/?#:]*)', 1))"
+# The authority, with any port but the scheme's own.
+_HOST = r"regexp_replace(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://(?:[^/?#@]*@)?([^/?#]*)', 1)), CASE WHEN url ILIKE 'https:%' THEN ':443$' WHEN url ILIKE 'http:%' THEN ':80$' ELSE '^$' END, ''), ':$', '')"
 
 
 @query("url_host", f"SELECT page_id, {_HOST} AS host FROM pages")
@@ -481,7 +484,10 @@ def page_classification(spark, d):
     return p.select("page_id", kind["type"].alias("type"), kind["classifier"].alias("classifier"))
 
 
-_FLAT = r"trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))"
+# White space as Unicode has it, and U+001C-U+001F.
+_SPACES = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_WORD = _SPACES.replace("[", "[^", 1)
+_FLAT = rf"trim(regexp_replace(text, '{_SPACES}+', ' ', 'g'))"
 
 
 @query("text_normalize", r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t\x0B\f\r]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')[:200000] AS text FROM documents""")
@@ -489,7 +495,7 @@ def text_normalize(spark, d):
     return A.table(spark, d, "documents").select("doc_id", text.normalize(F.col("text")).alias("text"))
 
 
-@query("text_excerpt", rf"""WITH f AS (SELECT doc_id, {_FLAT} AS t FROM documents) SELECT doc_id, CASE WHEN length(t) <= 300 THEN t ELSE regexp_replace(regexp_replace(t[:300], '[^ ]*$', ''), '[ ,;:.]+$', '') || '…' END AS excerpt FROM f""")
+@query("text_excerpt", rf"""WITH f AS (SELECT doc_id, {_FLAT} AS t FROM documents) SELECT doc_id, CASE WHEN length(t) <= 300 THEN t ELSE regexp_replace(CASE WHEN contains(t[:300], ' ') THEN t[: 300 - strpos(reverse(t[:300]), ' ')] ELSE t[:300] END, '[ ,;:.]+$', '') || '…' END AS excerpt FROM f""")
 def text_excerpt(spark, d):
     return A.table(spark, d, "documents").select("doc_id", text.excerpt(F.col("text")).alias("excerpt"))
 
@@ -499,15 +505,21 @@ def word_count(spark, d):
     return A.table(spark, d, "documents").select("doc_id", text.word_count(F.col("text")).alias("words"))
 
 
-@query("truncate_words", r"""SELECT doc_id, CASE WHEN length(text) <= 200 THEN text WHEN regexp_matches(text[201:201], '^\S') AND regexp_matches(text[:200], '\s') THEN regexp_replace(text[:200], '\s+\S*$', '') ELSE text[:200] END AS head FROM documents""")
+@query("truncate_words", rf"""SELECT doc_id, CASE WHEN length(text) <= 200 THEN text ELSE regexp_replace(CASE WHEN regexp_matches(text[201:201], '{_WORD}') AND regexp_matches(text[:200], '{_WORD}{_SPACES}+{_WORD}*\n?\z') THEN regexp_replace(text[:200], '{_SPACES}+{_WORD}*\n?\z', '') ELSE text[:200] END, '{_SPACES}+\z', '') END AS head FROM documents""")
 def truncate_words(spark, d):
     return A.table(spark, d, "documents").select("doc_id", text.truncate_words(F.col("text"), 200).alias("head"))
 
 
-@query("embedding_input")
+@query("embedding_input", rf"""WITH f AS (SELECT doc_id, text, {_FLAT} AS t FROM documents), e AS (
+SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN length(t) <= 300 THEN t ELSE regexp_replace(CASE WHEN contains(t[:300], ' ') THEN t[: 300 - strpos(reverse(t[:300]), ' ')] ELSE t[:300] END, '[ ,;:.]+$', '') || '…' END ELSE 'A summary of ' || doc_id || '.' END AS s FROM f), p AS (
+SELECT doc_id, list_transform([' Document ' || doc_id, CASE WHEN coalesce(length(text), 0) = 0 OR NOT starts_with(trim(regexp_replace(text[: 2 * length(s)], '{_SPACES}+', ' ', 'g')), trim(regexp_replace(regexp_replace(s, '…$', ''), '{_SPACES}+', ' ', 'g'))) THEN s END,
+CASE WHEN length(text) <= 2000 THEN text ELSE regexp_replace(CASE WHEN regexp_matches(text[2001:2001], '{_WORD}') AND regexp_matches(text[:2000], '{_WORD}{_SPACES}+{_WORD}*\n?\z') THEN regexp_replace(text[:2000], '{_SPACES}+{_WORD}*\n?\z', '') ELSE text[:2000] END, '{_SPACES}+\z', '') END], lambda x: regexp_replace(regexp_replace(x, '^{_SPACES}+', ''), '{_SPACES}+\z', '')) AS parts FROM e)
+SELECT doc_id, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10) || chr(10)) AS input, sha256(array_to_string(list_filter(parts, lambda x: x <> ''), chr(10) || chr(10))) AS input_hash FROM p""")
 def embedding_input(spark, d):
+    """Even documents have an excerpt of their own text as summary, odd ones another."""
     t = F.col("text")
-    value = text.embedding_input(F.concat(F.lit("Document "), F.col("doc_id").cast("string")), text.excerpt(t), t)
+    summary = F.when(F.col("doc_id") % 2 == 0, text.excerpt(t)).otherwise(F.concat(F.lit("A summary of "), F.col("doc_id").cast("string"), F.lit(".")))
+    value = text.embedding_input(F.concat(F.lit(" Document "), F.col("doc_id").cast("string")), summary, t)
     return A.table(spark, d, "documents").select("doc_id", value.alias("input"), F.sha2(value, 256).alias("input_hash"))
 
 
@@ -738,7 +750,7 @@ def domains_exhausted(spark, d):
 @query("sitemap_order", """SELECT doc_id, rank::BIGINT AS rank FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY (doc_id % 3 = 0) DESC, doc_id) AS rank FROM documents WHERE doc_id % 5 <> 0) WHERE rank <= 10""")
 def sitemap_order(spark, d):
     """Sitemap files of each source without those of a skipped word, news ones first, ten at most."""
-    name = F.concat(F.lit("https://s/"), F.when(F.col("doc_id") % 5 == 0, "archive-").otherwise(""), F.when(F.col("doc_id") % 3 == 0, "news-").otherwise("map-"), F.col("doc_id").cast("string"), F.lit(".xml"))
+    name = F.concat(F.lit("https://s/"), F.when(F.col("doc_id") % 5 == 0, "archive-").otherwise(""), F.when(F.col("doc_id") % 3 == 0, "news-").otherwise("newsletter-"), F.col("doc_id").cast("string"), F.lit(".xml"))
     files = A.table(spark, d, "documents").select("doc_id", "source", F.col("doc_id").alias("pos"), name.alias("url"))
     return crawl.sitemap_files(files, ["archive"], url.path_words(F.col("url")), 10).select("doc_id", F.col("rank").cast("long").alias("rank"))
 

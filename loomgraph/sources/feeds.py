@@ -35,7 +35,18 @@ def w3c_time(text: str | None) -> datetime | None:
             at = parsedate_to_datetime(text)
         except (ValueError, TypeError):
             return None
-    return at.replace(tzinfo=UTC) if at.tzinfo is None else at.astimezone(UTC)
+    try:
+        return at.replace(tzinfo=UTC) if at.tzinfo is None else at.astimezone(UTC)
+    except OverflowError:  # before year 1 or after 9999 in UTC
+        return None
+
+
+def joined(base: str | None, link: str) -> str | None:
+    """link made absolute; None if it is malformed."""
+    try:
+        return urljoin(base or "", link)
+    except ValueError:
+        return None
 
 
 def _tree(body: bytes) -> ET.Element | None:
@@ -43,7 +54,7 @@ def _tree(body: bytes) -> ET.Element | None:
         return None  # no document types, so no entity bombs
     try:
         return ET.fromstring(body.strip())
-    except ET.ParseError:
+    except (ET.ParseError, ValueError, LookupError):  # broken, or in an unknown encoding
         return None
 
 
@@ -63,8 +74,8 @@ def parse_feed(body: bytes | None, base: str) -> list[tuple]:
             continue
         href = next((x.get("href") for x in e if _local(x) == "link" and x.get("href") and x.get("rel", "alternate") == "alternate"), None)
         link = href or _text(e, "link", "guid", "id")
-        if link:
-            out.append((urljoin(base, link), w3c_time(_text(e, "pubdate", "published", "date")), w3c_time(_text(e, "updated", "modified"))))
+        if link and (link := joined(base, link)):
+            out.append((link, w3c_time(_text(e, "pubdate", "published", "date")), w3c_time(_text(e, "updated", "modified"))))
     return out
 
 
@@ -76,7 +87,7 @@ def parse_sitemap(body: bytes | None, base: str, most: int = 50_000_000) -> tupl
     root = _tree(body)
     if root is None or _local(root) not in ("urlset", "sitemapindex"):
         return None
-    rows = [(urljoin(base, loc), w3c_time(_text(e, "publication_date")), w3c_time(_text(e, "lastmod"))) for e in root if (loc := _text(e, "loc"))]
+    rows = [(at, w3c_time(_text(e, "publication_date")), w3c_time(_text(e, "lastmod"))) for e in root if (loc := _text(e, "loc")) and (at := joined(base, loc))]
     return _local(root) == "sitemapindex", rows
 
 

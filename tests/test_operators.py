@@ -79,8 +79,10 @@ def test_stored_and_resolved_links(spark):
     links = spark.createDataFrame([(0, 10), (0, 12), (0, 10), (0, 99), (1, 12), (1, 11)], "src long, dst_url long")
     urls = spark.createDataFrame([(10, 1), (11, 1), (12, 2), (99, None)], "url_id long, document_id long")
     assert values(graph.document_edges(links, urls), "src", "dst") == [(0, 1), (0, 2), (1, 2)]
-    hops = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (8, 9), (9, 8)], "src long, dst long")
-    assert values(graph.resolve_redirects(hops), "src", "dst")[:3] == [(1, 4), (2, 4), (3, 4)]
+    chain = [(k, k + 1, None) for k in range(8)] + [(8, None, "d8"), (20, 21, "own"), (21, None, None), (30, 31, None), (31, 30, "d31")]
+    urls = spark.createDataFrame(chain, "id long, target long, doc string")
+    got = {r.id: r.doc for r in graph.resolve_redirects(urls).collect()}
+    assert got == {0: None, 1: None, 2: None, **{k: "d8" for k in range(3, 8)}, 20: "own", 30: "d31", 31: "d31"}  # five rounds; no document, no change
 
 
 def test_reach_paths(spark):
@@ -254,7 +256,8 @@ def test_profiles(spark):
 @pytest.mark.parametrize("raw, want", [
     ("HTTP://WWW.Example.com:80/a/./b/../c%7e?b=2&utm_x=1&a=1#z", "http://www.example.com/a/c~?a=1&b=2"), ("https://ex.com", "https://ex.com/"), ("https://ex.com.:443/?", "https://ex.com/"), ("ftp://x/", None),
     ("http://u:p@x/", None), ("http://x:99999/", None), ("http://x/%zz?q=%2f", "http://x/%25zz?q=%2F"), ("http://bücher.de/ü", "http://xn--bcher-kva.de/%C3%BC"), ("http://[::1]:8080/", "http://[::1]:8080/"),
-    ("http://x/a?b=2&b=1&REF=q", "http://x/a?b=2&b=1"), ("http://x/..", "http://x/"), (None, None), ("", None), ("http:///x", None),
+    ("http://x/a?b=2&b=1&REF=q", "http://x/a?b=2&b=1"), ("http://x/?utm%5Fsource=1&a=%7e", "http://x/?a=~"), ('http://x/a|b"<>^{}[]?q=[1]|"', "http://x/a%7Cb%22%3C%3E%5E%7B%7D%5B%5D?q=%5B1%5D%7C%22"),
+    ("http://a..com/", None), (f"http://{'a' * 70}.com/", None), ("http://x/a b?c d=e+f", "http://x/a%20b?c%20d=e+f"), ("http://x/..", "http://x/"), (None, None), ("", None), ("http:///x", None),
 ])
 def test_canonical_urls(raw, want):
     assert url.canonicalize_one(raw) == want
@@ -263,8 +266,8 @@ def test_canonical_urls(raw, want):
 
 def test_url_columns(spark):
     assert one(spark, url.has_segment(F.lit("http://x/Login2/y?z"))) and not one(spark, url.has_segment(F.lit("http://x/blog?login")))
-    assert one(spark, url.same_site(F.lit("http://www.x.org/"), F.lit("https://X.org:1/a")))
-    assert one(spark, url.registrable(F.lit("a.b.co.uk"), ["uk", "co.uk"])) == "b.co.uk"
+    assert one(spark, url.same_site(F.lit("http://www.x.org/"), F.lit("https://X.org:443/a"))) and not one(spark, url.same_site(F.lit("http://x.org/"), F.lit("https://x.org:1/a")))
+    assert one(spark, url.host(F.lit("http://u:p@X.org:8080/a"))) == "x.org:8080" and one(spark, url.origin(F.lit("HTTP://X.org:80/a"))) == "http://x.org"
     kinds = {"https://arxiv.org/abs/1": "paper", "http://a.gov/x/reports/y": "paper", "https://news.ycombinator.com/item?id=1": "thread", "https://youtu.be/x": "video", "http://x.org/a": None}
     for u, k in kinds.items():
         assert one(spark, url.type_of_url(F.lit(u))) == k
