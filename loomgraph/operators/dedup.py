@@ -33,6 +33,7 @@ def decide(documents: DataFrame, canonical: DataFrame, cfg: Config = DEFAULT, st
     URL comes before the content hash.
     """
     if strategies is None:
+        documents = written(documents.select("doc", "canonical_url", "content_hash", "words"), "dedup-keys")  # texts are hashed once
         strategies = {"canonical_url": by_canonical_url(documents, canonical), "content_hash": by_content_hash(documents, cfg)}
     rows, found = documents, F.lit(None).cast("struct<target:bigint,method:string,confidence:double>")
     for k, (name, match) in enumerate(strategies.items()):
@@ -43,6 +44,11 @@ def decide(documents: DataFrame, canonical: DataFrame, cfg: Config = DEFAULT, st
     return rows.select("doc", F.coalesce(found, none).alias("m")).select("doc", "m.target", "m.method", "m.confidence")
 
 
+def decision_log(decisions: DataFrame) -> DataFrame:
+    """(doc, target, method, confidence) of the decisions that joined a document to another."""
+    return decisions.filter("method <> 'new'").select("doc", "target", "method", "confidence")
+
+
 def content_sources(pages: DataFrame, documents: DataFrame, urls: DataFrame) -> DataFrame:
     """pages(url_id, canonical_id, document) with `is_source`: whether the page's content updates its document.  It does
     if it is the document's canonical URL, or declares it while that URL was never fetched.

@@ -83,6 +83,15 @@ def priorities(links: DataFrame, scores: DataFrame, urls: DataFrame, cfg: Config
     return urls.join(mass, F.col("url_id") == F.col("u"), "left").select("url_id", (F.coalesce("mass", F.lit(0.0)) + cfg.prior_weight * F.col("prior")).alias("priority"))
 
 
+def plannable(entries: DataFrame, now: Column, cycle: int | None = None, excluded: DataFrame | None = None) -> DataFrame:
+    """Entries that may be planned: due (next_fetch_at null or past), not planned for a cycle (other than `cycle`), and
+    not on a domain of excluded(domain)."""
+    due = F.col("next_fetch_at").isNull() | (F.col("next_fetch_at") <= now)
+    free = F.col("cycle_id").isNull() if cycle is None else F.col("cycle_id").isNull() | (F.col("cycle_id") == cycle)
+    rows = entries.filter(due & free)
+    return rows if excluded is None else rows.join(excluded.select("domain").distinct(), "domain", "left_anti")
+
+
 def plan(entries: DataFrame, rooms: DataFrame, limit: int, reason: str = "new") -> DataFrame:
     """The `limit` best entries within each domain's room: entries(url_id, domain, priority, enqueued_at[,
     change_count, fetch_count, last_fetched_at]), rooms(domain, room)."""
@@ -91,7 +100,7 @@ def plan(entries: DataFrame, rooms: DataFrame, limit: int, reason: str = "new")
     else:
         rate = F.col("change_count") / F.greatest("fetch_count", F.lit(1))
         order = [rate.desc(), F.desc("priority"), F.col("last_fetched_at").asc_nulls_first(), F.col("url_id")]
-    ranked = entries.withColumn("r", F.row_number().over(Window.partitionBy("domain").orderBy(*order)))
+    ranked = entries.withColumn("r", F.row_number().over(Window.partitionBy("domain").orderBy(*order))).filter(F.col("r") <= limit)  # before the shuffle too
     return ranked.join(rooms, "domain").filter(F.col("r") <= F.col("room")).orderBy(*order).limit(limit).drop("r", "room")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.config import DEFAULT, Config
-from loomgraph.storage import written
+from loomgraph.storage import remove, written, written_at
 
 
 def document_edges(links: DataFrame, urls: DataFrame) -> DataFrame:
@@ -65,18 +65,23 @@ def by_surfer(edges: DataFrame, seeds: DataFrame, cfg: Config, iterations: int |
     The change of a step shrinks with every step, so all surfers are done after the most steps that one needs.
     """
     table = edges.toArrow()
-    shared = edges.sparkSession.sparkContext.broadcast((table.column("src").to_numpy(), table.column("dst").to_numpy()))
+    ids, at = np.unique(np.concatenate([table.column("src").to_numpy(), table.column("dst").to_numpy()]), return_inverse=True)
+    s, t = at[: table.num_rows], at[table.num_rows :]
+    degree = np.bincount(s, minlength=len(ids))
+    shared = edges.sparkSession.sparkContext.broadcast((ids, s, t, 1.0 / degree[s], degree == 0))  # indexed once for all surfers
     d, tolerance = cfg.damping, cfg.tolerance
 
     def solve(pdf: pd.DataFrame, steps: int | None) -> tuple[np.ndarray, np.ndarray, int]:
-        src, dst = shared.value
-        ids, at = np.unique(np.concatenate([src, dst, pdf["id"].to_numpy()]), return_inverse=True)
-        s, t, seed = at[: len(src)], at[len(src) : 2 * len(src)], at[2 * len(src) :]
-        degree = np.bincount(s, minlength=len(ids))
-        p = np.bincount(seed, weights=pdf["p"].to_numpy(), minlength=len(ids))
-        x, weight, k = p.copy(), 1.0 / degree[s], 0
+        ids, s, t, weight, stuck = shared.value
+        seeds = pdf["id"].to_numpy()
+        ids = np.concatenate([ids, np.setdiff1d(seeds, ids)])  # nodes without links come behind
+        stuck = np.concatenate([stuck, np.ones(len(ids) - len(stuck), bool)])
+        order = np.argsort(ids, kind="stable")
+        at = order[np.searchsorted(ids, seeds, sorter=order)]
+        p = np.bincount(at, weights=pdf["p"].to_numpy(), minlength=len(ids))
+        x, k = p.copy(), 0
         while k < (steps or cfg.max_iterations):
-            after = d * np.bincount(t, weights=x[s] * weight, minlength=len(ids)) + (d * x[degree == 0].sum() + 1 - d) * p
+            after = d * np.bincount(t, weights=x[s] * weight, minlength=len(ids)) + (d * x[stuck].sum() + 1 - d) * p
             change, x, k = np.abs(after - x).sum(), after, k + 1
             if steps is None and change <= tolerance:
                 break
@@ -97,23 +102,25 @@ def by_surfer(edges: DataFrame, seeds: DataFrame, cfg: Config, iterations: int |
 
 def by_joins(edges: DataFrame, seeds: DataFrame, cfg: Config, iterations: int | None) -> tuple[DataFrame, int, bool]:
     """A join per step: one shuffle on src meets the weights, partial sums by (surfer, dst) meet in a second; the
-    dangling mass is one number per surfer.  Every iterate is a written table."""
+    dangling mass is one number per surfer.  Every iterate is a written table, of which the last two are kept."""
     d = cfg.damping
     degree = edges.groupBy("src").agg(F.count("*").alias("n"))
     weights = written(edges.join(degree, "src").select("src", "dst", (1.0 / F.col("n")).alias("w")), "weights")
     sources = weights.select("src").distinct()
-    x = written(seeds.select("surfer", "id", F.col("p").alias("x")), "iterate")
+    x, path = written_at(seeds.select("surfer", "id", F.col("p").alias("x")), "iterate")
     for step in range(1, (iterations or cfg.max_iterations) + 1):
         stuck = x.join(sources, F.col("id") == F.col("src"), "left_anti").groupBy("surfer").agg(F.sum("x").alias("stuck"))
         flow = x.join(weights, F.col("id") == F.col("src")).select("surfer", F.col("dst").alias("id"), (d * F.col("x") * F.col("w")).alias("x"))
         back = seeds.join(stuck, "surfer", "left").select("surfer", "id", ((d * F.coalesce("stuck", F.lit(0.0)) + (1 - d)) * F.col("p")).alias("x"))
-        after = written(flow.union(back).groupBy("surfer", "id").agg(F.sum("x").alias("x")), "iterate")
+        after, new_path = written_at(flow.union(back).groupBy("surfer", "id").agg(F.sum("x").alias("x")), "iterate")
         if iterations is None:
             change = after.withColumn("s", F.lit(1.0)).union(x.withColumn("s", F.lit(-1.0))).groupBy("surfer", "id").agg(F.sum(F.col("x") * F.col("s")).alias("delta"))
             worst = change.groupBy("surfer").agg(F.sum(F.abs("delta")).alias("l1")).agg(F.max("l1")).first()[0]
             if worst is None or worst <= cfg.tolerance:
+                remove(edges.sparkSession, path)
                 return after, step, True
-        x = after
+        remove(edges.sparkSession, path)
+        x, path = after, new_path
     return x, iterations or cfg.max_iterations, iterations is not None
 
 

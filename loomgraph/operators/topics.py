@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.config import DEFAULT, Config
-from loomgraph.functions import vector
 
 MOST_TIERS = 4
 
@@ -51,18 +52,53 @@ def adjacent(topics: DataFrame, interests: DataFrame) -> DataFrame:
     return free.withColumn("r", rank).filter("r = 1").select("user", "topic", "shown", "interest")
 
 
+#: Topics whose unit vectors travel to the tasks at a time.
+TOPIC_BLOCK = 4096
+
+
 def tag_documents(documents: DataFrame, topics: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """(doc, topic, score): each document's nearest topics by cosine, those over the floor and near the best.
 
-    documents(doc, embedding), topics(topic, embedding).  The taxonomy (hundreds of rows) meets every document; the
-    top few per document need no shuffle, as they are picked inside the row.
+    documents(doc, embedding), topics(topic, embedding).  Both are scaled to unit length once and multiplied as
+    matrices, a block of topics at a time; a block's best few of a document need no shuffle, and blocks beyond the
+    first meet in one.  Cosines that agree to 12 digits are ties, which go to the lesser topic.
     """
-    listed = topics.groupBy().agg(F.collect_list(F.struct("topic", "embedding")).alias("all"))
-    scored = F.transform("all", lambda t: F.struct((-F.coalesce(vector.cosine(F.col("embedding"), t["embedding"]), F.lit(-1.0))).alias("k"), t["topic"].alias("topic")))
-    nearest = documents.crossJoin(F.broadcast(listed)).select("doc", F.slice(F.array_sort(scored), 1, cfg.tags_per_document).alias("near"))  # one row
-    best = nearest.withColumn("best", -F.element_at("near", 1)["k"]).select("doc", "best", F.explode("near").alias("n"))
-    score = -F.col("n.k")
-    return best.filter((score >= cfg.tag_floor) & (score >= F.col("best") - cfg.tag_gap)).select("doc", "n.topic", score.alias("score"))
+    n, kind = cfg.tags_per_document, documents.schema["doc"].dataType.simpleString()
+    listed = topics.select("topic", F.col("embedding").cast("array<double>").alias("embedding")).orderBy("topic").toArrow()  # the taxonomy, in blocks
+    out = None
+    for at in range(0, max(listed.num_rows, 1), TOPIC_BLOCK):
+        part = listed.slice(at, TOPIC_BLOCK)
+        shared = documents.sparkSession.sparkContext.broadcast((part.column("topic").to_numpy(), _units(part.column("embedding"))))
+
+        def best(batches, shared=shared):
+            ids, vectors = shared.value
+            for batch in batches:
+                for a in range(0, batch.num_rows, 4096):
+                    rows = batch.slice(a, 4096)
+                    own = _units(rows.column("embedding"))
+                    score = np.full((len(own), len(ids)), -1.0)
+                    for d in {x.shape for x in own if x is not None} & {x.shape for x in vectors if x is not None}:
+                        i, j = ([k for k, x in enumerate(xs) if x is not None and x.shape == d] for xs in (own, vectors))
+                        score[np.ix_(i, j)] = np.stack([own[k] for k in i]) @ np.stack([vectors[k] for k in j]).T
+                    top = np.argsort(-np.round(score, 12), axis=1, kind="stable")[:, :n]
+                    yield pa.RecordBatch.from_arrays([rows.column("doc").take(pa.array(np.repeat(np.arange(len(own)), top.shape[1]))), pa.array(ids[top].ravel()), pa.array(np.take_along_axis(score, top, 1).ravel()), pa.array(np.repeat(score.max(1, initial=-1.0), top.shape[1]))], names=["doc", "topic", "score", "best"])
+
+        found = documents.select("doc", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(best, f"doc {kind}, topic long, score double, best double")
+        out = found if out is None else out.union(found)
+    if listed.num_rows > TOPIC_BLOCK:
+        by = Window.partitionBy("doc").orderBy(F.desc(F.round("score", 12)), "topic")
+        out = out.withColumns({"r": F.row_number().over(by), "best": F.max("score").over(Window.partitionBy("doc"))}).filter(F.col("r") <= n)
+    return out.filter((F.col("score") >= cfg.tag_floor) & (F.col("score") >= F.col("best") - cfg.tag_gap)).select("doc", "topic", "score")
+
+
+def _units(vectors) -> list[np.ndarray | None]:
+    """Vectors of unit length; None for null, zero and broken ones."""
+    out = []
+    for x in vectors.to_pylist():
+        x = np.array(x, np.float64) if x and None not in x else None
+        length = np.linalg.norm(x) if x is not None else 0.0
+        out.append(x / length if length > 0 and np.isfinite(length) else None)
+    return out
 
 
 class TaxonomyError(ValueError):

@@ -104,7 +104,7 @@ SQL = {
     "nodes": "nodes AS (SELECT p_partkey AS id, p_brand AS domain FROM part)",
     "links": "links AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst_url FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey % 10 <> 0)",
     "edges": "edges AS (SELECT src, dst_url AS dst FROM links WHERE src <> dst_url)",
-    "pins": "pins AS (SELECT * FROM (SELECT DISTINCT regexp_extract(domain, '([0-9]+)$', 1)::BIGINT % 25 AS surfer, domain FROM nodes) WHERE surfer < 4)",
+    "pins": "pins AS (SELECT DISTINCT regexp_extract(domain, '([0-9]+)$', 1)::BIGINT % 25 AS surfer, domain FROM nodes)",
     "seeds": "seeds AS (SELECT surfer, id, 1.0::DOUBLE / (nd * docs) AS p FROM (SELECT surfer, domain, count(*) OVER (PARTITION BY surfer) AS nd FROM pins) JOIN (SELECT domain, count(*) AS docs FROM nodes GROUP BY 1) USING (domain) JOIN nodes USING (domain))",
     "topics": "topics AS (SELECT r_regionkey + 100 AS topic, NULL::BIGINT AS parent FROM region UNION ALL SELECT n_nationkey, n_regionkey + 100 FROM nation)",
     "interests": f"interests AS (SELECT * FROM (VALUES {_INTEREST}) t(u, topic, weight))",

@@ -60,7 +60,7 @@ s AS (SELECT doc, CASE WHEN max(qc) OVER () > min(qc) OVER () THEN (qc - min(qc)
 SELECT doc, round(5.0 * c_query + 0.5 * rec, 9) AS score FROM s ORDER BY 5.0 * c_query + 0.5 * rec DESC, doc LIMIT 20"""))
 def search_scored(spark, d):
     """Search of one user: nearest documents past the hard filters, scored with the query's weight."""
-    near = candidates.nearest(A.embeddings(spark, d), query_vector(spark, d), 0, 1 << 30)
+    near = candidates.similar(A.embeddings(spark, d), query_vector(spark, d))
     pairs = near.join(A.corpus(spark, d), "doc").select(F.lit(1).cast("long").alias("user"), "doc", "domain", "type", "cosine", "at")
     ev = A.with_domain(A.events(spark, d), A.corpus(spark, d))
     kept = candidates.hard_filtered(pairs, ev, seen=False, types=A.TYPES[:-1]).orderBy(F.desc("cosine"), "doc").limit(500)
@@ -107,7 +107,7 @@ def _best_of_all(spark, d, kind):
     return profiles.best_of_all(e, fb.filter(F.col("kind") == kind).join(e, "doc"))
 
 
-_NEAR = "cand AS (SELECT doc, e AS ce FROM emb WHERE doc >= 100), fb AS (SELECT u, doc, kind, e FROM (SELECT *, row_number() OVER (PARTITION BY u, doc ORDER BY tm DESC, event_id DESC) AS r FROM ev WHERE kind IN ('like', 'hide')) JOIN emb USING (doc) WHERE r = 1 AND u < 5)"
+_NEAR = "cand AS (SELECT doc, e AS ce FROM emb), fb AS (SELECT u, doc, kind, e FROM (SELECT *, row_number() OVER (PARTITION BY u, doc ORDER BY tm DESC, event_id DESC) AS r FROM ev WHERE kind IN ('like', 'hide')) JOIN emb USING (doc) WHERE r = 1)"
 
 
 @query("nearest_liked", A.sql("ev emb", f"""{_NEAR} SELECT "user", doc, liked, round(c, 9) AS cosine FROM (SELECT u AS "user", cand.doc, fb.doc AS liked, list_cosine_similarity(ce, e) AS c, row_number() OVER (PARTITION BY u, cand.doc ORDER BY list_cosine_similarity(ce, e) DESC, fb.doc) AS r FROM cand, fb WHERE kind = 'like') WHERE r = 1"""))
@@ -132,7 +132,7 @@ def _hard_filtered(spark, d, seen):
     return candidates.all_filtered(docs.select("doc", "domain", "type"), users, A.with_domain(ev, docs), seen=seen, types=A.TYPES[:-1])
 
 
-_PAIRS = "pairs AS (SELECT doc, domain, type, u FROM corpus, (SELECT unnest(generate_series(0, 9)) AS u) WHERE doc < 100)"
+_PAIRS = "pairs AS (SELECT doc, domain, type, u FROM corpus, (SELECT DISTINCT user_id AS u FROM events WHERE user_id IS NOT NULL))"
 
 
 @query("hard_filters_feed", A.sql("corpus ev evd", f"""{_PAIRS}, {_SHOWN.format(n=3)}

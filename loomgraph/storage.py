@@ -22,8 +22,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table: cuts the lineage and survives lost executors."""
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a written table, which cuts the lineage and survives lost executors; with its path, for `remove`."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A written table that stays as long as the result that reads it."""
+    return written_at(df, name)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
