@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.operators import graph, preferences, serving
+from loomgraph.storage import written
+
 TYPES = ["article", "post", "thread", "paper", "pdf", "video", "page"]
 KINDS = {"view": "impression", "click": "click", "purchase": "like", "error": "hide", "signup": "why_open"}
 NOW = "2024-03-01 00:00:00"
@@ -92,6 +95,26 @@ def tags(spark: SparkSession, d: str) -> DataFrame:
     return one.union(docs.select("doc", ((F.col("doc") * 7 + 12) % 25).alias("topic"), ((F.col("doc") % 5 + 1) / 6.0).alias("score"))).groupBy("doc", "topic").agg(F.max("score").alias("score"))
 
 
+def serving_context(spark: SparkSession, d: str):
+    """The serving context of the users who have interests: documents with links derived from their ids, PageRank from
+    each user's pinned sources, and profile vectors of interests, likes and hides."""
+    docs = corpus(spark, d)
+    nodes_ = docs.select(F.col("doc").alias("id"), "domain")
+    to = [(F.col("id") * a + b) % m for a, b, m in ((7, 3, 997), (3, 1, 499))]
+    links = nodes_.select(F.col("id").alias("src"), F.explode(F.array(*to)).alias("dst")).join(nodes_.select(F.col("id").alias("dst")), "dst", "left_semi").filter("src <> dst").distinct()
+    mine = interests(spark, d)
+    own = [f"(CAST({u} AS BIGINT), 'src{(2 * u + k) % 8}')" for u in range(5) for k in range(2)]
+    pinned = spark.sql(f"SELECT * FROM VALUES {', '.join(own)} AS t(user, domain)")
+    seeds = graph.seed_vectors(nodes_, pinned.select(F.col("user").alias("surfer"), "domain"))
+    ppr = written(graph.top_scores(graph.pagerank(nodes_, links, seeds, iterations=10)[0]).select(F.col("surfer").alias("user"), F.col("id").alias("doc"), F.col("x").alias("ppr")), "ppr")
+    settings = spark.createDataFrame([], "user long, preset string, weights map<string,double>, exploration double, split map<string,string>, types array<string>, summaries boolean")
+    vectors = embeddings(spark, d)
+    return serving.context(
+        now(), vectors.withColumnRenamed("doc", "topic"), users=preferences.resolved(mine.select("user").distinct(), settings, TYPES), documents=docs.select("doc", "domain", "type", F.when(F.col("doc") % 4 != 0, F.col("at")).alias("published"), F.col("at").alias("created"), F.concat(F.lit("Document "), F.col("doc").cast("string")).alias("title")),
+        embeddings=vectors, topics=topic_names(spark, d), interests=mine, tags=tags(spark, d), pins=pinned, ppr=ppr, links=links, events=with_domain(events(spark, d), docs),
+    )
+
+
 _CASE = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in KINDS.items())
 _TYPE = " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(TYPES))
 _INTEREST = ", ".join(f"({u}, {t}, {w})" for u in range(5) for t, w in ((u, "2.0::DOUBLE"), (100 + (u + 1) % 5, "1.0::DOUBLE"), ((u * 7 + 3) % 25, "0.5::DOUBLE")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 from loomgraph.functions import measures, text, url, vector
-from loomgraph.operators import candidates, crawl, dedup, embedding, extract, frontier, graph, metrics, preferences, profiles, ranking
+from loomgraph.operators import candidates, crawl, dedup, embedding, extract, frontier, graph, metrics, preferences, profiles, ranking, serving
 from loomgraph.operators import topics as topic_ops
 
 from . import adapters as A
@@ -608,6 +608,25 @@ def why_reasons(spark, d):
     return ranking.reasons(ranking.reason_texts(evidence)).select("user", "doc", F.to_json("reasons").alias("reasons"), ranking.breakdown(evidence).alias("breakdown"))
 
 
+_NO_PAGES = "recommendation_id long, user long, doc long, surface string, query string"
+
+
+def _page(df):
+    return df.select("recommendation_id", "user", "position", "slice", "doc", F.round("score", 9).alias("score"), F.to_json("reasons").alias("reasons"), "breakdown", "cursor")
+
+
+@query("feed_served")
+def feed_served(spark, d):
+    """The first feed page of every user with interests, from the sources to the stored breakdown."""
+    return _page(serving.feed(A.serving_context(spark, d), A.now(), spark.createDataFrame([], _NO_PAGES)))
+
+
+@query("search_served")
+def search_served(spark, d):
+    """The first page of a search of every user with interests."""
+    return _page(serving.search(A.serving_context(spark, d), A.now(), "query", query_vector(spark, d), spark.createDataFrame([], _NO_PAGES)))
+
+
 # ---- metrics and spend -----------------------------------------------------------------------------------------
 
 
