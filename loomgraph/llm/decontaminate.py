@@ -1,12 +1,14 @@
 """Benchmark decontamination with a broadcast hash set of normalised test n-grams; DataFrame functions only.
 
-The benchmark's windows of 13 words form a small table: broadcast after its size is checked, joined by a shuffle
-beyond that.  Every position of every document looks up its first few words (`lead` words, as many as the
+The benchmark's windows of 13 words form a small table: broadcast after its bytes are counted.  Beyond MOST_BROADCAST
+bytes the windows are joined by a shuffle of the positions that their first words let through; their first words, at 16
+bytes each, are broadcast up to the same bound by themselves, and beyond it every position of every document is joined
+with them by a shuffle.  Every position of every document looks up its first few words (`lead` words, as many as the
 shortest window allows, 3 at most) in the set of leads; this lookup sits in the same generated code as the
 explode, so the words array is never copied for the positions that miss.  Survivors build their whole window and
 verify it by equality with the window text itself, not a hash.  Of each document one row and its hits are shuffled.
 
-Edge cases: null or wordless texts have n_words 0 and no hit; null items have no window; an item with a null id
+Edge cases: very long texts and items are read whole; null or wordless texts have n_words 0 and no hit; null items have no window; an item with a null id
 counts under the id ''; repeated documents or items change nothing; empty tables give empty results or no hits;
 further columns are ignored.
 """
@@ -22,8 +24,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words in a text that still has its capitals.
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
-#: The most benchmark windows (about 100 bytes each) that are broadcast.
-MOST_BROADCAST = 1_000_000
+#: The most bytes of benchmark windows that are broadcast.
+MOST_BROADCAST = 128 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -41,23 +43,27 @@ def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per distinct (doc_id, text): doc_id, text_hash, n_words, spans (array of [start, length)), items."""
     grams, _ = common.written(windows(benchmark, window), "benchmark-windows")
-    found = grams.agg(F.count("*").alias("n"), F.min("len").alias("least"), F.collect_set("len").alias("lens")).first()
+    size = F.octet_length("gram") + F.aggregate("items", F.lit(0), lambda n, x: n + F.octet_length(x) + 16) + 64
+    found = grams.agg(F.count("*").alias("n"), F.sum(size.cast("long")).alias("bytes"), F.min("len").alias("least"), F.collect_set("len").alias("lens")).first()
     lead = min(3, found["least"] or 1)
-    small = (lambda df: F.broadcast(df)) if found["n"] <= MOST_BROADCAST else (lambda df: df)
+
+    def small(df: DataFrame, size: int) -> DataFrame:
+        return F.broadcast(df) if size <= MOST_BROADCAST else df
+
 
     words = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("w"))
     shifted = [F.slice("w", k + 1, 1 << 30).alias(f"w{k}") for k in range(lead)]
     at = words.select("*", F.posexplode_outer(F.arrays_zip(*shifted) if lead > 1 else F.col("w")).alias("pos", "z"))
     parts = [F.col("z")[f"w{k}"] for k in range(lead)] if lead > 1 else [F.col("z")]
     leads = grams.select(F.xxhash64(*(F.element_at(F.split("gram", " "), k + 1) for k in range(lead))).alias("lead_key")).distinct()
-    leads = small(leads.withColumn("led", F.lit(True)))
+    leads = small(leads.withColumn("led", F.lit(True)), 16 * found["n"])
     near = at.withColumn("lead_key", F.xxhash64(*parts)).join(leads, "lead_key", "left").filter("led OR pos IS NULL OR pos = 0")
     lens = F.array(*(F.lit(int(x)) for x in sorted(found["lens"]))) if found["lens"] else F.array(F.lit(window))
     tried = near.select(
         "doc_id", "text_hash", F.size("w").alias("n_words"), "pos",
         F.explode(F.transform(lens, lambda n: F.struct(n.alias("len"), F.when(F.col("led") & (F.col("pos") + n <= F.size("w")), F.array_join(F.slice("w", F.col("pos") + 1, n), " ")).alias("gram")))).alias("t"),
     )
-    checked = tried.select("doc_id", "text_hash", "n_words", "pos", "t.len", "t.gram").join(small(grams.select("gram", "items")), "gram", "left")
+    checked = tried.select("doc_id", "text_hash", "n_words", "pos", "t.len", "t.gram").join(small(grams.select("gram", "items"), found["bytes"] or 0), "gram", "left")
     kept = checked.filter("items IS NOT NULL OR pos IS NULL OR pos = 0")
     span = F.when(F.col("items").isNotNull(), F.struct(F.col("pos").alias("start"), F.col("len")))
     return kept.groupBy("doc_id", "text_hash").agg(

@@ -7,7 +7,11 @@ rebalancing edits that map, so whole slots move and everything else stays.  Byte
 Two laws: `bytes` edits the map until the shards' bytes are near equal; `key` derives it from the slot number
 and the shard count alone, and growing by a shard moves slots only into the new one.
 
-Edge cases: a null text has no bytes, size 1 and crc32 0; a null doc_id hashes like any other value; repeated
+Under the law `bytes`, id and text decide the slot together.  A group of equal texts is not kept in one shard: such a
+group may hold a third of all rows, and with it no shards of near equal bytes exist.  Only rows alike in id and text
+share a slot.
+
+Edge cases: a null text has no bytes, size 1 and crc32 0; a null doc_id hashes like any other value; very long texts are measured whole; repeated
 rows share a slot and get neighbouring positions; an empty table gives an empty result; further columns are
 ignored, whatever their names.
 """

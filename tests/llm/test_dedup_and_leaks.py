@@ -199,8 +199,11 @@ def scan_brute(texts, items):
     return out
 
 
-@pytest.mark.parametrize("short", [None, "two words", "single", ""])
-def test_decontamination_equals_brute_force(spark, short):
+@pytest.mark.parametrize("short, most", [(None, None), ("two words", None), ("single", None), ("", None), ("two words", 0), (None, 2000)])
+def test_decontamination_equals_brute_force(spark, monkeypatch, short, most):
+    """Also with windows, or windows and their first words, too large to broadcast."""
+    if most is not None:
+        monkeypatch.setattr(decontaminate, "MOST_BROADCAST", most)
     r = random.Random(2)
     items = [(k, " ".join(prose(r, 30))) for k in range(5)] + [(10, None), (11, "..."), (None, " ".join(prose(r, 14)))]
     if short is not None:
@@ -327,3 +330,24 @@ def test_a_bucket_over_many_batches():
     flat = [sorted((u, v) for b in found for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)) for found in (one, many)]
     assert flat[0] == flat[1] and {(7, 5), (3, 2)} <= set(flat[0])
     assert list(simhash.linked_in_sorted([])) == []
+
+
+def test_placement_equals_brute_force(spark):
+    """Slots' bytes, the rebalanced map and positions, recomputed by loops from each row's virtual slot."""
+    r = random.Random(11)
+    docs = spark.createDataFrame([(k if k % 50 else None, "x" * r.choice([0, 5, 30, 900]) if k % 7 else None) for k in range(600)] + [(1, "y" * 200_000)], "doc_id long, text string")
+    rows = shards.shard(docs, n_shards=3, n_slots=40)[0].collect()
+    sizes, of = [0] * 40, [k % 3 for k in range(40)]
+    for x in rows:
+        sizes[x.vslot] += x.size
+    while True:  # the heaviest shard gives the slot that best halves its gap to the lightest
+        loads = [sum(s for s, k in zip(sizes, of, strict=True) if k == j) for j in range(3)]
+        high, low = loads.index(max(loads)), loads.index(min(loads))
+        fits = [(abs(2 * sizes[k] - (loads[high] - loads[low])), k) for k in range(40) if of[k] == high and 0 < sizes[k] < loads[high] - loads[low]]
+        if not fits:
+            break
+        of[min(fits)[1]] = low
+    assert all(x.shard == of[x.vslot] for x in rows) and len(rows) == 601
+    for j in range(3):
+        mine = sorted((x for x in rows if x.shard == j), key=lambda x: x.slot)
+        assert [x.slot for x in mine] == list(range(len(mine))) and [x.vslot for x in mine] == sorted(x.vslot for x in mine)

@@ -426,3 +426,77 @@ def test_pipeline_stages(spark, sf_dir):
     empty = common.table(spark, sf_dir, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+def test_pipeline_equals_brute_force(spark, sf_dir, monkeypatch):
+    """The whole chain against loops over the documents of the smallest tables, with nulls, repeats and other columns."""
+    import re
+
+    from test_dedup_and_leaks import components_brute, scan_brute, simhash_brute
+
+    from loomgraph.llm import decontaminate
+
+    given = [tuple(r) for r in common.table(spark, sf_dir, "documents").select(*corpus_pipeline.COLUMNS).collect()]
+    given += [(None, "Ein kurzer deutscher Text und die Antwort darauf ist nicht bekannt", None, None, None), (10**6, None, None, None, 0), given[3], (10**6 + 1, "1234 --", "en", "s", 7)]
+    docs = spark.createDataFrame([(*r, "extra", 1) for r in given], "doc_id long, text string, lang string, source string, n_chars long, _block string, _h1 int")
+    items = [(r.item_id, r.text) for r in common.table(spark, sf_dir, "benchmark").collect()]
+    model = langid.fit(docs)
+    kept = []
+    for r in given:
+        text = r[1]
+        if not text or not any(c.isalpha() for c in text):
+            continue
+        lang, score, unsure = (x[0] for x in model.decode(*model.margins([langid.prepared(text)])))
+        if not (unsure and score <= 0.5):
+            kept.append((r[0], text, lang, *r[3:]))
+    got = corpus_pipeline.language(spark, docs, sf_dir)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(kept, key=str)
+
+    places = list(range(len(kept)))
+    root = components_brute(places, [simhash_brute(r[1]) for r in kept])
+    first = {}
+    for k, r in enumerate(kept):
+        order = (r[0] is None, r[0] or 0)
+        first[root[k]] = min(first.get(root[k], (order, k)), (order, k))
+    kept = [kept[k] for _, k in first.values()]
+    stage = corpus_pipeline.near_dedup(spark, got, sf_dir)
+    assert sorted(map(tuple, stage.collect()), key=str) == sorted(kept, key=str)
+
+    words = [[m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", r[1])] for r in kept]
+    seen = {}
+    for r, spans in zip(kept, words, strict=True):
+        for i in range(len(spans) - 34):
+            key = tuple(r[1][a:b] for a, b in spans[i : i + 35])
+            seen[key] = seen.get(key, 0) + 1
+    after = []
+    for r, spans in zip(kept, words, strict=True):
+        gone = {p for i in range(len(spans) - 34) if seen[tuple(r[1][a:b] for a, b in spans[i : i + 35])] > 1 for p in range(i, i + 35)}
+        ends = [a for a, _ in spans[1:]] + [len(r[1])]
+        text = r[1][: spans[0][0]] + "".join(r[1][a:e] for p, ((a, _), e) in enumerate(zip(spans, ends, strict=True)) if p not in gone) if gone else r[1]
+        if len(gone) < len(spans):
+            after.append((*r[:1], text, *r[2:4], len(text)))
+    stage = corpus_pipeline.substring(spark, stage, sf_dir)
+    assert sorted(map(tuple, stage.collect()), key=str) == sorted(after, key=str)
+
+    grams = {}
+    for item, text in items:
+        w = re.findall(decontaminate.RAW_WORD, text or "")
+        for i in range(max(1, len(w) - 12) if w else 0):
+            grams[tuple("".join(c.lower() if c.isascii() else c for c in x) for x in w[i : i + 13])] = item
+    clean = []
+    for r, (n, n_hit, *_, bad) in zip(after, scan_brute([r[1] for r in after], items), strict=True):
+        if bad:
+            continue
+        spans = [m.span() for m in re.finditer(decontaminate.RAW_WORD, r[1])]
+        low = ["".join(c.lower() if c.isascii() else c for c in r[1][a:b]) for a, b in spans]
+        hit = {p for size in {len(g) for g in grams} for i in range(n - size + 1) if tuple(low[i : i + size]) in grams for p in range(i, i + size)}
+        assert len(hit) == n_hit
+        starts = [0] + [b for _, b in spans]
+        text = "".join(r[1][s:b] for p, (s, (_, b)) in enumerate(zip(starts, spans, strict=False)) if p not in hit) + r[1][starts[-1] :] if hit else r[1]
+        clean.append((*r[:1], text, *r[2:4], len(text)))
+    stage = corpus_pipeline.decontamination(spark, stage, sf_dir)
+    assert sorted(map(tuple, stage.collect()), key=str) == sorted(clean, key=str)
+
+    t = Tokenizer.from_file(BPE_FILE)
+    want = sorted(((r[0], t.encode(r[1], add_special_tokens=False).ids) for r in clean), key=str)
+    assert sorted(((r.doc_id, r["ids"]) for r in corpus_pipeline.encoding(spark, stage, sf_dir).collect()), key=str) == want and 0 < len(want) < len(given)
