@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +12,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.storage import remove, shared_dir
+from loomgraph.storage import written_at as written
+
+__all__ = ["ascii_lower", "block_ids", "blocks_of", "lengths_of", "remove", "shared_dir", "table", "tasks_for", "text_bytes", "unused", "written"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -34,40 +37,6 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset a temporary folder serves, but only in local mode, where there is one machine.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    global _LOCAL_DIR
-    if _LOCAL_DIR is None:
-        _LOCAL_DIR = tempfile.mkdtemp(prefix="loomgraph-")
-    return _LOCAL_DIR
-
-
-_LOCAL_DIR: str | None = None
-
-
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Cut the lineage: write df as a table in the shared folder and read it again, so that lost
-    executors never make Spark compute it twice.  Returns the table and its path."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a table that `written` left and nothing reads any more."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def tasks_for(df: DataFrame, bytes_per_task: int) -> int:
     """Number of shuffle tasks for df: the session's setting, or more where the planner's size
     estimate asks for it.  It only sets parallelism, never what is computed."""

@@ -140,10 +140,11 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
 
     Counts are summed in Spark; to the driver come one row a language and two sums a bin and bit.
     """
-    rows, _ = common.written(chosen(docs, per_language), "training-rows")
+    rows, path = common.written(chosen(docs, per_language), "training-rows")
     seen = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     names = sorted(seen)
     if not names:
+        common.remove(docs.sparkSession, path)
         return None
     code = codewords(len(names))
     of, bits, floor = {x: k for k, x in enumerate(names)}, code.shape[1], 1e-6
@@ -176,6 +177,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     right = np.zeros(bits)
     for r in rows.mapInArrow(verdicts, "bit int, right long").groupBy("bit").agg(F.sum("right").alias("right")).collect():
         right[r["bit"]] = r["right"] / sum(seen.values())
+    common.remove(docs.sparkSession, path)
     trust = np.where(right > 0.5, np.log((right + 0.01) / (1.01 - right)), 0.0)
     return Model(names, code, weights, trust / max(trust.sum(), 1e-9) * len(trust))
 
