@@ -59,7 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs, _ = common.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, path = common.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before:
+            common.remove(spark, before)  # what it led to is written
+        before = path
     return docs
