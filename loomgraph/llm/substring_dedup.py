@@ -33,8 +33,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from . import common
 
 WINDOW = 35
-#: Bytes of text after which a block ends; a bucket gets the windows of as many on average.
-BLOCK_BYTES = 8 << 20
+#: Bytes of text after which a block ends; a bucket gets the windows of twice as many on average.
+BLOCK_BYTES = 4 << 20
 #: Bytes of text that a task of the exchange stands for.
 TASK_BYTES = 32 << 20
 #: Text hashed at a time.
@@ -193,7 +193,7 @@ def cut(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, t
     docs = docs.drop("n_words", "n_removed", "kept_sha256")
     names, size = docs.columns, common.text_bytes(docs)
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n_buckets, n_tasks = max(least, -(-size // block_bytes)), max(least, -(-size // TASK_BYTES))
+    n_buckets, n_tasks = max(least, -(-size // (2 * block_bytes))), max(least, -(-size // TASK_BYTES))
     sent_schema = pa.schema([("to", pa.int64()), ("block", pa.int64()), ("mark", pa.int64()), ("packed", pa.binary()), ("many", pa.binary())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
