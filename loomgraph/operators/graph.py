@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.config import DEFAULT, Config
@@ -40,64 +44,147 @@ def blended_seeds(nodes: DataFrame, seeds: DataFrame) -> DataFrame:
     return mean.union(nodes.join(F.broadcast(count)).select("id", (1.0 / F.col("nodes")).alias("p")))
 
 
-#: Up to so many edges (16 bytes each) a graph travels to every task, and each surfer is solved in one.
-SMALL_EDGES = 2_000_000
+#: Up to so many linked and seeded nodes (some 50 bytes each) a surfer is solved in one task; the surfers of a task, and
+#: rows of a message.
+SMALL_EDGES = 20_000_000
+SURFERS, MESSAGE = 4, 512
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, cfg: Config = DEFAULT, iterations: int | None = None, small: int = SMALL_EDGES) -> tuple[DataFrame, int, bool]:
     """((surfer, id, x), iterations, converged) of the surfers in seeds(surfer, id, p).
 
     x <- d W x + (d * dangling mass + 1 - d) p, from x = p.  With `iterations` that many steps run; else until the
-    largest L1 change of any surfer is within the tolerance.  Graphs of at most `small` edges are solved surfer by
-    surfer in parallel tasks, larger ones by a join per step; the results are the same.
+    largest L1 change of any surfer is within the tolerance.  Graphs of at most `small` nodes are solved a few surfers
+    a task, larger ones by a join per step; the results are the same.
     """
     off = seeds.groupBy("surfer").agg(F.sum("p").alias("s")).filter("abs(s - 1) > 1e-9").limit(1).count()
     if off or seeds.join(nodes, "id", "left_anti").limit(1).count():
         raise ValueError("seed vectors must sum to 1 over the graph's nodes")
-    edges = written(edges.select("src", "dst"), "edges")
-    solve = by_surfer if edges.count() <= small else by_joins
-    return solve(edges, seeds.select("surfer", "id", "p"), cfg, iterations)
+    edges, seeds = written(edges.select("src", "dst"), "edges"), seeds.select("surfer", "id", "p")
+    ids = edges.select(F.col("src").alias("id")).union(edges.select("dst")).union(seeds.select("id")).distinct()
+    ids, n = numbered(ids, "nodes")
+    if n > small:
+        return by_joins(edges, seeds, cfg, iterations)
+    return by_surfer(edges, ids, n, seeds, cfg, iterations)
+
+
+def numbered(keys: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """The one column of keys with a `number` from 0, as a written table, and how many there are: places within a
+    partition, behind those of the partitions before it."""
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    made = written(keys.withColumns({"_part": F.spark_partition_id(), "_place": place}), name)
+    counts = sorted(made.groupBy("_part").agg(F.count("*")).collect())
+    starts = np.cumsum([0] + [r[1] for r in counts]).tolist()
+    first = keys.sparkSession.createDataFrame([(r[0], k) for r, k in zip(counts, starts, strict=False)], "_part int, _first long")
+    return made.join(F.broadcast(first), "_part").select(*keys.columns, (F.col("_first") + F.col("_place")).alias("number")), starts[-1]
 
 
-def by_surfer(edges: DataFrame, seeds: DataFrame, cfg: Config, iterations: int | None) -> tuple[DataFrame, int, bool]:
-    """One task per surfer over arrays of a graph whose size was checked.
+def by_surfer(edges: DataFrame, ids: DataFrame, n: int, seeds: DataFrame, cfg: Config, iterations: int | None) -> tuple[DataFrame, int, bool]:
+    """The numbered graph goes in messages to a task for every few surfers, which keeps it in a file of its own and
+    reads it once a step; a task holds a few numbers a node and nothing an edge.
 
     The change of a step shrinks with every step, so all surfers are done after the most steps that one needs.
     """
-    table = edges.toArrow()
-    ids, at = np.unique(np.concatenate([table.column("src").to_numpy(), table.column("dst").to_numpy()]), return_inverse=True)
-    s, t = at[: table.num_rows], at[table.num_rows :]
-    degree = np.bincount(s, minlength=len(ids))
-    shared = edges.sparkSession.sparkContext.broadcast((ids, s, t, 1.0 / degree[s], degree == 0))  # indexed once for all surfers
-    d, tolerance = cfg.damping, cfg.tolerance
-
-    def solve(pdf: pd.DataFrame, steps: int | None) -> tuple[np.ndarray, np.ndarray, int]:
-        ids, s, t, weight, stuck = shared.value
-        seeds = pdf["id"].to_numpy()
-        ids = np.concatenate([ids, np.setdiff1d(seeds, ids)])  # nodes without links come behind
-        stuck = np.concatenate([stuck, np.ones(len(ids) - len(stuck), bool)])
-        order = np.argsort(ids, kind="stable")
-        at = order[np.searchsorted(ids, seeds, sorter=order)]
-        p = np.bincount(at, weights=pdf["p"].to_numpy(), minlength=len(ids))
-        x, k = p.copy(), 0
-        while k < (steps or cfg.max_iterations):
-            after = d * np.bincount(t, weights=x[s] * weight, minlength=len(ids)) + (d * x[stuck].sum() + 1 - d) * p
-            change, x, k = np.abs(after - x).sum(), after, k + 1
-            if steps is None and change <= tolerance:
-                break
-        return ids, x, k if steps or change <= tolerance else -1
+    spark, d, tolerance, most = edges.sparkSession, cfg.damping, cfg.tolerance, cfg.max_iterations
+    surfers, count = numbered(seeds.select("surfer").distinct(), "surfers")
+    groups = max(1, -(-count // SURFERS))
+    names = ["surfer", "number", "other", "id", "p"]
+    schema = "surfer long, number array<int>, other array<int>, id array<long>, p array<double>"
+
+    def lists(df: DataFrame) -> DataFrame:
+        """Messages of the columns of df, the others null."""
+        own = df.columns
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            types = {"surfer": pa.int64(), "number": pa.list_(pa.int32()), "other": pa.list_(pa.int32()), "id": pa.list_(pa.int64()), "p": pa.list_(pa.float64())}
+            for batch in batches:
+                ends = pa.array(np.r_[np.arange(0, batch.num_rows, MESSAGE), batch.num_rows].astype(np.int32))
+                columns = [pa.ListArray.from_arrays(ends, batch.column(own.index(c))) if c in own else pa.nulls(len(ends) - 1, types[c]) for c in names]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+        return df.mapInArrow(run, schema)
+
+    def of(column: str) -> DataFrame:
+        return ids.select(F.col("id").alias(column), F.col("number").cast("int").alias(f"_{column}"))
+
+    linked = edges.join(of("src"), "src").join(of("dst"), "dst").select(F.col("_src").alias("number"), F.col("_dst").alias("other"))
+    graph = lists(linked).union(lists(ids.select(F.col("number").cast("int").alias("number"), "id")))
+    graph = graph.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    none = F.lit(None)
+    own = seeds.join(ids, "id").join(surfers.select("surfer", (F.col("number") % groups).cast("int").alias("group")), "surfer")
+    own = own.select("surfer", F.array(F.col("number").cast("int")).alias("number"), none.cast("array<int>").alias("other"), none.cast("array<long>").alias("id"), F.array("p").alias("p"), "group")
+    dealt = graph.union(own).withColumn("group", spread(spark, groups)(F.col("group"))).repartition(min(groups, 10_000), "group")
+
+    def solved(batches: Iterator[pa.RecordBatch], steps: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+        """(surfer, ids, scores, steps; -1 if it did not converge) of a task's surfers; the graph is that of any one of
+        its groups."""
+        node, degree, seen, mine = np.zeros(n, np.int64), np.zeros(n, np.int64), None, {}
+        with tempfile.TemporaryFile() as file:
+            for batch in batches:
+                own = batch.filter(pc.is_valid(batch.column("surfer")))
+                who, at, p = own.column("surfer").to_numpy(), own.column("number").flatten().to_numpy(), own.column("p").flatten().to_numpy()
+                for surfer in np.unique(who):
+                    mine.setdefault(int(surfer), []).append((at[who == surfer], p[who == surfer]))
+                rest = batch.filter(pc.is_null(batch.column("surfer")))
+                if seen is None and rest.num_rows:
+                    seen = rest.column("group")[0].as_py()
+                rest = rest.filter(pc.equal(rest.column("group"), pa.scalar(seen, pa.int32())))
+                named = rest.filter(pc.is_valid(rest.column("id")))
+                node[named.column("number").flatten().to_numpy()] = named.column("id").flatten().to_numpy()
+                links = rest.filter(pc.is_valid(rest.column("other")))
+                src, dst = links.column("number").flatten().to_numpy(), links.column("other").flatten().to_numpy()
+                np.add.at(degree, src.astype(np.intp), 1)
+                np.stack([src, dst], axis=1).astype(np.int32).tofile(file)
+            file.flush()
+            stuck = degree == 0
+            weight = 1.0 / np.maximum(degree, 1)
+            for surfer, parts in mine.items():
+                p = np.zeros(n)
+                for at, x in parts:
+                    np.add.at(p, at.astype(np.intp), x)
+                x, k, change = p.copy(), 0, np.inf
+                while k < (steps or most):
+                    y, after = x * weight, np.zeros(n)
+                    file.seek(0)
+                    while len(some := np.fromfile(file, np.int32, 1 << 21)):
+                        np.add.at(after, some[1::2].astype(np.intp), y[some[::2]])
+                    after *= d
+                    after += (d * x[stuck].sum() + 1 - d) * p
+                    change, x, k = np.abs(after - x).sum(), after, k + 1
+                    if steps is None and change <= tolerance:
+                        break
+                yield surfer, node, x, k if steps or change <= tolerance else -1
 
     converged = True
     if iterations is None:
-        needed = seeds.groupBy("surfer").applyInPandas(lambda pdf: pd.DataFrame({"k": [solve(pdf, None)[2]]}), "k int").agg(F.max("k"), F.min("k")).first()
-        converged = needed[1] is None or needed[1] >= 0
-        iterations = (needed[0] or 0) if converged else cfg.max_iterations
+        dealt = written(dealt, "messages").repartition(min(groups, 10_000), "group")
 
-    def rows(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, x, _ = solve(pdf, iterations)
-        return pd.DataFrame({"surfer": pdf["surfer"].iloc[0], "id": ids, "x": x})[x > 0]
+        def needed_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_arrays([pa.array([k for *_, k in solved(batches, None)], pa.int32())], names=["k"])
 
-    return seeds.groupBy("surfer").applyInPandas(rows, "surfer long, id long, x double"), iterations, converged
+        needed = dealt.mapInArrow(needed_steps, "k int").agg(F.max("k"), F.min("k")).first()
+        converged = needed[1] is None or needed[1] >= 0
+        iterations = (needed[0] or 0) if converged else most
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for surfer, node, x, _ in solved(batches, iterations):
+            for at in range(0, n, 1 << 16):
+                keep = x[at : at + (1 << 16)] > 0
+                found = node[at : at + (1 << 16)][keep]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), surfer)), pa.array(found), pa.array(x[at : at + (1 << 16)][keep])], names=["surfer", "id", "x"])
+
+    return dealt.mapInArrow(rows, "surfer long, id long, x double"), iterations, converged
+
+
+def spread(spark: SparkSession, groups: int):
+    """A function of a group's number that gives each group a key of its own shuffle task; where groups are many, the
+    number."""
+    if groups > 1000:
+        return lambda group: group
+    key = F.pmod(F.hash(F.col("id").cast("int")), F.lit(groups))
+    keys = [r.id for r in spark.range(groups * 40).groupBy(key.alias("task")).agg(F.min("id").alias("id")).collect()]
+    keys += sorted(set(range(2 * groups)) - set(keys))  # should a task have none
+    return lambda group: F.element_at(F.array(*(F.lit(k).cast("int") for k in keys[:groups])), group + 1)
 
 
 def by_joins(edges: DataFrame, seeds: DataFrame, cfg: Config, iterations: int | None) -> tuple[DataFrame, int, bool]:

@@ -66,6 +66,19 @@ def test_pagerank_paths_agree_with_a_dense_solve(spark):
     assert fixed[0].keys() == fixed[1].keys() and all(abs(fixed[0][k] - fixed[1][k]) < 1e-12 for k in fixed[0])
 
 
+def test_surfers_are_dealt_over_tasks_and_no_graph_comes_to_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    monkeypatch.setattr(graph, "SURFERS", 1, raising=False)
+    monkeypatch.setattr(Classic, "toArrow", lambda self: pytest.fail("a table came to the driver"))
+    nodes = spark.range(9).select("id", F.lit("d").alias("domain"))
+    seeds = spark.createDataFrame([(s, s, 1.0) for s in range(5)], "surfer long, id long, p double")
+    scores = graph.pagerank(nodes, spark.createDataFrame(DIAMOND, "src long, dst long"), seeds, iterations=3)[0]
+    rows = scores.withColumn("task", F.spark_partition_id()).collect()
+    assert {r.surfer for r in rows} == set(range(5)) and len({(r.surfer, r.task) for r in rows}) == 5 and len({r.task for r in rows}) == 5
+    assert [(r.id, r.x) for r in rows if r.surfer == 4] == [(4, 1.0)]
+
+
 def test_seeds_and_domain_means(spark):
     nodes = spark.createDataFrame([(0, 1), (1, 1), (2, 2), (3, 3)], "id long, domain long")
     pins = spark.createDataFrame([(5, 1), (5, 2), (5, 9)], "surfer long, domain long")
