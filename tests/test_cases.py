@@ -111,3 +111,16 @@ def test_bodies_by_content_type(spark):
     assert got["a"][0] == "page" and got["a"][1].startswith("Größe")
     mine = {"pdf": lambda df: df.select("url", F.lit("read").alias("text"))}
     assert {r.url[-1]: r.text for r in extract.analyze(bodies, mine).filter("extractor = 'pdf'").collect()} == {"d": "read"}
+
+
+def test_titles_keep_unended_references_where_asked(spark):
+    page = "<title>a &amp;&amp b&am &#38 c&lt</title><p>x &amp y"
+    assert extract.page_meta(page, "http://h/")["title"] == "a && b&am & c<"
+    found = extract.page_meta(page, "http://h/", ended=True)
+    assert (found["title"], found["text"]) == ("a &&amp b&am &#38 c&lt", "x & y")
+
+
+def test_a_task_holds_few_parsed_pages(spark, monkeypatch):
+    monkeypatch.setattr(extract, "PAGES", 2)
+    pages = spark.createDataFrame([(k, "http://h/", f"<title>{k}</title><a href=/{k}>x</a>") for k in range(5)], "page_id long, url string, html string").coalesce(1)
+    assert sorted((r.title, r.links[0].url) for r in extract.parse_pages(pages).collect()) == [(str(k), f"http://h/{k}") for k in range(5)]
