@@ -124,3 +124,19 @@ def test_a_task_holds_few_parsed_pages(spark, monkeypatch):
     monkeypatch.setattr(extract, "PAGES", 2)
     pages = spark.createDataFrame([(k, "http://h/", f"<title>{k}</title><a href=/{k}>x</a>") for k in range(5)], "page_id long, url string, html string").coalesce(1)
     assert sorted((r.title, r.links[0].url) for r in extract.parse_pages(pages).collect()) == [(str(k), f"http://h/{k}") for k in range(5)]
+
+
+def test_runs_of_pages_are_bounded_by_rows_and_bytes(spark, monkeypatch):
+    monkeypatch.setattr(extract, "PAGES", 3)
+    monkeypatch.setattr(extract, "PAGE_BYTES", 10)
+    assert list(extract._runs([4, 4, 4, None, 50, 1, 1, 1, 1])) == [(0, 2), (2, 2), (4, 1), (5, 3), (8, 1)]
+    assert list(extract._runs([])) == []
+    pages = spark.createDataFrame([(k, "http://h/", None if k == 2 else f"<title>{k}</title>") for k in range(5)], "page_id long, url string, html string").coalesce(1)
+    assert sorted((r.page_id, r.title) for r in extract.parse_pages(pages).collect()) == [(k, None if k == 2 else str(k)) for k in range(5)]
+
+
+def test_links_are_made_canonical_once(spark):
+    pages = spark.createDataFrame([(1, "http://h/", "<a href=/a#x>x</a><a href=mailto:a@b>m</a><a href=/>self</a>")], "page_id long, url string, html string")
+    found = extract.out_links(extract.parse_pages(pages))
+    assert [(r.link, r.anchor, r.internal, r.pos) for r in found.collect()] == [("http://h/a", "x", True, 0)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
