@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,9 +15,18 @@ SPACES = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE, WORD = f"[{SPACES}]", f"[^{SPACES}]"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once however often it is used: interpreted expressions share nothing."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+#: Characters at the end of a text's head where a cut is looked for first.
+TAIL = 80
+
+
 def stripped(text: Column) -> Column:
-    """Without white space at its ends."""
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
+    """Without white space at its ends, which are all that is looked at."""
+    return F.regexp_extract(text, rf"(?s)\A{SPACE}*+(.*{WORD})", 1)
 
 
 def flat(text: Column) -> Column:
@@ -51,28 +62,45 @@ def word_count(text: Column) -> Column:
 
 
 def excerpt(text: Column, most: int = 300) -> Column:
-    """Flattened text; a longer one is cut before its last space, if it has one, and gets an ellipsis."""
-    t = flat(text)
-    cut = F.regexp_replace(F.regexp_replace(F.substring(t, 1, most), r" [^ ]*$", ""), r"[ ,;:.]+$", "")
-    return F.when(F.length(t) <= most, t).otherwise(F.concat(cut, F.lit("…")))
+    """Flattened text; a longer one is cut before its last space, if it has one, and gets an ellipsis.
+
+    The text's head is flattened first; the rest only if that is not longer than the excerpt."""
+    flattened = once(flat(F.substring(text, 1, 2 * most)), lambda head: F.when(F.length(head) > most, head).otherwise(flat(text)))
+
+    def shortened(t: Column) -> Column:
+        cut = F.regexp_replace(F.regexp_replace(F.substring(t, 1, most), r" [^ ]*$", ""), r"[ ,;:.]+$", "")
+        return F.when(F.length(t) <= most, t).otherwise(F.concat(cut, F.lit("…")))
+
+    return once(flattened, shortened)
 
 
 def truncate_words(text: Column, most: int) -> Column:
     """At most `most` characters; a cut inside a word goes back to the white space before the word, if something stands
     before that.  A text that was cut has no white space at its end."""
-    head = F.substring(text, 1, most)
-    inside = F.substring(text, most + 1, 1).rlike(WORD) & head.rlike(rf"{WORD}{SPACE}+{WORD}*\n?\z")
-    cut = F.when(inside, F.regexp_replace(head, rf"{SPACE}+{WORD}*\n?\z", "")).otherwise(head)
-    return F.when(F.length(text) <= most, text).otherwise(F.regexp_replace(cut, rf"{SPACE}+\z", ""))
+
+    def cut(head: Column) -> Column:
+        inside = F.substring(text, most + 1, 1).rlike(WORD) & head.rlike(rf"{WORD}{SPACE}+{WORD}*\n?\z")
+        whole = F.when(inside, F.regexp_replace(head, rf"{SPACE}+{WORD}*\n?\z", "")).otherwise(head)
+        return F.regexp_replace(whole, rf"{SPACE}+\z", "")
+
+    # What goes lies in the head's tail, unless the tail is no more than a part of it.
+    before = max(most - TAIL, 0)
+    tail = F.substring(text, before + 1, most - before)
+    ends = once(tail, lambda t: F.when(~t.rlike(rf"\A{SPACE}*{WORD}*\n?\z"), F.concat(F.substring(text, 1, before), cut(t))))
+    return F.when(F.length(text) <= most, text).otherwise(F.coalesce(ends, cut(F.substring(text, 1, most))))
 
 
 def embedding_input(title: Column, summary: Column, text: Column, most: int = 2000) -> Column:
     """Title, excerpt and text, stripped, blank ones left out, joined by blank lines; no excerpt that repeats the start
     of the text."""
-    start = flat(F.regexp_replace(summary, "…$", ""))
-    repeated = (F.length(text) > 0) & F.startswith(flat(F.substring(text, F.lit(1), 2 * F.length(summary))), start)
-    parts = F.array(title, F.when(~F.coalesce(repeated, F.lit(False)), summary), truncate_words(text, most))
-    return F.array_join(F.filter(F.transform(parts, stripped), lambda p: p.isNotNull() & (p != "")), "\n\n")
+
+    def joined(s: Column) -> Column:
+        start = flat(F.regexp_replace(s, "…$", ""))
+        repeated = (F.length(text) > 0) & F.startswith(flat(F.substring(text, F.lit(1), 2 * F.length(s))), start)
+        parts = F.array(title, F.when(~F.coalesce(repeated, F.lit(False)), s), truncate_words(text, most))
+        return F.array_join(F.filter(F.transform(parts, stripped), lambda p: p.isNotNull() & (p != "")), "\n\n")
+
+    return once(summary, joined)
 
 
 def body_hash(body: Column) -> Column:

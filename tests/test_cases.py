@@ -140,3 +140,21 @@ def test_links_are_made_canonical_once(spark):
     found = extract.out_links(extract.parse_pages(pages))
     assert [(r.link, r.anchor, r.internal, r.pos) for r in found.collect()] == [("http://h/a", "x", True, 0)]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_long_white_space_takes_no_quadratic_time(spark):
+    import time
+
+    wide = "a" + " " * 200_000 + "b"
+    rows = spark.createDataFrame([(wide, wide + " ", " " * 200_000, "\n x" + wide)], "title string, summary string, blank string, body string")
+    began = time.monotonic()
+    got = rows.select(text.stripped("title").alias("a"), text.stripped("blank").alias("b"), text.embedding_input(F.col("title"), F.col("summary"), F.col("body"), 100).alias("c"), text.excerpt(F.col("body"), 2).alias("d"), text.excerpt(F.col("body"), 4).alias("e")).first()
+    assert time.monotonic() - began < 20
+    assert (got.a, got.b, got.c, got.d, got.e) == (wide, "", f"{wide}\n\n{wide}\n\nxa", "xa…", "xa b")
+
+
+@pytest.mark.parametrize("tail", [1, 3, 80])
+def test_a_cut_in_the_tail_is_the_cut_of_the_whole(spark, monkeypatch, tail):
+    monkeypatch.setattr(text, "TAIL", tail)
+    for source, most, want in (("one two three", 8, "one two"), ("one two three", 7, "one two"), ("one two three", 6, "one"), ("a b\nc", 4, "a"), ("  a\nb", 4, ""), ("one    two", 6, "one"), ("onetwothree", 5, "onetw"), ("a b      c", 6, "a b")):
+        assert one(spark, text.truncate_words(F.lit(source), most)) == want
