@@ -264,6 +264,16 @@ def test_profiles(spark):
     assert one(spark, vector.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0)))) is None
 
 
+def test_means_meet_in_tasks_of_few_groups(spark, monkeypatch):
+    monkeypatch.setattr(profiles, "GROUPS", 2)
+    vs = spark.createDataFrame([(u, "like", [1.0, float(k)], 1.0) for u in range(9) for k in (0, 2 * u)] + [(None, "like", [2.0], 1.0)], "user long, kind string, embedding array<double>, weight double")
+    found = profiles.weighted_means(vs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(user" in plan and ", 5), REPARTITION_BY_NUM" in plan  # components are made behind it
+    got = {r.user: r.embedding for r in found.collect()}
+    assert len(got) == 10 and got[None] == [1.0] and all(np.allclose(got[u], np.array([1.0, u]) / np.hypot(1.0, u)) for u in range(9))
+
+
 # ---- URLs, text, pages
 
 @pytest.mark.parametrize("raw, want", [
