@@ -279,3 +279,9 @@ def test_search_page(spark):
         assert {r.doc for r in mine} == set(near) and [r.score for r in mine] == sorted((r.score for r in mine), reverse=True)
         parts = {x["name"]: x for x in json.loads(mine[0].breakdown)["components"]}
         assert parts["query"]["weight"] == 5.0 and parts["query"]["inputs"]["cosine"] == pytest.approx(b.cos(w["emb"][mine[0].doc], np.array(query)))
+
+
+def test_a_context_keeps_its_users_events_alone(spark):
+    w = world(1)
+    kept = {r.event_id for r in frames(spark, w).events.collect()}
+    assert kept == {e[0] for e in w["events"] if e[1] in w["users"]} and len(kept) < len(w["events"])
