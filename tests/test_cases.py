@@ -1,7 +1,9 @@
 """Cases at the edges of URL, text, crawl, feed and page functions."""
 
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,6 +137,29 @@ def test_runs_of_pages_are_bounded_by_rows_and_bytes(spark, monkeypatch):
     assert sorted((r.page_id, r.title) for r in extract.parse_pages(pages).collect()) == [(k, None if k == 2 else str(k)) for k in range(5)]
 
 
+@pytest.mark.parametrize("columns, most", [(["links"], 1 << 20), (None, 4 << 20)])
+def test_a_task_has_the_string_of_one_page_and_the_columns_asked_for(spark, monkeypatch, columns, most):
+    pages, runs = spark.createDataFrame([], "page_id long, url string, html string"), []
+    monkeypatch.setattr(type(pages), "mapInArrow", lambda self, f, schema, g=type(pages).mapInArrow: runs.append(f) or g(self, f, schema))
+    extract.parse_pages(pages, **({"columns": columns} if columns else {}))
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(256)), "url": ["http://h/"] * 256, "html": ["<p>" + "word " * 8_000 + "<a href=/x>x</a>"] * 256})
+    tracemalloc.start()
+    found = [(out.num_rows, len(out.column("links")[0])) for out in runs[0](iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(n for n, _ in found) == 256 and {k for _, k in found} == {1}
+    assert peak < most  # of 10 MB
+
+
+def test_only_the_columns_asked_for_are_parsed(spark):
+    pages = spark.createDataFrame([(1, "http://site.org/", "<title>T | Site</title><a href=/a>x</a>"), (2, None, None)], "page_id long, url string, html string")
+    for asked in (["title"], ["links", "title"], ["links"], ["text", "site_name"], []):
+        found, whole = extract.parse_pages(pages, columns=asked), extract.parse_pages(pages)
+        assert sorted(found.columns) == sorted(["page_id", "url", *asked])
+        assert found.orderBy("page_id").collect() == whole.select(found.columns).orderBy("page_id").collect()
+    assert "text" not in extract.parse_pages(pages, columns=["links"])._jdf.queryExecution().analyzed().toString()
+
+
 def test_links_are_made_canonical_once(spark):
     pages = spark.createDataFrame([(1, "http://h/", "<a href=/a#x>x</a><a href=mailto:a@b>m</a><a href=/>self</a>")], "page_id long, url string, html string")
     found = extract.out_links(extract.parse_pages(pages))
